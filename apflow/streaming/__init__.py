@@ -1,0 +1,7 @@
+"""Streaming: intentionally empty.
+
+The reference has no stream source, watermark, event-time window or state:
+every input is a bounded warehouse table. All jobs are batch DataFrame plans.
+A caller who receives invoices as a stream can run any job in ``foreachBatch``
+against the accumulated table.
+"""
