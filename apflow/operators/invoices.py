@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -62,8 +63,8 @@ def valid_invoices(
         conds.append(F.col("currency_id") != excluded_currency)
     if rules == "ledger_compare":
         conds.append(F.col("document_type") == "Invoice")
-    for c in conds:
-        h = h.where(c)
+    if conds:
+        h = h.where(reduce(lambda a, b: a & b, conds))
     if excluded_suppliers is not None:
         if isinstance(excluded_suppliers, DataFrame):
             h = h.where(not_in(F.col("supplier_id"), excluded_suppliers))
