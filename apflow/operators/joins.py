@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+import uuid
+from collections.abc import Sequence
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -14,13 +18,18 @@ DEFAULT_BROADCAST_ROWS = 2_000_000
 
 
 def materialize(df: DataFrame) -> DataFrame:
-    """Write ``df`` to the shared checkpoint folder and return the reloaded frame.
+    """Write ``df`` as a parquet table under the shared checkpoint folder and read it back.
 
-    Cuts lineage (a lost executor re-reads the checkpoint instead of recomputing
-    the upstream scan) and lets a size check reuse the written rows.
+    Cuts lineage: a lost executor re-reads the written files instead of
+    recomputing the upstream scan and shuffles. Parquet keeps it columnar and
+    compressed, unlike an RDD checkpoint of serialized rows. Each call writes
+    a fresh folder, so concurrent jobs never share one.
     """
-    ensure_checkpoint_dir(df.sparkSession)
-    return df.checkpoint(eager=True)
+    spark = df.sparkSession
+    root = ensure_checkpoint_dir(spark).rstrip("/")
+    path = f"{root}/apflow-tables/{uuid.uuid4().hex}"
+    df.write.mode("errorifexists").parquet(path)
+    return spark.read.parquet(path)
 
 
 def sized_dimension(df: DataFrame, max_rows: int = DEFAULT_BROADCAST_ROWS) -> tuple[DataFrame, bool]:
@@ -37,17 +46,20 @@ def sized_dimension(df: DataFrame, max_rows: int = DEFAULT_BROADCAST_ROWS) -> tu
 def join_dimension(
     fact: DataFrame,
     dim: DataFrame,
-    on: Column,
+    keys: Sequence[tuple[str, str]],
     how: str = "left",
     max_rows: int = DEFAULT_BROADCAST_ROWS,
 ) -> DataFrame:
-    """Join ``fact`` to a lookup, broadcasting it only when the checked size allows.
+    """Join ``fact`` to a lookup on ``(fact column, lookup column)`` pairs.
 
-    Past ``max_rows`` the join stays a shuffle (sort-merge) join and AQE may
-    still pick a broadcast from measured sizes.
+    The lookup is materialized and counted first; it is broadcast only when
+    the measured row count is at most ``max_rows``. Past that the join stays a
+    shuffle (sort-merge) join, where AQE may still pick a broadcast from
+    measured sizes. Column names must differ between the two sides.
     """
     dim_m, small = sized_dimension(dim, max_rows)
-    return fact.join(F.broadcast(dim_m) if small else dim_m, on, how)
+    cond = reduce(lambda a, b: a & b, [F.col(f) == F.col(d) for f, d in keys])
+    return fact.join(F.broadcast(dim_m) if small else dim_m, cond, how)
 
 
 def not_in(col: Column, values: DataFrame) -> Column:

@@ -59,19 +59,20 @@ def present_columns(df: DataFrame, cols: Sequence[str]) -> list[str]:
     return out
 
 
-def value_frequencies(df: DataFrame, cols: Sequence[str]) -> DataFrame:
-    """-> column_name, value (text), count; non-NULL values only.
+def value_frequencies(df: DataFrame, cols: Sequence[str], with_nulls: bool = False) -> DataFrame:
+    """-> column_name, value (text), count; one row per distinct value.
 
     Values are cast to text before the unpivot because one column cannot mix
-    types.
+    types. ``with_nulls`` keeps one NULL-value row per column, so row and
+    non-NULL counts can be read off the same table.
     """
     pairs = F.array(*[
         F.struct(F.lit(c).alias("column_name"), F.col(c).cast("string").alias("value")) for c in cols
     ])
     long = df.select(F.explode(pairs).alias("_p")).select("_p.column_name", "_p.value")
-    return long.where(F.col("value").isNotNull()).groupBy("column_name", "value").agg(
-        F.count(F.lit(1)).alias("count")
-    )
+    if not with_nulls:
+        long = long.where(F.col("value").isNotNull())
+    return long.groupBy("column_name", "value").agg(F.count(F.lit(1)).alias("count"))
 
 
 def _non_null_counts(df: DataFrame, cols: Sequence[str]) -> DataFrame:
@@ -160,19 +161,27 @@ def unique_values_joined(df: DataFrame, cols: Sequence[str], max_values: int = 1
 def exact_quantiles(df: DataFrame, cols: Sequence[str], probs: Sequence[float]) -> DataFrame:
     """Exact quantiles with linear interpolation (pandas ``describe``).
 
-    -> column_name, prob, value (DOUBLE). For ``n`` non-NULL values the
-    quantile ``p`` sits at 0-based position ``h = (n - 1) p`` between the
-    values at ``floor(h)`` and ``ceil(h)``. Positions are found without a
-    global sort in one task: distinct values are range-partitioned, each
-    partition computes running counts locally, per-partition totals (a table
-    of partitions x columns) give each partition its offset, and the few
-    target positions are matched by a broadcast join on the column name.
+    -> column_name, prob, value (DOUBLE). See :func:`quantiles_from_frequencies`.
     """
     pairs = F.array(*[
         F.struct(F.lit(c).alias("column_name"), F.col(c).cast("double").alias("v")) for c in cols
     ])
     long = df.select(F.explode(pairs).alias("_p")).select("_p.column_name", "_p.v").where(F.col("v").isNotNull())
     freq = long.groupBy("column_name", "v").agg(F.count(F.lit(1)).alias("c"))
+    return quantiles_from_frequencies(freq, probs)
+
+
+def quantiles_from_frequencies(freq: DataFrame, probs: Sequence[float]) -> DataFrame:
+    """Exact quantiles of each column from its (column_name, v, c) frequency table.
+
+    For ``n`` non-NULL values the quantile ``p`` sits at 0-based position
+    ``h = (n - 1) p`` between the values at ``floor(h)`` and ``ceil(h)``.
+    Positions are found without gathering a column into one task: distinct
+    values are range-partitioned, each partition computes running counts
+    locally, per-partition totals (a table of partitions x columns) give each
+    partition its offset, and the few target positions are matched by a
+    broadcast join on the column name.
+    """
     ranged = freq.repartitionByRange(QUANTILE_PARTITIONS, "column_name", "v").withColumn(
         "pid", F.spark_partition_id()
     )
@@ -181,11 +190,11 @@ def exact_quantiles(df: DataFrame, cols: Sequence[str], probs: Sequence[float])
     part_tot = local.groupBy("pid", "column_name").agg(F.sum("c").alias("pt"))
     w_off = Window.partitionBy("column_name").orderBy("pid").rowsBetween(Window.unboundedPreceding, -1)
     offsets = part_tot.withColumn("off", F.coalesce(F.sum("pt").over(w_off), F.lit(0))).select(
-        "pid", "column_name", "off", "pt"
+        "pid", "column_name", "off"
     )
     n = part_tot.groupBy("column_name").agg(F.sum("pt").alias("n"))
-    # bounded by partitions x columns: broadcast
-    placed = local.join(F.broadcast(offsets.drop("pt")), ["pid", "column_name"]).select(
+    # offsets: bounded by partitions x columns, broadcast
+    placed = local.join(F.broadcast(offsets), ["pid", "column_name"]).select(
         "column_name", "v", (F.col("off") + F.col("local_cum") - F.col("c")).alias("before"), "c"
     )
     targets = n.select("column_name", "n", F.explode(F.array(*[F.lit(float(p)) for p in probs])).alias("prob"))
@@ -221,63 +230,59 @@ def data_snapshot(df: DataFrame, top_k: int = 3) -> DataFrame:
     max / P90 / P95 with two decimals; timestamps give min and max; every
     other column its ``top_k`` values with their share of non-NULL rows.
     ``dtype`` is Spark's type name.
+
+    One scan builds the value-frequency table (NULLs included) and writes it
+    to the checkpoint folder; every statistic is then read off that table, so
+    the input is read and shuffled once however many statistics there are.
     """
+    from apflow.operators.joins import materialize
+
     cols = list(df.columns)
     types = {f.name: f.dataType for f in df.schema.fields}
     numeric = [c for c in cols if _is_numeric(types[c])]
     stamps = [c for c in cols if _is_datetime(types[c])]
     other = [c for c in cols if c not in numeric and c not in stamps]
 
-    base = _non_null_counts(df, cols)
-    freq = value_frequencies(df, cols)
-    distinct = freq.groupBy("column_name").agg(F.count(F.lit(1)).alias("distinct_ct"))
+    freq = materialize(value_frequencies(df, cols, with_nulls=True))
+    present = freq.where(F.col("value").isNotNull())
+    counts = freq.groupBy("column_name").agg(
+        F.sum("count").alias("row_count"),
+        F.sum(F.when(F.col("value").isNotNull(), F.col("count")).otherwise(F.lit(0))).alias("non_null_ct"),
+        F.count("value").alias("distinct_ct"),
+    )
     dtype_of = F.create_map(*[x for c in cols for x in (F.lit(c), F.lit(types[c].simpleString()))])
-    out = base.withColumn("dtype", F.element_at(dtype_of, F.col("column_name")))
-    out = out.join(distinct, "column_name", "left")
 
-    details_parts = []
+    def fx(c: str) -> Column:
+        return F.coalesce(py_fixed(F.col(c), 2), F.lit("nan"))
+
+    parts = []
     if numeric:
-        stats = df.agg(*[
-            F.struct(
-                F.min(F.col(c).cast("double")).alias("mn"),
-                F.avg(F.col(c).cast("double")).alias("mean"),
-                F.max(F.col(c).cast("double")).alias("mx"),
-            ).alias(f"_s{i}")
-            for i, c in enumerate(numeric)
+        num = present.where(F.col("column_name").isin(numeric)).select(
+            "column_name", F.col("value").cast("double").alias("v"), F.col("count").alias("c")
+        )
+        mm = num.groupBy("column_name").agg(
+            F.min("v").alias("mn"), (F.sum(F.col("v") * F.col("c")) / F.sum("c")).alias("mean"), F.max("v").alias("mx")
+        )
+        q = quantiles_from_frequencies(num, SNAPSHOT_QUANTILES)
+        qw = q.groupBy("column_name").agg(*[
+            F.first(F.when(F.col("prob") == p, F.col("value")), ignorenulls=True).alias(f"q{j}")
+            for j, p in enumerate(SNAPSHOT_QUANTILES)
         ])
-        pairs = F.array(*[F.struct(F.lit(c).alias("column_name"), F.col(f"_s{i}").alias("s")) for i, c in enumerate(numeric)])
-        mm = stats.select(F.explode(pairs).alias("_p")).select("_p.column_name", "_p.s.mn", "_p.s.mean", "_p.s.mx")
-        q = exact_quantiles(df, numeric, SNAPSHOT_QUANTILES)
-        qw = q.groupBy("column_name").pivot("prob", list(SNAPSHOT_QUANTILES)).agg(F.first("value"))
-        qw = qw.select("column_name", *[F.col(f"`{p}`").alias(f"q{j}") for j, p in enumerate(SNAPSHOT_QUANTILES)])
-        num = mm.join(qw, "column_name", "left")
-
-        def fx(c: str) -> Column:
-            return F.coalesce(py_fixed(F.col(c), 2), F.lit("nan"))
-
         text = F.concat(
             F.lit("Min: "), fx("mn"), F.lit(", Med: "), fx("q0"), F.lit(", Mean: "), fx("mean"),
             F.lit(", Max: "), fx("mx"), F.lit(", P90: "), fx("q1"), F.lit(", P95: "), fx("q2"),
         )
-        details_parts.append(num.select("column_name", text.alias("details")))
+        parts.append(mm.join(qw, "column_name", "left").select("column_name", text.alias("details")))
     if stamps:
-        mm = df.agg(*[
-            F.struct(F.min(c).cast("string").alias("mn"), F.max(c).cast("string").alias("mx")).alias(f"_t{i}")
-            for i, c in enumerate(stamps)
-        ])
-        pairs = F.array(*[F.struct(F.lit(c).alias("column_name"), F.col(f"_t{i}").alias("s")) for i, c in enumerate(stamps)])
-        t = mm.select(F.explode(pairs).alias("_p")).select(
-            "_p.column_name",
-            F.concat(F.lit("Min: "), F.coalesce("_p.s.mn", F.lit("NaT")), F.lit(", Max: "),
-                     F.coalesce("_p.s.mx", F.lit("NaT"))).alias("details"),
+        # ISO text sorts chronologically
+        t = present.where(F.col("column_name").isin(stamps)).groupBy("column_name").agg(
+            F.min("value").alias("mn"), F.max("value").alias("mx")
         )
-        details_parts.append(t)
+        parts.append(t.select("column_name", F.concat(F.lit("Min: "), "mn", F.lit(", Max: "), "mx").alias("details")))
     if other:
-        f = freq.where(F.col("column_name").isin(other))
         w = Window.partitionBy("column_name").orderBy(F.col("count").desc(), F.col("value").asc())
-        top = f.withColumn("_r", F.row_number().over(w)).where(F.col("_r") <= top_k)
-        nn = base.select("column_name", "non_null_ct")
-        top = top.join(F.broadcast(nn), "column_name")
+        top = present.where(F.col("column_name").isin(other)).withColumn("_r", F.row_number().over(w))
+        top = top.where(F.col("_r") <= top_k).join(counts.select("column_name", "non_null_ct"), "column_name")
         share = F.col("count").cast("double") / F.col("non_null_ct") * F.lit(100.0)
         item = F.concat(F.col("value"), F.lit(" ("), py_fixed(share, 1), F.lit("%)"))
         listed = top.groupBy("column_name").agg(
@@ -286,21 +291,22 @@ def data_snapshot(df: DataFrame, top_k: int = 3) -> DataFrame:
                 ", ",
             ).alias("_list")
         )
-        names = base.where(F.col("column_name").isin(other)).select("column_name")
-        cat = names.join(listed, "column_name", "left").select(
-            "column_name", F.concat(F.lit(f"Top {top_k}: "), F.coalesce("_list", F.lit(""))).alias("details")
-        )
-        details_parts.append(cat)
-    details = details_parts[0]
-    for p in details_parts[1:]:
+        parts.append(listed.select("column_name", F.concat(F.lit(f"Top {top_k}: "), "_list").alias("details")))
+    details = parts[0]
+    for p in parts[1:]:
         details = details.unionByName(p)
-    out = out.join(details, "column_name", "left")
+    out = counts.join(details, "column_name", "left")
+    empty = (
+        F.when(F.col("column_name").isin(numeric), F.lit("Min: nan, Med: nan, Mean: nan, Max: nan, P90: nan, P95: nan"))
+        .when(F.col("column_name").isin(stamps), F.lit("Min: NaT, Max: NaT"))
+        .otherwise(F.lit(f"Top {top_k}: "))
+    ) if cols else F.lit("")
     return out.select(
         F.col("column_name").alias("attribute"),
-        "dtype",
+        F.element_at(dtype_of, F.col("column_name")).alias("dtype"),
         "row_count",
         "non_null_ct",
         (F.col("row_count") - F.col("non_null_ct")).alias("null_ct"),
-        F.coalesce("distinct_ct", F.lit(0)).cast("bigint").alias("distinct_ct"),
-        "details",
+        F.col("distinct_ct").cast("bigint").alias("distinct_ct"),
+        F.coalesce(F.col("details"), empty).alias("details"),
     )

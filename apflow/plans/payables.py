@@ -69,15 +69,15 @@ def _rated(t: APTables, inv: DataFrame, spec: FactSpec) -> DataFrame:
             F.col("to_currency_id").alias("_ccy"), F.col("rate").alias("_rate"), F.col("rate_month").alias("_rm")
         )
         inv = inv.withColumn("_im", F.trunc(F.to_date("payment_date"), "month"))
-        cond = (inv.currency_id == r._ccy) & (inv._im == r._rm)
+        keys = [("currency_id", "_ccy"), ("_im", "_rm")]
     elif spec.rates == "window":
         r = latest_rate_in_window(t.exchange_rate, spec.base, spec.start, spec.end).select(
             F.col("to_currency_id").alias("_ccy"), F.col("rate").alias("_rate")
         )
-        cond = inv.currency_id == r._ccy
+        keys = [("currency_id", "_ccy")]
     else:
         raise ValueError("rates must be 'monthly' or 'window'")
-    j = join_dimension(inv, r, cond, "left")
+    j = join_dimension(inv, r, keys, "left")
     return j.withColumn("rate", F.coalesce(F.col("_rate"), F.lit(1.0))).drop("_ccy", "_rate", "_rm", "_im")
 
 
@@ -186,7 +186,7 @@ def month_total_line_currency(t: APTables, start: str, end: str, base: int = 1)
     )
     inv = valid_invoices(t.invoice_header, start, end, "strict_no_currency")
     d = dedupe_with_line_currency(inv, t.invoice_line)
-    j = join_dimension(d, rates, d.currency_id == rates._ccy, "left")
+    j = join_dimension(d, rates, [("currency_id", "_ccy")], "left")
     usd = usd_expr("gross_total", "_rate", "divide", "null")
     return j.agg(
         F.count_distinct("invoice_number").alias("unique_invoice_numbers"),

@@ -123,7 +123,7 @@ def missing_invoices(t: APTables, start: str, end: str) -> DataFrame:
         F.col("to_currency_id").alias("_ccy"), F.col("rate").alias("_rate"), F.col("rate_date_month").alias("_rm")
     )
     h = h.withColumn("_pm", month_start("payment_date")).join(s, h.supplier_id == s._sid, "left")
-    j = join_dimension(h, r, (h.currency_id == r._ccy) & (h._pm == r._rm), "left")
+    j = join_dimension(h, r, [("currency_id", "_ccy"), ("_pm", "_rm")], "left")
     return j.select(
         "invoice_number",
         "name",
@@ -153,7 +153,7 @@ def side_by_side(
     a = src.join(cur, src.currency_id == cur._cur_id, "left").withColumn("_pm", month_start("payment_date"))
     j = a.join(sandbox, a.invoice_number == sandbox.ledger_invoice_number, "left")
     j = j.join(sup, j.supplier_id == sup._sid, "left")
-    j = join_dimension(j, rates, (j.currency_id == rates._ccy) & (j._pm == rates._rm), "left")
+    j = join_dimension(j, rates, [("currency_id", "_ccy"), ("_pm", "_rm")], "left")
     return j.select(
         F.col("invoice_number").alias("source_invoice_number"),
         F.col("code").alias("source_currency_code"),
@@ -343,7 +343,7 @@ def _coverage_base(
             F.col("to_currency_id").alias("_ccy"), F.col("rate").alias("_rate"), F.col("rate_month").alias("_rm")
         )
         a = a.withColumn("_pm", month_start("A_payment_date"))
-        a = join_dimension(a, r, (a.A_currency_id == r._ccy) & (a._pm == r._rm), "left")
+        a = join_dimension(a, r, [("A_currency_id", "_ccy"), ("_pm", "_rm")], "left")
         a = a.withColumn("_amount_usd", usd_expr("A_gross_total", "_rate", "divide", "one"))
     b = t.supplier_dim
     b = b.select(*[F.col(c).alias(f"B_{c}") for c in b.columns])
