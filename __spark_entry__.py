@@ -28,9 +28,16 @@ from oracles import params as P  # noqa: E402
 SMOKE_DIR = "/root/testdata/sf0.001"
 
 
+_TABLES: dict[tuple[int, str], APTables] = {}
+
+
 def _t(spark: SparkSession, sf_dir: str) -> APTables:
+    """The AP tables of ``sf_dir``; plans (not data) are reused within a session."""
     spark.conf.set("spark.sql.session.timeZone", "UTC")
-    return APTables(spark, sf_dir)
+    key = (id(spark), sf_dir)
+    if key not in _TABLES:
+        _TABLES[key] = APTables(spark, sf_dir)
+    return _TABLES[key]
 
 
 def _problem(t: APTables) -> DataFrame:
