@@ -17,19 +17,23 @@ from apflow.session import ensure_checkpoint_dir
 DEFAULT_BROADCAST_ROWS = 2_000_000
 
 
-def materialize(df: DataFrame) -> DataFrame:
+def materialize(df: DataFrame, small: bool = False) -> DataFrame:
     """Write ``df`` as a parquet table under the shared checkpoint folder and read it back.
 
     Cuts lineage: a lost executor re-reads the written files instead of
     recomputing the upstream scan and shuffles. Parquet keeps it columnar and
     compressed, unlike an RDD checkpoint of serialized rows. Each call writes
-    a fresh folder, so concurrent jobs never share one.
+    a fresh folder, so concurrent jobs never share one. ``small`` is for
+    results bounded by construction (a top-k, one row per currency and
+    month): they are written as a single file.
     """
     spark = df.sparkSession
     root = ensure_checkpoint_dir(spark).rstrip("/")
     path = f"{root}/apflow-tables/{uuid.uuid4().hex}"
-    df.write.mode("errorifexists").parquet(path)
-    return spark.read.parquet(path)
+    # a result bounded by construction is one file; repartition, not coalesce,
+    # so the stage computing it keeps its parallelism
+    (df.repartition(1) if small else df).write.mode("errorifexists").parquet(path)
+    return spark.read.schema(df.schema).parquet(path)
 
 
 def sized_dimension(df: DataFrame, max_rows: int = DEFAULT_BROADCAST_ROWS) -> tuple[DataFrame, bool]:
@@ -39,6 +43,7 @@ def sized_dimension(df: DataFrame, max_rows: int = DEFAULT_BROADCAST_ROWS) -> tu
     data (one rate per currency and month). The count reads the checkpoint,
     not the source, so the check costs one pass over a small result.
     """
+    # not forced into one file: the size is what is being checked
     m = materialize(df)
     return m, m.count() <= max_rows
 

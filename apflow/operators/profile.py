@@ -24,8 +24,6 @@ from pyspark.sql import types as T
 log = logging.getLogger(__name__)
 
 SNAPSHOT_QUANTILES = (0.5, 0.9, 0.95)
-# Range partitions used to place each distinct value's cumulative count.
-QUANTILE_PARTITIONS = 64
 
 
 def py_fixed(x: Column, decimals: int) -> Column:
@@ -182,7 +180,9 @@ def quantiles_from_frequencies(freq: DataFrame, probs: Sequence[float]) -> DataF
     partition its offset, and the few target positions are matched by a
     broadcast join on the column name.
     """
-    ranged = freq.repartitionByRange(QUANTILE_PARTITIONS, "column_name", "v").withColumn(
+    # as many range partitions as the session sizes its shuffles for
+    parts = int(freq.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    ranged = freq.repartitionByRange(parts, "column_name", "v").withColumn(
         "pid", F.spark_partition_id()
     )
     w_local = Window.partitionBy("pid", "column_name").orderBy("v").rowsBetween(Window.unboundedPreceding, 0)
@@ -243,12 +243,24 @@ def data_snapshot(df: DataFrame, top_k: int = 3) -> DataFrame:
     stamps = [c for c in cols if _is_datetime(types[c])]
     other = [c for c in cols if c not in numeric and c not in stamps]
 
-    freq = materialize(value_frequencies(df, cols, with_nulls=True))
+    # One pass: numeric values stay DOUBLE (no text formatting of millions of
+    # numbers), everything else is text; NULLs are kept as one group per column.
+    pairs = F.array(*[
+        F.struct(
+            F.lit(c).alias("column_name"),
+            (F.col(c).cast("double") if c in numeric else F.lit(None).cast("double")).alias("num"),
+            (F.lit(None).cast("string") if c in numeric else F.col(c).cast("string")).alias("value"),
+        )
+        for c in cols
+    ])
+    typed = df.select(F.explode(pairs).alias("_p")).select("_p.column_name", "_p.num", "_p.value")
+    freq = materialize(typed.groupBy("column_name", "num", "value").agg(F.count(F.lit(1)).alias("count")))
+    is_value = F.col("num").isNotNull() | F.col("value").isNotNull()
     present = freq.where(F.col("value").isNotNull())
     counts = freq.groupBy("column_name").agg(
         F.sum("count").alias("row_count"),
-        F.sum(F.when(F.col("value").isNotNull(), F.col("count")).otherwise(F.lit(0))).alias("non_null_ct"),
-        F.count("value").alias("distinct_ct"),
+        F.sum(F.when(is_value, F.col("count")).otherwise(F.lit(0))).alias("non_null_ct"),
+        F.count_if(is_value).alias("distinct_ct"),
     )
     dtype_of = F.create_map(*[x for c in cols for x in (F.lit(c), F.lit(types[c].simpleString()))])
 
@@ -257,8 +269,8 @@ def data_snapshot(df: DataFrame, top_k: int = 3) -> DataFrame:
 
     parts = []
     if numeric:
-        num = present.where(F.col("column_name").isin(numeric)).select(
-            "column_name", F.col("value").cast("double").alias("v"), F.col("count").alias("c")
+        num = freq.where(F.col("num").isNotNull()).select(
+            "column_name", F.col("num").alias("v"), F.col("count").alias("c")
         )
         mm = num.groupBy("column_name").agg(
             F.min("v").alias("mn"), (F.sum(F.col("v") * F.col("c")) / F.sum("c")).alias("mean"), F.max("v").alias("mx")

@@ -26,7 +26,7 @@ from pyspark.sql import functions as F
 from apflow.functions.dates import in_window, month_start
 from apflow.functions.measures import to_usd as usd_expr
 from apflow.operators.invoices import dedupe_invoices, keep_one_ledger, valid_invoices
-from apflow.operators.joins import join_dimension
+from apflow.operators.joins import join_dimension, materialize
 from apflow.operators.rates import monthly_rates, monthly_rates_by_rate_date
 from apflow.sources.fixtures import APTables
 
@@ -92,19 +92,23 @@ def supplier_coverage(
     )
 
 
-def problem_suppliers(metrics: DataFrame, min_pct: float = 90.0, top: int = 40) -> DataFrame:
+def problem_suppliers(metrics: DataFrame, min_pct: float = 90.0, top: int = 40, materialized: bool = True) -> DataFrame:
     """The ``top`` largest suppliers (by invoices) with more than ``min_pct`` % missing.
 
     Ties on the invoice count go to the smaller supplier id. Planned as a
     TakeOrderedAndProject, so the result is bounded by ``top`` and safe to
-    broadcast into a ``NOT IN``.
+    broadcast into a ``NOT IN``. By default the (at most ``top``) ids are
+    written once under the checkpoint folder: Catalyst copies a ``NOT IN``
+    filter into every lookup joined on the supplier, and each copy then reads
+    the small written table instead of re-planning the coverage pipeline.
     """
-    return (
+    ids = (
         metrics.where(F.col("pct_only_in_source") > min_pct)
         .orderBy(F.col("total_invoices").desc_nulls_first(), F.col("supplier_id").asc_nulls_last())
         .limit(top)
         .select("supplier_id")
     )
+    return materialize(ids, small=True) if materialized else ids
 
 
 # ----------------------------------------------------------------------- J22
