@@ -194,6 +194,11 @@ def j23(spark, d):
     return inv_ops.dedupe_ledger(_t(spark, d).ledger_backup)
 
 
+def j23_control_totals(spark, d):
+    t = _t(spark, d)
+    return inv_ops.repair_control_totals(t.ledger_backup, t.ledger)
+
+
 def j24(spark, d):
     return inv_ops.duplicate_audit(_t(spark, d).ledger_backup, ("invoice__", "supplier"), P.LEDGER_AFTER)
 
@@ -337,6 +342,7 @@ _QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "j21_problem_suppliers": j21,
     "j22_missing_invoices": j22,
     "j23_dedupe_ledger": j23,
+    "j23_repair_control_totals": j23_control_totals,
     "j24_duplicate_audit_invoice_supplier": j24,
     "j25_duplicate_audit_invoice_supplier_total": j25,
     "j26_keep_one_ledger": j26,
@@ -399,6 +405,7 @@ def oracle_sql() -> dict[str, str]:
         "j21_problem_suppliers": O.j21(),
         "j22_missing_invoices": O.j22(),
         "j23_dedupe_ledger": O.j23(),
+        "j23_repair_control_totals": O.j23_control_totals(),
         "j24_duplicate_audit_invoice_supplier": O.j24(),
         "j25_duplicate_audit_invoice_supplier_total": O.j25(),
         "j26_keep_one_ledger": O.j26(),

@@ -169,3 +169,29 @@ def keep_one_ledger(ledger: DataFrame, after: str | None, keys: Sequence[str] =
     rest = [c for c in LEDGER_COLUMNS if c not in keys]
     w = Window.partitionBy(*keys).orderBy(*[F.col(c).asc_nulls_last() for c in rest])
     return recent.withColumn("_rn", F.row_number().over(w)).where("_rn = 1").drop("_rn")
+
+
+def repair_control_totals(backup: DataFrame, repaired: DataFrame) -> DataFrame:
+    """Before/after control totals of a ledger repair, per payment month.
+
+    -> payment_month, rows_before, rows_after, rows_removed, total_before, total_after.
+    Two partial aggregates joined on the month (one row per month each side).
+    """
+    def totals(df: DataFrame, suffix: str) -> DataFrame:
+        return df.groupBy(F.date_format("payment_date", "yyyy-MM").alias("payment_month")).agg(
+            F.count(F.lit(1)).alias(f"rows_{suffix}"),
+            F.sum("total_usd").cast("decimal(38,2)").alias(f"total_{suffix}"),
+        )
+
+    b = totals(backup, "before")
+    a = totals(repaired, "after").withColumnRenamed("payment_month", "_m")
+    # NULL months (no payment date) are one group on each side: null-safe match
+    j = b.join(a, b.payment_month.eqNullSafe(a._m), "full")
+    return j.select(
+        F.coalesce("payment_month", "_m").alias("payment_month"),
+        F.coalesce("rows_before", F.lit(0)).alias("rows_before"),
+        F.coalesce("rows_after", F.lit(0)).alias("rows_after"),
+        (F.coalesce("rows_before", F.lit(0)) - F.coalesce("rows_after", F.lit(0))).alias("rows_removed"),
+        "total_before",
+        "total_after",
+    )

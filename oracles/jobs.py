@@ -345,6 +345,18 @@ def j23() -> str:
     return with_fixtures(["ledger"], [], "SELECT * FROM ledger")
 
 
+def j23_control_totals() -> str:
+    return with_fixtures(["ledger"], [], """
+SELECT COALESCE(b.payment_month, a.payment_month) AS payment_month,
+       COALESCE(b.n, 0) AS rows_before, COALESCE(a.n, 0) AS rows_after, COALESCE(b.n, 0) - COALESCE(a.n, 0) AS rows_removed,
+       b.total AS total_before, a.total AS total_after
+FROM (SELECT strftime(payment_date, '%Y-%m') AS payment_month, COUNT(*) AS n,
+             CAST(SUM(total_usd) AS DECIMAL(38,2)) AS total FROM ledger_backup GROUP BY 1) b
+FULL JOIN (SELECT strftime(payment_date, '%Y-%m') AS payment_month, COUNT(*) AS n,
+                  CAST(SUM(total_usd) AS DECIMAL(38,2)) AS total FROM ledger GROUP BY 1) a
+  ON b.payment_month IS NOT DISTINCT FROM a.payment_month""")
+
+
 def _audit(keys: str) -> str:
     """The audits ran on the ledger before its repair (J23), i.e. the backup copy."""
     return with_fixtures(["ledger_backup"], [("t1", f"""

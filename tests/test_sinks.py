@@ -15,3 +15,16 @@ def test_replace_parquet_and_table(spark, tables):
     replace_table(repaired, "ledger_repaired")
     replace_table(repaired, "ledger_repaired")
     assert spark.table("ledger_repaired").count() == n
+
+
+def test_repair_ledger_writes_table_and_reports_totals(spark, tables):
+    from pyspark.sql import functions as F
+
+    from apflow.plans.ledger import repair_ledger
+
+    path = os.path.join(tempfile.mkdtemp(prefix="apflow-repair-"), "ledger")
+    totals = repair_ledger(tables.ledger_backup, path, to_path=True)
+    written = spark.read.parquet(path)
+    assert written.count() == tables.ledger.count()
+    agg = totals.agg(F.sum("rows_before"), F.sum("rows_after"), F.sum("rows_removed")).first()
+    assert agg[0] == tables.ledger_backup.count() and agg[1] == written.count() and agg[0] - agg[1] == agg[2]
