@@ -97,8 +97,9 @@ def top_n_values(df: DataFrame, cols: Sequence[str], top_n: int = 5) -> DataFram
     freq = value_frequencies(df, cols)
     w = Window.partitionBy("column_name").orderBy(F.col("count").desc(), F.col("value").asc())
     top = freq.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= top_n)
-    nn = _non_null_counts(df, cols).select("column_name", "non_null_ct")
-    j = top.join(F.broadcast(nn), "column_name")
+    # non-NULL rows per column, read off the same frequency table (no second scan)
+    nn = freq.groupBy(F.col("column_name").alias("_nn_col")).agg(F.sum("count").alias("non_null_ct"))
+    j = top.join(nn, top.column_name == nn._nn_col).drop("_nn_col")
     pct = F.col("count").cast("double") / F.col("non_null_ct") * F.lit(100.0)
     return j.select(
         "column_name",
