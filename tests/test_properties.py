@@ -80,3 +80,23 @@ def test_results_do_not_depend_on_input_partitioning(spark):
     fa = reconcile.supplier_coverage(a.invoice_header, a.ledger, a.supplier_dim, P.START, P.END)
     fb = reconcile.supplier_coverage(b.invoice_header, b.ledger, b.supplier_dim, P.START, P.END)
     assert fa.exceptAll(fb).count() == 0 and fb.exceptAll(fa).count() == 0
+
+
+def test_two_month_totals_differ_only_by_rows_without_supplier(spark, tables):
+    """The basic and the supplier-filtered totals (J13) differ by exactly the NULL-supplier invoices."""
+    basic = invoice_fact(tables, E._v1_spec(False, False))
+    strict = invoice_fact(tables, E._v1_spec(True, False))
+    diff = basic.agg(F.sum("total_usd")).first()[0] - strict.agg(F.sum("total_usd")).first()[0]
+    no_supplier = basic.where(F.col("supplier_id").isNull()).agg(F.sum("total_usd")).first()[0] or 0
+    assert diff == no_supplier
+
+
+def test_reconciliation_partitions_every_invoice(spark, tables):
+    m = reconcile.supplier_coverage(tables.invoice_header, tables.ledger, tables.supplier_dim, P.START, P.END)
+    assert m.where(F.col("only_in_source") + F.col("present_in_both") != F.col("total_invoices")).count() == 0
+    h = tables.invoice_header.where(F.col("payment_date").between(P.START, P.END))
+    h = h.join(tables.supplier_dim.select(F.col("id").alias("_s")), F.col("supplier_id") == F.col("_s"))
+    source_rows = h.count()
+    only = m.agg(F.sum("only_in_source")).first()[0]
+    unmatched = h.join(tables.ledger, h.invoice_number == tables.ledger.invoice__, "left_anti").count()
+    assert only == unmatched and only <= source_rows
