@@ -323,3 +323,13 @@ def data_snapshot(df: DataFrame, top_k: int = 3) -> DataFrame:
         F.col("distinct_ct").cast("bigint").alias("distinct_ct"),
         F.coalesce(F.col("details"), empty).alias("details"),
     )
+
+
+def top_n_values_with_excluded(df: DataFrame, cols: Sequence[str], top_n: int = 5) -> tuple[DataFrame, DataFrame]:
+    """J36 in the reference's shape: (top values, all-NULL columns that were excluded)."""
+    return top_n_values(df, cols, top_n), all_null_columns(df, cols)
+
+
+def unique_values_with_excluded(df: DataFrame, cols: Sequence[str]) -> tuple[DataFrame, DataFrame]:
+    """J35 in the reference's shape: (distinct values, all-NULL columns that were excluded)."""
+    return unique_values(df, cols), all_null_columns(df, cols)

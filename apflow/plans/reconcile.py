@@ -45,9 +45,22 @@ def ledger_match_counts(ledger: DataFrame, key: str = "invoice__") -> DataFrame:
     )
 
 
-def with_match_count(invoices: DataFrame, ledger: DataFrame, number: str = "invoice_number") -> DataFrame:
-    """Left-join the ledger match count ``_k`` (NULL when unmatched)."""
+MATCH_POLICIES = ("fanout", "exists")
+
+
+def with_match_count(
+    invoices: DataFrame, ledger: DataFrame, number: str = "invoice_number", match: str = "fanout"
+) -> DataFrame:
+    """Left-join the ledger match count ``_k`` (NULL when unmatched).
+
+    ``match='fanout'`` (the reference's behaviour) counts an invoice once per
+    matching ledger row; ``match='exists'`` counts a matched invoice once.
+    """
+    if match not in MATCH_POLICIES:
+        raise ValueError(f"match must be one of {MATCH_POLICIES}")
     m = ledger_match_counts(ledger)
+    if match == "exists":
+        m = m.select("_match_key", F.lit(1).cast("bigint").alias("_k"))
     return invoices.join(m, invoices[number] == m._match_key, "left").drop("_match_key")
 
 
@@ -73,14 +86,15 @@ def _pct(part: Column, total: Column) -> Column:
 
 # ------------------------------------------------------------------ J20, J21
 def supplier_coverage(
-    headers: DataFrame, ledger: DataFrame, suppliers: DataFrame, start: str | None, end: str | None
+    headers: DataFrame, ledger: DataFrame, suppliers: DataFrame, start: str | None, end: str | None,
+    match: str = "fanout",
 ) -> DataFrame:
     """Per supplier, invoices only in the source, in both, total, % only.
 
     -> supplier_id, only_in_source, present_in_both, total_invoices, pct_only_in_source
     """
     h = headers.where(in_window("payment_date", start, end)).select("invoice_number", "supplier_id")
-    h = with_match_count(h, ledger)
+    h = with_match_count(h, ledger, match=match)
     s = suppliers.select(F.col("id").alias("_sid"))
     j = h.join(s, h.supplier_id == s._sid, "inner")
     only, both, total = F.sum(_source_only_rows()), F.sum(_in_both()), F.sum(_all_rows())
@@ -174,9 +188,9 @@ def side_by_side(
 
 
 # ------------------------------------------------------------------ J28, J29
-def _missing_rate(t: APTables, by: str, start: str, end: str, min_invoices: int) -> DataFrame:
+def _missing_rate(t: APTables, by: str, start: str, end: str, min_invoices: int, match: str = "fanout") -> DataFrame:
     h = t.invoice_header.where(in_window("payment_date", start, end, date_cast=True) & F.col("paid"))
-    h = with_match_count(h.select("invoice_number", by), t.ledger)
+    h = with_match_count(h.select("invoice_number", by), t.ledger, match=match)
     missing_row = F.when(_k().isNull() & F.col("invoice_number").isNotNull(), F.lit(1)).otherwise(F.lit(0))
     total, missing = F.sum(_all_rows()), F.sum(missing_row)
     g = h.groupBy(by).agg(total.alias("total_invoices"), missing.alias("missing_invoices"))
@@ -192,23 +206,27 @@ def _missing_rate(t: APTables, by: str, start: str, end: str, min_invoices: int)
     )
 
 
-def missing_rate_by_creator(t: APTables, start: str, end: str, min_invoices: int = 10) -> DataFrame:
+def missing_rate_by_creator(
+    t: APTables, start: str, end: str, min_invoices: int = 10, match: str = "fanout"
+) -> DataFrame:
     """Per creator, paid invoices missing from / matched in the ledger (>= ``min_invoices``).
 
     An invoice without a number counts as matched, as in the reference.
     """
-    return _missing_rate(t, "created_by_id", start, end, min_invoices).orderBy(
+    return _missing_rate(t, "created_by_id", start, end, min_invoices, match).orderBy(
         F.col("missing_rate_pct").desc_nulls_first()
     )
 
 
-def missing_rate_by_supplier(t: APTables, start: str, end: str, min_invoices: int = 10) -> DataFrame:
+def missing_rate_by_supplier(
+    t: APTables, start: str, end: str, min_invoices: int = 10, match: str = "fanout"
+) -> DataFrame:
     """J28 per supplier plus grand totals over the listed suppliers.
 
     The grand totals are one scalar subquery (a one-row aggregate broadcast
     as a value), not a window over a single partition.
     """
-    s = _missing_rate(t, "supplier_id", start, end, min_invoices)
+    s = _missing_rate(t, "supplier_id", start, end, min_invoices, match)
     tot = s.agg(
         F.struct(
             F.sum("total_invoices").alias("t"),
@@ -265,7 +283,8 @@ def supplier_tiers(suppliers: DataFrame, key: str = "supplier-tier") -> DataFram
 
 
 def coverage_by_tier(
-    t: APTables, start: str, end: str, ledger_period: DataFrame, suppliers_in: Sequence[int] | None = None
+    t: APTables, start: str, end: str, ledger_period: DataFrame, suppliers_in: Sequence[int] | None = None,
+    match: str = "fanout",
 ) -> DataFrame:
     """Match coverage per supplier tier (from the JSON custom fields).
 
@@ -279,7 +298,7 @@ def coverage_by_tier(
     st = supplier_tiers(t.supplier_dim).withColumnRenamed("supplier_id", "_st_id")
     j = a.select("invoice_number", "supplier_id").join(b, F.col("supplier_id") == b._bid, "inner")
     j = j.join(st, j._bid == st._st_id, "left")
-    j = with_match_count(j, ledger_period)
+    j = with_match_count(j, ledger_period, match=match)
     return j.groupBy("supplier_tier_value").agg(*_coverage_columns()).orderBy(F.col("total_count").desc_nulls_first())
 
 
@@ -334,6 +353,7 @@ def _coverage_base(
     amounts: bool = False,
     rates_since: str | None = None,
     base: int = 1,
+    match: str = "fanout",
 ) -> DataFrame:
     """Invoices in the window joined to supplier (inner), supplier info (left),
     ledger match counts and, for amounts, the month's rate.
@@ -356,7 +376,7 @@ def _coverage_base(
         d = t.supplier_information
         d = d.select(*[F.col(c).alias(f"D_{c}") for c in d.columns])
         j = j.join(d, j.B_id == d.D_supplier_id, "left")
-    return with_match_count(j, ledger_period, number="A_invoice_number")
+    return with_match_count(j, ledger_period, number="A_invoice_number", match=match)
 
 
 def _order(sort_by: Sequence[str]) -> list[Column]:
@@ -391,6 +411,7 @@ def coverage_by(
     amounts: bool = False,
     rates_since: str | None = None,
     with_supplier_info: bool = True,
+    match: str = "fanout",
 ) -> DataFrame:
     """J31 (counts) / J32 (``amounts=True``): match coverage per value of one dimension.
 
@@ -404,7 +425,7 @@ def coverage_by(
     bad = [k for k in keys if k not in SORTABLE]
     if bad:
         raise ValueError(f"cannot sort by {bad}")
-    base = _coverage_base(t, start, end, ledger_period, with_supplier_info, amounts, rates_since)
+    base = _coverage_base(t, start, end, ledger_period, with_supplier_info, amounts, rates_since, match=match)
     cols = _coverage_columns()
     aggs = cols[:3] + (_amount_columns() if amounts else []) + cols[3:]
     out = base.groupBy(dim.value().alias("variable_value")).agg(*aggs)
@@ -419,6 +440,22 @@ def coverage_by(
     )
 
 
+def coverage_by_with_amounts(
+    t: APTables,
+    dim: Dimension,
+    start: str,
+    end: str,
+    ledger_period: DataFrame,
+    rates_since: str | None,
+    top_n: int | None = 20,
+    sort_by: Sequence[str] | str | None = None,
+    match: str = "fanout",
+) -> DataFrame:
+    """J32 with the reference's defaults (top 20): counts plus USD in thousands."""
+    return coverage_by(t, dim, start, end, ledger_period, top_n=top_n, sort_by=sort_by, amounts=True,
+                       rates_since=rates_since, match=match)
+
+
 def coverage_sweep(
     t: APTables,
     dims: Sequence[Dimension],
@@ -429,6 +466,7 @@ def coverage_sweep(
     sort_by: Sequence[str] | str | None = "total_count",
     amounts: bool = False,
     rates_since: str | None = None,
+    match: str = "fanout",
 ) -> DataFrame:
     """J31/J32 for many dimensions in one join and one aggregate.
 
@@ -441,7 +479,7 @@ def coverage_sweep(
     column does not exist is logged and skipped instead of failing the sweep.
     """
     keys = _normalise_sort(sort_by, DEFAULT_SORT)
-    base = _coverage_base(t, start, end, ledger_period, True, amounts, rates_since)
+    base = _coverage_base(t, start, end, ledger_period, True, amounts, rates_since, match=match)
     present = set(base.columns)
     usable: list[tuple[int, Dimension]] = []
     for i, d in enumerate(dims):

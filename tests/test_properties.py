@@ -100,3 +100,18 @@ def test_reconciliation_partitions_every_invoice(spark, tables):
     only = m.agg(F.sum("only_in_source")).first()[0]
     unmatched = h.join(tables.ledger, h.invoice_number == tables.ledger.invoice__, "left_anti").count()
     assert only == unmatched and only <= source_rows
+
+
+def test_exists_policy_counts_each_invoice_once(spark, tables):
+    period = tables.ledger_period(P.START, P.END)
+    fan = reconcile.coverage_by(tables, E.SHIPPING_DIM, P.START, P.END, period, top_n=None)
+    once = reconcile.coverage_by(tables, E.SHIPPING_DIM, P.START, P.END, period, top_n=None, match="exists")
+    a = {r.variable_value: r for r in fan.collect()}
+    b = {r.variable_value: r for r in once.collect()}
+    assert a.keys() == b.keys()
+    for k in a:
+        assert b[k].source_only_count == a[k].source_only_count
+        assert b[k].both_count <= a[k].both_count
+    h = tables.invoice_header.where(F.col("payment_date").between(P.START, P.END))
+    h = h.join(tables.supplier_dim.select(F.col("id").alias("_s")), F.col("supplier_id") == F.col("_s"))
+    assert sum(r.total_count for r in b.values()) == h.count()
