@@ -115,3 +115,10 @@ def test_exists_policy_counts_each_invoice_once(spark, tables):
     h = tables.invoice_header.where(F.col("payment_date").between(P.START, P.END))
     h = h.join(tables.supplier_dim.select(F.col("id").alias("_s")), F.col("supplier_id") == F.col("_s"))
     assert sum(r.total_count for r in b.values()) == h.count()
+
+
+def test_sweep_skips_a_dimension_without_its_column(spark, tables):
+    period = tables.ledger_period(P.START, P.END)
+    dims = [reconcile.Dimension("B", "no_such_column", "Broken"), reconcile.REFERENCE_DIMENSIONS[6]]
+    out = reconcile.coverage_sweep(tables, dims, P.START, P.END, period, top_n=5)
+    assert {r.display_name for r in out.select("display_name").distinct().collect()} == {"Invoice: Channel"}
