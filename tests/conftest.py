@@ -20,8 +20,9 @@ def spark():
         "apflow-tests",
         master="local[4]",
         shuffle_partitions=8,
+        # spark.checkpoint.dir is taken from the session (spark-defaults); get_session
+        # sets a scratch one only when it is unset
         extra_conf={
-            "spark.checkpoint.dir": os.path.join(scratch, "ckpt"),
             "spark.sql.warehouse.dir": os.path.join(scratch, "warehouse"),
             "spark.ui.showConsoleProgress": "false",
         },
