@@ -32,10 +32,17 @@ _TABLES: dict[tuple[int, str], APTables] = {}
 
 
 def _t(spark: SparkSession, sf_dir: str) -> APTables:
-    """The AP tables of ``sf_dir``; plans (not data) are reused within a session."""
+    """The AP tables of ``sf_dir``; plans (not data) are reused within one live session."""
     spark.conf.set("spark.sql.session.timeZone", "UTC")
     key = (id(spark), sf_dir)
-    if key not in _TABLES:
+    cached = _TABLES.get(key)
+    alive = (
+        cached is not None
+        and cached.spark is spark
+        and spark.sparkContext._jsc is not None
+        and cached.spark.sparkContext is spark.sparkContext
+    )
+    if not alive:
         _TABLES[key] = APTables(spark, sf_dir)
     return _TABLES[key]
 
