@@ -16,8 +16,8 @@ from pyspark.sql import functions as F
 
 from apflow.functions.dates import day_diff
 
-# Fixed value: the payment-term code the reference treats as "pay now" besides
-# any caller-supplied ones.
+# The payment-term code treated as "pay now" (callers add their own
+# system's immediate-payment codes), and the +/- days that still count as on time.
 DEFAULT_IMMEDIATE_TERMS = ("Due Upon Receipt",)
 ON_TIME_TOLERANCE_DAYS = 7
 

@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from apflow.functions.dates import day_diff, in_window
 from apflow.operators.joins import not_in
 
+# Fixed value: the longest plausible invoice-to-due and invoice-to-payment span, in days.
 MAX_TERM_DAYS = 365
 RULE_SETS = ("strict", "strict_no_currency", "loose", "ledger_compare", "window_only")
 LEDGER_GRAIN = ("invoice__", "supplier", "payment_date", "requester", "total_usd", "invoice_date")

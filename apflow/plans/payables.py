@@ -33,6 +33,7 @@ from apflow.operators.lookups import po_numbers, supplier_country
 from apflow.operators.rates import latest_rate_in_window, monthly_rates
 from apflow.sources.fixtures import APTables
 
+# The intake channels the reference leaves out of the monthly trend.
 EXCLUDED_CHANNELS = ("api", "cxml")
 
 

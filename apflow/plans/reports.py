@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 
 from apflow.functions.dates import day_diff, in_window, month_start
 
+# The payment statuses the receivables report covers.
 RECEIVABLE_STATUSES = ("Paid", "Overdue", "Pending")
 
 
