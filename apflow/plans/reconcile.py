@@ -311,10 +311,12 @@ class Dimension:
     display_name: str
     expr: str | None = None  # SQL expression when the value is not a plain column
 
+    def sql(self) -> str:
+        """The value as a SQL expression over the prefixed columns."""
+        return self.expr if self.expr is not None else f"`{self.table}_{self.column}`"
+
     def value(self) -> Column:
-        if self.expr is not None:
-            return F.expr(self.expr)
-        return F.col(f"{self.table}_{self.column}")
+        return F.expr(self.sql())
 
 
 # The dimensions the reference sweeps, in its order
@@ -344,6 +346,11 @@ REFERENCE_DIMENSIONS = [
 ]
 
 
+def _prefixed(df: DataFrame, alias: str) -> DataFrame:
+    """Every column renamed ``<alias>_<name>`` (one projection)."""
+    return df.selectExpr(*[f"`{c}` AS `{alias}_{c}`" for c in df.columns])
+
+
 def _coverage_base(
     t: APTables,
     start: str,
@@ -361,7 +368,7 @@ def _coverage_base(
     Columns are prefixed with their table alias: ``A_status``, ``B_name``, ...
     """
     a = t.invoice_header.where(in_window("payment_date", start, end, date_cast=True))
-    a = a.select(*[F.col(c).alias(f"A_{c}") for c in a.columns])
+    a = _prefixed(a, "A")
     if amounts:
         r = monthly_rates(t.exchange_rate, base, rates_since).select(
             F.col("to_currency_id").alias("_ccy"), F.col("rate").alias("_rate"), F.col("rate_month").alias("_rm")
@@ -369,16 +376,19 @@ def _coverage_base(
         a = a.withColumn("_pm", month_start("A_payment_date"))
         a = join_dimension(a, r, [("A_currency_id", "_ccy"), ("_pm", "_rm")], "left")
         a = a.withColumn("_amount_usd", usd_expr("A_gross_total", "_rate", "divide", "one"))
-    b = t.supplier_dim
-    b = b.select(*[F.col(c).alias(f"B_{c}") for c in b.columns])
+    b = _prefixed(t.supplier_dim, "B")
     j = a.join(b, a.A_supplier_id == b.B_id, "inner")
     if with_supplier_info:
-        d = t.supplier_information
-        d = d.select(*[F.col(c).alias(f"D_{c}") for c in d.columns])
+        d = _prefixed(t.supplier_information, "D")
         j = j.join(d, j.B_id == d.D_supplier_id, "left")
     return with_match_count(j, ledger_period, number="A_invoice_number", match=match)
 
 
+def _q(text: str) -> str:
+    """A SQL string literal."""
+    return "'" + text.replace("\\", "\\\\").replace("'", "\\'") + "'"
+
+
 def _order(sort_by: Sequence[str]) -> list[Column]:
     return [F.col(c).desc_nulls_first() for c in sort_by] + [F.col("variable_value").asc_nulls_last()]
 
@@ -490,9 +500,9 @@ def coverage_sweep(
         usable.append((i, d))
     if not usable:
         raise ValueError("no usable dimension")
-    pairs = F.array(*[
-        F.struct(F.lit(i).alias("dim_id"), d.value().cast("string").alias("variable_value")) for i, d in usable
-    ])
+    pairs = F.expr("array(" + ", ".join(
+        f"named_struct('dim_id', {i}, 'variable_value', CAST({d.sql()} AS STRING))" for i, d in usable
+    ) + ")")
     keep = ["_k"] + (["_amount_usd"] if amounts else [])
     long = base.select(*keep, F.explode(pairs).alias("_p")).select(*keep, "_p.dim_id", "_p.variable_value")
     cols = _coverage_columns()
@@ -500,11 +510,11 @@ def coverage_sweep(
     g = long.groupBy("dim_id", "variable_value").agg(*aggs)
     w = Window.partitionBy("dim_id").orderBy(*_order(keys))
     top = g.withColumn("_rn", F.row_number().over(w)).where(F.col("_rn") <= top_n).drop("_rn")
-    meta = F.array(*[
-        F.struct(F.lit(d.table).alias("table_alias"), F.lit(d.column).alias("variable_name"),
-                 F.lit(d.display_name).alias("display_name"))
+    meta = F.expr("array(" + ", ".join(
+        f"named_struct('table_alias', {_q(d.table)}, 'variable_name', {_q(d.column)}, "
+        f"'display_name', {_q(d.display_name)})"
         for d in dims
-    ])
+    ) + ")")
     # dimension metadata by position: a literal array lookup, no join
     info = F.element_at(meta, (F.col("dim_id") + 1).cast("int"))
     front = [info["table_alias"].alias("table_alias"), info["variable_name"].alias("variable_name"),
