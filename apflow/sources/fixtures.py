@@ -97,6 +97,13 @@ class APTables:
         if unknown:
             raise ValueError(f"unknown AP tables {sorted(unknown)}")
 
+    @classmethod
+    def from_catalog(cls, spark: SparkSession, names: dict[str, str], sf_dir: str | None = None) -> "APTables":
+        """AP tables read from catalog tables by 1-, 2- or 3-part name, e.g.
+        ``{"invoice_header": "fin.ap.invoice_header", "ledger": "sandbox.wc.ledger"}``.
+        """
+        return cls(spark, sf_dir, tables={ap: spark.table(name) for ap, name in names.items()})
+
     def register_views(self, prefix: str = "") -> list[str]:
         """Register every AP table as a temporary view (``prefix + name``) for ``spark.sql``."""
         names = []

@@ -40,3 +40,9 @@ def test_register_views(spark, tables):
     n = spark.sql("SELECT COUNT(*) AS n FROM ap_invoice_header WHERE status != 'Voided'").first().n
     assert n == tables.invoice_header.where("status != 'Voided'").count()
     assert E.queries()  # the registry still builds
+
+
+def test_from_catalog_reads_named_tables(spark, tables):
+    tables.invoice_header.write.mode("overwrite").saveAsTable("ap_header_copy")
+    own = APTables.from_catalog(spark, {"invoice_header": "default.ap_header_copy"})
+    assert own.invoice_header.count() == tables.invoice_header.count()
