@@ -1,7 +1,6 @@
 """Profilers against a pandas brute force of the same definitions on small inputs."""
 
 import numpy as np
-import pandas as pd
 from hypothesis import given, settings
 from hypothesis import strategies as st
 
