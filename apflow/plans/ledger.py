@@ -8,15 +8,28 @@ from apflow.operators.invoices import dedupe_ledger, repair_control_totals
 from apflow.sources.sinks import replace_parquet, replace_table
 
 
-def repair_ledger(backup: DataFrame, target: str, to_path: bool = False) -> DataFrame:
+def repair_ledger(backup: DataFrame, target: str, to_path: bool = False, buckets: int | None = None) -> DataFrame:
     """J23 end to end: write the de-duplicated ``backup`` to ``target`` and
     return the per-month control totals (rows and amounts before and after).
 
     ``target`` is a catalog table name, or a parquet folder with
     ``to_path=True``. The source is a different table than the target, as in
     the reference, so the overwrite never reads what it replaces.
+
+    ``buckets`` writes the catalog table bucketed and sorted by invoice number.
+    Every reconciliation job first counts ledger rows per invoice number; on a
+    bucketed ledger that aggregate reads co-located buckets and the ledger is
+    never shuffled again, run after run.
     """
     repaired = dedupe_ledger(backup)
+    if buckets:
+        if to_path:
+            raise ValueError("bucketing needs a catalog table, not a path")
+        (
+            repaired.write.mode("overwrite").format("parquet")
+            .bucketBy(buckets, "invoice__").sortBy("invoice__").saveAsTable(target)
+        )
+        return repair_control_totals(backup, backup.sparkSession.table(target))
     if to_path:
         replace_parquet(repaired, target)
         written = backup.sparkSession.read.parquet(target)

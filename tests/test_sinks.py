@@ -28,3 +28,15 @@ def test_repair_ledger_writes_table_and_reports_totals(spark, tables):
     assert written.count() == tables.ledger.count()
     agg = totals.agg(F.sum("rows_before"), F.sum("rows_after"), F.sum("rows_removed")).first()
     assert agg[0] == tables.ledger_backup.count() and agg[1] == written.count() and agg[0] - agg[1] == agg[2]
+
+
+def test_bucketed_ledger_needs_no_shuffle_for_match_counts(spark, tables):
+    from apflow.plans.ledger import repair_ledger
+    from apflow.plans.reconcile import ledger_match_counts
+
+    totals = repair_ledger(tables.ledger_backup, "ledger_bucketed", buckets=4)
+    assert totals.count() > 0
+    ledger = spark.table("ledger_bucketed")
+    assert ledger.count() == tables.ledger.count()
+    plan = ledger_match_counts(ledger)._jdf.queryExecution().executedPlan().toString()
+    assert "Exchange" not in plan, plan
