@@ -404,12 +404,23 @@ def _normalise_sort(sort_by: Sequence[str] | str | None, default: Sequence[str])
 
 
 DEFAULT_SORT = ("source_only_pct", "total_count")
+AMOUNT_COLUMNS = {"both_total_usd_k", "source_only_total_usd_k", "total_usd_k"}
 SORTABLE = {
     "both_count", "source_only_count", "total_count", "both_pct", "source_only_pct",
     "both_total_usd_k", "source_only_total_usd_k", "total_usd_k",
 }
 
 
+def _sort_keys(sort_by: Sequence[str] | str | None, amounts: bool) -> list[str]:
+    """Validated sort keys: output columns only, amount columns only with amounts."""
+    keys = _normalise_sort(sort_by, DEFAULT_SORT)
+    allowed = SORTABLE if amounts else SORTABLE - AMOUNT_COLUMNS
+    bad = [k for k in keys if k not in allowed]
+    if bad:
+        raise ValueError(f"cannot sort by {bad}")
+    return keys
+
+
 def coverage_by(
     t: APTables,
     dim: Dimension,
@@ -431,10 +442,7 @@ def coverage_by(
     keeps every value. Sort keys are checked against the output columns
     instead of being spliced into SQL text.
     """
-    keys = _normalise_sort(sort_by, DEFAULT_SORT)
-    bad = [k for k in keys if k not in SORTABLE]
-    if bad:
-        raise ValueError(f"cannot sort by {bad}")
+    keys = _sort_keys(sort_by, amounts)
     base = _coverage_base(t, start, end, ledger_period, with_supplier_info, amounts, rates_since, match=match)
     cols = _coverage_columns()
     aggs = cols[:3] + (_amount_columns() if amounts else []) + cols[3:]
@@ -488,7 +496,7 @@ def coverage_sweep(
     dimension with many values is never gathered whole). A dimension whose
     column does not exist is logged and skipped instead of failing the sweep.
     """
-    keys = _normalise_sort(sort_by, DEFAULT_SORT)
+    keys = _sort_keys(sort_by, amounts)
     base = _coverage_base(t, start, end, ledger_period, True, amounts, rates_since, match=match)
     present = set(base.columns)
     usable: list[tuple[int, Dimension]] = []

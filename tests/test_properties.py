@@ -122,3 +122,14 @@ def test_sweep_skips_a_dimension_without_its_column(spark, tables):
     dims = [reconcile.Dimension("B", "no_such_column", "Broken"), reconcile.REFERENCE_DIMENSIONS[6]]
     out = reconcile.coverage_sweep(tables, dims, P.START, P.END, period, top_n=5)
     assert {r.display_name for r in out.select("display_name").distinct().collect()} == {"Invoice: Channel"}
+
+
+def test_sort_keys_are_validated(spark, tables):
+    import pytest
+
+    period = tables.ledger_period(P.START, P.END)
+    with pytest.raises(ValueError):
+        reconcile.coverage_by(tables, E.SHIPPING_DIM, P.START, P.END, period, sort_by="total_count; DROP")
+    with pytest.raises(ValueError):
+        reconcile.coverage_sweep(tables, reconcile.REFERENCE_DIMENSIONS, P.START, P.END, period,
+                                 sort_by="total_usd_k")  # amount column without amounts
