@@ -11,10 +11,11 @@ from pyspark.sql import functions as F
 
 from apflow.session import ensure_checkpoint_dir
 
-# A broadcast side is shipped to every executor and held in memory there;
-# keep it far below executor memory. Rows, not bytes, because the sides we
-# broadcast are narrow (a key or two and a value).
-DEFAULT_BROADCAST_ROWS = 2_000_000
+# A broadcast side is shipped to every executor and held in memory there, so
+# on a thousand executors it must stay small: 500k narrow rows (a key or two and
+# a value, ~12 MB) is far above a real rate table (currencies x months, tens of
+# thousands of rows) and far below executor memory.
+DEFAULT_BROADCAST_ROWS = 500_000
 
 
 def materialize(df: DataFrame, small: bool = False) -> DataFrame:
@@ -24,8 +25,8 @@ def materialize(df: DataFrame, small: bool = False) -> DataFrame:
     recomputing the upstream scan and shuffles. Parquet keeps it columnar and
     compressed, unlike an RDD checkpoint of serialized rows. Each call writes
     a fresh folder, so concurrent jobs never share one. ``small`` is for
-    results bounded by construction (a top-k, one row per currency and
-    month): they are written as a single file.
+    results bounded by construction (a top-k): they are written as a single
+    file.
     """
     spark = df.sparkSession
     root = ensure_checkpoint_dir(spark).rstrip("/")
