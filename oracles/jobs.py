@@ -96,11 +96,6 @@ def _measures() -> str:
   CASE WHEN {late} < -7 THEN {tot} ELSE 0 END AS amount_paid_7_plus_days_early"""
 
 
-def _measures_narrow() -> str:
-    usd = "(CAST(gross_total AS DOUBLE) / rate)"
-    return f"CAST(ROUND({usd}, 0) AS BIGINT) AS total_usd, date_diff('day', invoice_date, net_due_date) * {usd} AS wat, date_diff('day', invoice_date, payment_date) * {usd} AS wadtp"
-
-
 PROBLEM_CTES = [
     ("supplier_metrics", f"""
 SELECT c.id AS supplier_id,
@@ -188,7 +183,7 @@ def j12() -> str:
                          "SELECT * FROM final_data")
 
 
-def _v1_fact(require_supplier: bool, basic: bool) -> list[tuple[str, str]]:
+def _v1_fact(require_supplier: bool) -> list[tuple[str, str]]:
     sup = "AND supplier_id IS NOT NULL" if require_supplier else ""
     return [
         ("october_rates", rates_window()),
@@ -212,11 +207,11 @@ FROM joined_data WHERE invoice_number IS NOT NULL"""),
 
 
 def j11() -> str:
-    return with_fixtures(LOOKUP_FIXTURES, _v1_fact(False, True), "SELECT * FROM final_data")
+    return with_fixtures(LOOKUP_FIXTURES, _v1_fact(False), "SELECT * FROM final_data")
 
 
 def j13(require_supplier: bool) -> str:
-    return with_fixtures(LOOKUP_FIXTURES, _v1_fact(require_supplier, True),
+    return with_fixtures(LOOKUP_FIXTURES, _v1_fact(require_supplier),
                          "SELECT SUM(total_usd) / 1000000 AS amount_due_usd_millions FROM final_data")
 
 
