@@ -42,12 +42,12 @@ _OP10 = r"""
 WITH words AS (
   SELECT row_number() OVER () AS rid, doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w FROM documents
 ), windows AS (
-  SELECT rid, unnest(range(1, len(w) - 33)) AS at, unnest(list_transform(range(1, len(w) - 33), lambda i: md5(array_to_string(w[i:i + 34], ' ')))) AS h
+  SELECT rid, unnest(range(1, len(w) - 33)) AS place, unnest(list_transform(range(1, len(w) - 33), lambda i: md5(array_to_string(w[i:i + 34], ' ')))) AS h
   FROM words WHERE len(w) >= 35
 ), repeated AS (
-  SELECT rid, at FROM windows WHERE h IN (SELECT h FROM windows GROUP BY h HAVING count(*) > 1)
-), covered AS (SELECT DISTINCT rid, at + unnest(range(35)) AS at FROM repeated),
-gone AS (SELECT rid, list(at) AS places, count(*) AS n FROM covered GROUP BY rid)
+  SELECT rid, place FROM windows WHERE h IN (SELECT h FROM windows GROUP BY h HAVING count(*) > 1)
+), covered AS (SELECT DISTINCT rid, place + unnest(range(35)) AS place FROM repeated),
+gone AS (SELECT rid, list(place) AS places, count(*) AS n FROM covered GROUP BY rid)
 SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, CAST(coalesce(n, 0) AS BIGINT) AS n_removed,
        sha256(array_to_string(CASE WHEN n IS NULL THEN w ELSE list_filter(w, lambda x, i: NOT list_contains(places, i)) END, ' ')) AS kept_sha256
 FROM words LEFT JOIN gone USING (rid)
