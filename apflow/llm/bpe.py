@@ -30,7 +30,7 @@ from pyspark.sql import types as T
 
 from apflow.llm.words import per_worker
 
-MEMO_ENTRIES = 400_000  # of one generation, about 80 MB
+MEMO_ENTRIES = 200_000  # of one generation, about 40 MB
 MEMO_CHARS = 48  # longer units are not kept
 LONG = 64  # bytes of a fragment that is merged by itself
 NO_MERGE = 1 << 40
