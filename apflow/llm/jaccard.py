@@ -276,7 +276,9 @@ def _classes(docs: DataFrame, threshold: float, tolerance: float) -> tuple[DataF
         lambda b: F.xxhash64(b, F.substring("sig", b * (4 * PER_BAND) + 1, F.lit(4 * PER_BAND))),
     )
     banded = vertices.select("vid", F.posexplode(bands).alias("band", "value"))
-    buckets = banded.groupBy("band", "value").agg(F.count("*").alias("n"), F.min("vid").alias("leader")).where("n > 1").drop("n")
+    # written, so that the join has a plain exchange on either side and a hot bucket can be split
+    buckets = materialize(
+        banded.groupBy("band", "value").agg(F.count("*").alias("n"), F.min("vid").alias("leader")).where("n > 1").drop("n"))
     led = banded.join(buckets, ["band", "value"]).groupBy("vid").agg(
         F.map_from_entries(F.collect_list(F.struct("band", "leader"))).alias("by_band")  # BANDS entries at most
     )
@@ -284,8 +286,8 @@ def _classes(docs: DataFrame, threshold: float, tolerance: float) -> tuple[DataF
         F.sequence(F.lit(0), F.lit(BANDS - 1)), lambda b: F.coalesce(F.try_element_at("by_band", b), F.lit(-1))).alias("leaders")))
     grouped = led.join(vertices.select("vid", "n_words"), "vid").select(
         "vid", "n_words", F.explode(F.array_distinct(F.filter("leaders", lambda x: x >= 0))).alias("leader"))
-    blocks = grouped.groupBy("leader").agg(
-        F.greatest(F.ceil(F.count("*") / BLOCK_DOCS), F.ceil(F.sum("n_words") / BLOCK_WORDS)).cast("int").alias("blocks"))
+    blocks = materialize(grouped.groupBy("leader").agg(
+        F.greatest(F.ceil(F.count("*") / BLOCK_DOCS), F.ceil(F.sum("n_words") / BLOCK_WORDS)).cast("int").alias("blocks")))
     members = grouped.drop("n_words").join(blocks, "leader").withColumn(
         "blk", F.pmod(F.xxhash64("vid"), F.col("blocks")).cast("int"))
     # each block meets every block of its group, itself included, in one task
@@ -307,8 +309,9 @@ def _classes(docs: DataFrame, threshold: float, tolerance: float) -> tuple[DataF
         vertices.drop("sig", "n_words").join(roots, vertices["vid"] == roots["vertex"], "left").drop("vertex")
         .withColumn("root", F.coalesce("root", "vid")).join(links, "vid", "left")
     )
+    placed = materialize(placed)
     class_ids = placed.groupBy("root").agg(F.min("first_id").alias("class_id"), F.min(F.struct("first_id", "vid")).alias("best"))
-    placed = placed.join(class_ids, "root").select(
+    placed = placed.join(materialize(class_ids), "root").select(
         "key", "first_id", "class_id", (F.col("copies") - 1 + F.coalesce("links", F.lit(0))).alias("n_links"),
         (F.col("best.vid") == F.col("vid")).alias("representative"))
     return signed.select("doc_id", "key"), placed

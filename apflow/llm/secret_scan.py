@@ -87,8 +87,8 @@ def judged(found: DataFrame, repository: Column, owner: Column) -> DataFrame:
     each = each.where((F.col("s.kind") < 3) | ~F.col("clash")).select("__llm_row", "repo", "owner", "s")
     holders = each.select(F.col("s.hash").alias("hash"), F.coalesce("repo", F.lit("")).alias("repo"),
                           F.coalesce("owner", F.lit("")).alias("owner")).distinct()
-    counts = holders.groupBy("hash").agg(
-        F.count_distinct("repo").alias("repositories"), F.count_distinct("owner").alias("owners"))
+    counts = materialize(holders.groupBy("hash").agg(
+        F.count_distinct("repo").alias("repositories"), F.count_distinct("owner").alias("owners")))
     live = F.col("owners") < EXAMPLE_OWNERS
     told = each.join(counts, F.col("s.hash") == F.col("hash")).where((F.col("s.kind") < 3) | live)
     span = F.struct("s.start", "s.kind", "s.end", "repositories", "owners", live.alias("live"))

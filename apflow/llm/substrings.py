@@ -270,7 +270,8 @@ def repeated_spans(docs: DataFrame, window: int = WINDOW, gram: int = GRAM) -> D
     listed = materialize(_listed(docs, window, gram))
     each = listed.select("doc_id", "th", F.explode(F.arrays_zip("pos", "len", "mh", "sh")).alias("x")).select(
         "doc_id", "th", "x.pos", "x.len", "x.mh", "x.sh")
-    again = each.groupBy("mh").agg(F.count("*").alias("n")).where("n > 1").select("mh")
+    # written, so that the join has a plain exchange on either side and a hot anchor can be split
+    again = materialize(each.groupBy("mh").agg(F.count("*").alias("n")).where("n > 1").select("mh"))
     kept = materialize(each.join(again, "mh"))
     distinct = kept.groupBy("mh", "sh").agg(F.count("*").alias("n"), F.min(F.struct("doc_id", "th", "pos", "len")).alias("at"))
     distinct = materialize(distinct)
