@@ -293,10 +293,6 @@ def j35(spark, d):
     return profile.unique_values(_lineitem(spark, d), P.PROFILE_COLUMNS)
 
 
-def j35_joined(spark, d):
-    return profile.unique_values_joined(_lineitem(spark, d), P.LOW_CARDINALITY_COLUMNS)
-
-
 def j36(spark, d):
     return profile.top_n_values(_lineitem(spark, d), P.PROFILE_COLUMNS, P.TOP_VALUES)
 
@@ -366,7 +362,6 @@ _QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "j33_coverage_sweep_amounts": j33_amounts,
     "j34_data_snapshot": j34,
     "j35_unique_values": j35,
-    "j35_unique_values_joined": j35_joined,
     "j36_top_n_values": j36,
     "j37_currency_codes": j37,
     "j38_satisfaction_by_month": j38,
@@ -446,7 +441,6 @@ def oracle_sql() -> dict[str, str]:
         "j33_coverage_sweep_amounts": O.j33(_dims(), 20, ["source_only_total_usd_k"], True),
         "j34_data_snapshot": O.j34(),
         "j35_unique_values": O.j35(),
-        "j35_unique_values_joined": O.j35_joined(),
         "j36_top_n_values": O.j36(),
         "j37_currency_codes": O.j37(),
         "j38_satisfaction_by_month": O.j38(),

@@ -52,7 +52,3 @@ def currency_codes(headers: DataFrame, currencies: DataFrame, paid_after: str |
     h = headers if paid_after is None else headers.where(F.col("payment_date") > F.lit(paid_after))
     cur = currencies.select(F.col("id").alias("_cur_id"), "code")
     return h.join(cur, h.currency_id == cur._cur_id, "left").select("currency_id", "code")
-
-
-def paid_in(headers: DataFrame, start: str | None, end: str | None, date_cast: bool = False) -> DataFrame:
-    return headers.where(in_window("payment_date", start, end, date_cast))

@@ -45,6 +45,13 @@ def _is_datetime(dt: T.DataType) -> bool:
     return isinstance(dt, (T.TimestampType, T.TimestampNTZType))
 
 
+def _present(c: str, dt: T.DataType) -> Column:
+    """The column with NaN, which is no value, as NULL."""
+    if isinstance(dt, (T.DoubleType, T.FloatType)):
+        return F.when(~F.isnan(F.col(c)), F.col(c))
+    return F.col(c)
+
+
 def present_columns(df: DataFrame, cols: Sequence[str]) -> list[str]:
     """Columns of ``cols`` that exist in ``df`` (the others are logged and skipped)."""
     have = set(df.columns)
@@ -64,8 +71,9 @@ def value_frequencies(df: DataFrame, cols: Sequence[str], with_nulls: bool = Fal
     types. ``with_nulls`` keeps one NULL-value row per column, so row and
     non-NULL counts can be read off the same table.
     """
+    types = {f.name: f.dataType for f in df.schema.fields}
     pairs = F.array(*[
-        F.struct(F.lit(c).alias("column_name"), F.col(c).cast("string").alias("value")) for c in cols
+        F.struct(F.lit(c).alias("column_name"), _present(c, types[c]).cast("string").alias("value")) for c in cols
     ])
     long = df.select(F.explode(pairs).alias("_p")).select("_p.column_name", "_p.value")
     if not with_nulls:
@@ -75,7 +83,8 @@ def value_frequencies(df: DataFrame, cols: Sequence[str], with_nulls: bool = Fal
 
 def _non_null_counts(df: DataFrame, cols: Sequence[str]) -> DataFrame:
     """-> column_name, row_count, non_null_ct (one wide aggregate, then unpivot)."""
-    wide = df.agg(F.count(F.lit(1)).alias("_rows"), *[F.count(F.col(c)).alias(f"_nn{i}") for i, c in enumerate(cols)])
+    types = {f.name: f.dataType for f in df.schema.fields}
+    wide = df.agg(F.count(F.lit(1)).alias("_rows"), *[F.count(_present(c, types[c])).alias(f"_nn{i}") for i, c in enumerate(cols)])
     pairs = F.array(*[
         F.struct(F.lit(c).alias("column_name"), F.col(f"_nn{i}").alias("non_null_ct")) for i, c in enumerate(cols)
     ])
@@ -122,39 +131,19 @@ def all_null_columns(df: DataFrame, cols: Sequence[str]) -> DataFrame:
 def unique_values(df: DataFrame, cols: Sequence[str]) -> DataFrame:
     """J35, long form: each distinct non-NULL value of each column.
 
-    -> column_name, unique_count, value. Sort by ``column_name, value`` for the
-    reference's listing; the output is whole however many values a column has.
-    """
-    cols = present_columns(df, cols)
-    freq = value_frequencies(df, cols)
-    counts = freq.groupBy("column_name").agg(F.count(F.lit(1)).alias("unique_count"))
-    return freq.join(counts, "column_name").select("column_name", "unique_count", "value")
-
-
-def unique_values_joined(df: DataFrame, cols: Sequence[str], max_values: int = 10_000) -> DataFrame:
-    """J35 as the reference prints it: values sorted natively and joined by ``' | '``.
-
-    -> column_name, unique_count, unique_values. One string per column is one
-    group, so a column qualifies only when its distinct count (measured first,
-    a small aggregate) is at most ``max_values``; columns above the bound are
-    rejected with an error naming them. Use :func:`unique_values` for those.
-    Numeric columns sort by number, others by their text (ISO dates and
-    ``false < true`` sort natively as text).
+    -> column_name, unique_count, value, numeric_value. Sort by ``column_name,
+    numeric_value, value`` to list values in their native order (numeric_value
+    is NULL for columns that are not numeric; ISO dates and booleans sort as
+    text). The output is whole however many values a column has.
     """
     cols = present_columns(df, cols)
     types = {f.name: f.dataType for f in df.schema.fields}
-    freq = value_frequencies(df, cols)
-    counts = freq.groupBy("column_name").agg(F.count(F.lit(1)).alias("n"))
-    too_big = [r["column_name"] for r in counts.where(F.col("n") > max_values).collect()]
-    if too_big:
-        raise ValueError(f"more than {max_values} distinct values in {too_big}; use unique_values()")
     numeric = [c for c in cols if _is_numeric(types[c])]
-    key = F.when(F.col("column_name").isin(numeric), F.col("value").cast("double")) if numeric else F.lit(None).cast("double")
-    items = F.array_sort(F.collect_list(F.struct(key.alias("k"), F.col("value").alias("v"))))
-    return freq.groupBy("column_name").agg(
-        F.count(F.lit(1)).alias("unique_count"),
-        F.array_join(F.transform(items, lambda x: x["v"]), " | ").alias("unique_values"),
-    )
+    freq = value_frequencies(df, cols)
+    counts = freq.groupBy("column_name").agg(F.count(F.lit(1)).alias("unique_count"))
+    # one row per column: the counts are as many as the columns
+    number = F.when(F.col("column_name").isin(numeric), F.col("value").cast("double")) if numeric else F.lit(None).cast("double")
+    return freq.join(F.broadcast(counts), "column_name").select("column_name", "unique_count", "value", number.alias("numeric_value"))
 
 
 def exact_quantiles(df: DataFrame, cols: Sequence[str], probs: Sequence[float]) -> DataFrame:
@@ -194,8 +183,8 @@ def quantiles_from_frequencies(freq: DataFrame, probs: Sequence[float]) -> DataF
         "pid", "column_name", "off"
     )
     n = part_tot.groupBy("column_name").agg(F.sum("pt").alias("n"))
-    # offsets: bounded by partitions x columns, broadcast
-    placed = local.join(F.broadcast(offsets), ["pid", "column_name"]).select(
+    # partitioned by the same keys as the running counts, so the larger side is not shuffled again
+    placed = local.join(offsets, ["pid", "column_name"]).select(
         "column_name", "v", (F.col("off") + F.col("local_cum") - F.col("c")).alias("before"), "c"
     )
     targets = n.select("column_name", "n", F.explode(F.array(*[F.lit(float(p)) for p in probs])).alias("prob"))
@@ -206,7 +195,7 @@ def quantiles_from_frequencies(freq: DataFrame, probs: Sequence[float]) -> DataF
     )
     # a few positions per column: broadcast, matched by column name plus a range test
     pos = targets.select(
-        F.col("column_name").alias("_t_col"), F.col("prob").alias("_t_prob"),
+        F.col("column_name").alias("_t_col"), F.col("prob").alias("_t_prob"), "h",
         F.explode(F.array("lo", "hi")).alias("_t_pos"),
     ).distinct()
     hit = placed.join(
@@ -214,12 +203,12 @@ def quantiles_from_frequencies(freq: DataFrame, probs: Sequence[float]) -> DataF
         (F.col("column_name") == F.col("_t_col"))
         & (F.col("_t_pos") >= F.col("before"))
         & (F.col("_t_pos") < F.col("before") + F.col("c")),
-    ).select(F.col("_t_col").alias("column_name"), F.col("_t_prob").alias("prob"), F.col("_t_pos").alias("pos"), "v")
-    lo = hit.select("column_name", "prob", F.col("pos").alias("lo"), F.col("v").alias("v_lo"))
-    hi = hit.select("column_name", "prob", F.col("pos").alias("hi"), F.col("v").alias("v_hi"))
-    res = targets.join(lo, ["column_name", "prob", "lo"]).join(hi, ["column_name", "prob", "hi"])
-    value = F.col("v_lo") + (F.col("h") - F.col("lo")) * (F.col("v_hi") - F.col("v_lo"))
-    return res.select("column_name", "prob", value.alias("value"))
+    )
+    # the one or two values around each position
+    near = hit.groupBy(F.col("_t_col").alias("column_name"), F.col("_t_prob").alias("prob")).agg(
+        F.min("v").alias("v_lo"), F.max("v").alias("v_hi"), F.first("h").alias("h"))
+    value = F.col("v_lo") + (F.col("h") - F.floor("h")) * (F.col("v_hi") - F.col("v_lo"))
+    return near.select("column_name", "prob", value.alias("value"))
 
 
 def data_snapshot(df: DataFrame, top_k: int = 3) -> DataFrame:
@@ -244,13 +233,14 @@ def data_snapshot(df: DataFrame, top_k: int = 3) -> DataFrame:
     stamps = [c for c in cols if _is_datetime(types[c])]
     other = [c for c in cols if c not in numeric and c not in stamps]
 
-    # One pass: numeric values stay DOUBLE (no text formatting of millions of
-    # numbers), everything else is text; NULLs are kept as one group per column.
+    # One pass: doubles stay numbers, everything else is counted by its text, which is exact for
+    # wide integers and decimals too (their DOUBLE serves the quantiles). NULL and NaN are one
+    # group per column.
     pairs = F.array(*[
         F.struct(
             F.lit(c).alias("column_name"),
-            (F.col(c).cast("double") if c in numeric else F.lit(None).cast("double")).alias("num"),
-            (F.lit(None).cast("string") if c in numeric else F.col(c).cast("string")).alias("value"),
+            (_present(c, types[c]).cast("double") if c in numeric else F.lit(None).cast("double")).alias("num"),
+            (F.lit(None) if isinstance(types[c], (T.DoubleType, T.FloatType)) else F.col(c)).cast("string").alias("value"),
         )
         for c in cols
     ])
@@ -308,7 +298,10 @@ def data_snapshot(df: DataFrame, top_k: int = 3) -> DataFrame:
     details = parts[0]
     for p in parts[1:]:
         details = details.unionByName(p)
-    out = counts.join(details, "column_name", "left")
+    # every column has a row, also of an empty frame
+    seed = df.sparkSession.range(1).select(F.explode(F.array(*[F.lit(c) for c in cols])).alias("column_name"))
+    out = seed.join(counts, "column_name", "left").join(details, "column_name", "left").fillna(
+        0, ["row_count", "non_null_ct", "distinct_ct"])
     empty = (
         F.when(F.col("column_name").isin(numeric), F.lit("Min: nan, Med: nan, Mean: nan, Max: nan, P90: nan, P95: nan"))
         .when(F.col("column_name").isin(stamps), F.lit("Min: NaT, Max: NaT"))

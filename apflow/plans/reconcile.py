@@ -58,7 +58,9 @@ def with_match_count(
     """
     if match not in MATCH_POLICIES:
         raise ValueError(f"match must be one of {MATCH_POLICIES}")
-    m = ledger_match_counts(ledger)
+    # spread once more after the aggregate: only a join with a plain exchange on either side
+    # lets AQE split a hot number
+    m = ledger_match_counts(ledger).hint("rebalance")
     if match == "exists":
         m = m.select("_match_key", F.lit(1).cast("bigint").alias("_k"))
     return invoices.join(m, invoices[number] == m._match_key, "left").drop("_match_key")
@@ -393,16 +395,6 @@ def _order(sort_by: Sequence[str]) -> list[Column]:
     return [F.col(c).desc_nulls_first() for c in sort_by] + [F.col("variable_value").asc_nulls_last()]
 
 
-def _normalise_sort(sort_by: Sequence[str] | str | None, default: Sequence[str]) -> list[str]:
-    if sort_by is None:
-        return list(default)
-    if isinstance(sort_by, str):
-        return [sort_by]
-    if isinstance(sort_by, (list, tuple)):
-        return list(sort_by)
-    return list(default)
-
-
 DEFAULT_SORT = ("source_only_pct", "total_count")
 AMOUNT_COLUMNS = {"both_total_usd_k", "source_only_total_usd_k", "total_usd_k"}
 SORTABLE = {
@@ -413,7 +405,9 @@ SORTABLE = {
 
 def _sort_keys(sort_by: Sequence[str] | str | None, amounts: bool) -> list[str]:
     """Validated sort keys: output columns only, amount columns only with amounts."""
-    keys = _normalise_sort(sort_by, DEFAULT_SORT)
+    if sort_by is not None and not isinstance(sort_by, (str, list, tuple)):
+        raise TypeError("sort_by is a column name or a list of them")
+    keys = list(DEFAULT_SORT if sort_by is None else [sort_by] if isinstance(sort_by, str) else sort_by)
     allowed = SORTABLE if amounts else SORTABLE - AMOUNT_COLUMNS
     bad = [k for k in keys if k not in allowed]
     if bad:
@@ -458,22 +452,6 @@ def coverage_by(
     )
 
 
-def coverage_by_with_amounts(
-    t: APTables,
-    dim: Dimension,
-    start: str,
-    end: str,
-    ledger_period: DataFrame,
-    rates_since: str | None,
-    top_n: int | None = 20,
-    sort_by: Sequence[str] | str | None = None,
-    match: str = "fanout",
-) -> DataFrame:
-    """J32 with the reference's defaults (top 20): counts plus USD in thousands."""
-    return coverage_by(t, dim, start, end, ledger_period, top_n=top_n, sort_by=sort_by, amounts=True,
-                       rates_since=rates_since, match=match)
-
-
 def coverage_sweep(
     t: APTables,
     dims: Sequence[Dimension],
@@ -517,7 +495,7 @@ def coverage_sweep(
     aggs = cols[:3] + (_amount_columns() if amounts else []) + cols[3:]
     g = long.groupBy("dim_id", "variable_value").agg(*aggs)
     w = Window.partitionBy("dim_id").orderBy(*_order(keys))
-    top = g.withColumn("_rn", F.row_number().over(w)).where(F.col("_rn") <= top_n).drop("_rn")
+    top = g.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= top_n)
     meta = F.expr("array(" + ", ".join(
         f"named_struct('table_alias', {_q(d.table)}, 'variable_name', {_q(d.column)}, "
         f"'display_name', {_q(d.display_name)})"
@@ -527,4 +505,4 @@ def coverage_sweep(
     info = F.element_at(meta, (F.col("dim_id") + 1).cast("int"))
     front = [info["table_alias"].alias("table_alias"), info["variable_name"].alias("variable_name"),
              info["display_name"].alias("display_name")]
-    return top.select(*front, *[c for c in top.columns if c != "dim_id"])
+    return top.select("dim_id", "rank", *front, *[c for c in top.columns if c not in ("dim_id", "rank")])

@@ -1,10 +1,8 @@
 """DuckDB oracle SQL per registered query.
 
-Written independently of the Spark plans and in the shape of the reference
-queries: fan-out joins to the ledger and to every rate row, ``NOT IN``
-subqueries, ``OVER ()`` totals and per-dimension ``UNION ALL`` loops. The
-Spark side reaches the same numbers through pre-aggregated, skew-safe plans,
-so every match is also a check of those rewrites.
+Each job is stated as set logic over the fixture tables: ``DISTINCT ON`` picks, semi and anti
+joins, counts of matching ledger rows as weights, one definition per measure. Shared pieces
+are small functions that return SQL.
 """
 
 from __future__ import annotations
@@ -12,591 +10,470 @@ from __future__ import annotations
 from oracles import params as P
 from oracles.fixtures import aging_sql, with_fixtures
 
-S, E = f"DATE '{P.START}'", f"DATE '{P.END}'"
-MONTH = "CAST(date_trunc('month', {}) AS DATE)"
+PERIOD = f"BETWEEN DATE '{P.START}' AND DATE '{P.END}'"
+NEWEST = "created_at DESC NULLS FIRST, id DESC NULLS FIRST"
+LARGEST = "gross_total DESC NULLS FIRST, id ASC NULLS LAST"
 
 
-def _m(expr: str) -> str:
-    return MONTH.format(expr)
+def month(day: str) -> str:
+    return f"CAST(date_trunc('month', {day}) AS DATE)"
 
 
-def rates_window(start: str = P.START, end: str = P.END, base: int = P.BASE_CURRENCY) -> str:
-    return f"""
-SELECT id, from_currency_id, to_currency_id, rate, created_at FROM (
-  SELECT *, ROW_NUMBER() OVER (PARTITION BY to_currency_id
-                               ORDER BY created_at DESC NULLS FIRST, id DESC NULLS FIRST) AS rn
-  FROM exchange_rate
-  WHERE from_currency_id = {base} AND CAST(created_at AS DATE) BETWEEN DATE '{start}' AND DATE '{end}')
-WHERE rn = 1"""
+def pick(table: str, key: str, order: str, out: str, where: str = "TRUE") -> str:
+    """The first row of each ``key`` in ``order``."""
+    return f"SELECT DISTINCT ON ({key}) {out} FROM {table} WHERE {where} ORDER BY {key}, {order}"
 
 
-def rates_monthly(since: str = P.RATES_SINCE, base: int = P.BASE_CURRENCY) -> str:
-    return f"""
-SELECT to_currency_id, rate, rate_month FROM (
-  SELECT to_currency_id, rate, {_m('CAST(created_at AS DATE)')} AS rate_month,
-         ROW_NUMBER() OVER (PARTITION BY to_currency_id, {_m('CAST(created_at AS DATE)')}
-                            ORDER BY created_at DESC NULLS FIRST, id DESC NULLS FIRST) AS rn
-  FROM exchange_rate
-  WHERE from_currency_id = {base} AND CAST(created_at AS DATE) >= DATE '{since}')
-WHERE rn = 1"""
-
-
-RATES_BY_RATE_DATE = f"""
-SELECT to_currency_id, rate, rate_date, rate_date_month FROM (
-  SELECT to_currency_id, rate, rate_date, {_m('rate_date')} AS rate_date_month,
-         ROW_NUMBER() OVER (PARTITION BY to_currency_id, {_m('rate_date')}
-                            ORDER BY rate_date DESC NULLS FIRST, id DESC NULLS FIRST) AS rn
-  FROM exchange_rate)
-WHERE rn = 1"""
-
-STRICT = f"""payment_date BETWEEN {S} AND {E}
-  AND status != 'Voided'
-  AND net_due_date >= invoice_date
-  AND date_diff('day', invoice_date, net_due_date) <= 365
-  AND payment_date >= invoice_date
-  AND date_diff('day', invoice_date, payment_date) <= 365
-  AND gross_total >= 0"""
-LOOSE = f"""payment_date BETWEEN {S} AND {E} AND status != 'Voided' AND gross_total >= 0
-  AND currency_id != {P.EXCLUDED_CURRENCY}"""
-
-
-def dedupe(where: str, cols: str = "*") -> str:
-    return f"""
-SELECT {cols} FROM (
-  SELECT *, ROW_NUMBER() OVER (PARTITION BY invoice_number
-                               ORDER BY gross_total DESC NULLS FIRST, id ASC NULLS LAST) AS rn
-  FROM invoice_header WHERE {where})
-WHERE rn = 1"""
+# ---------------------------------------------------------------------- rates
+def period_rates() -> str:
+    return pick("exchange_rate", "to_currency_id", NEWEST, "id, from_currency_id, to_currency_id, rate, created_at",
+                f"from_currency_id = {P.BASE_CURRENCY} AND CAST(created_at AS DATE) {PERIOD}")
 
 
-def _region(name: str) -> str:
-    groups = {"AMER": range(0, 3), "EMEA": range(3, 12), "APAC": range(12, 18), "LATAM": range(18, 20)}
-    whens = "\n".join(
-        f"    WHEN {name} IN ({', '.join(repr(f'Entity {i}') for i in ids)}) THEN '{g}'" for g, ids in groups.items()
-    )
-    return f"CASE\n{whens}\n    ELSE '' END"
+def rates_per_month() -> str:
+    m = month("CAST(created_at AS DATE)")
+    return pick("exchange_rate", f"to_currency_id, {m}", NEWEST, f"to_currency_id, rate, {m} AS rate_month",
+                f"from_currency_id = {P.BASE_CURRENCY} AND CAST(created_at AS DATE) >= DATE '{P.RATES_SINCE}'")
 
 
-def _measures() -> str:
-    usd = "(CAST(gross_total AS DOUBLE) / rate)"
-    tot = f"CAST(ROUND({usd}, 0) AS BIGINT)"
-    late = "date_diff('day', net_due_date, payment_date)"
-    return f"""
-  {_region('account_type_name')} AS region,
-  CASE WHEN payment_terms IN ('Due Upon Receipt') THEN CAST(0 AS BIGINT)
-       ELSE CAST(TRY_CAST(right(payment_terms, 2) AS DECIMAL(38,0)) AS BIGINT) END AS payment_term_days,
-  {tot} AS total_usd,
-  date_diff('day', invoice_date, net_due_date) * {usd} AS wat,
-  date_diff('day', invoice_date, payment_date) * {usd} AS wadtp,
-  CASE WHEN net_due_date = payment_date THEN {tot} ELSE 0 END AS amount_paid_on_net_due_date,
-  CASE WHEN net_due_date < payment_date THEN {tot} ELSE 0 END AS amount_paid_after_net_due_date,
-  CASE WHEN net_due_date > payment_date THEN {tot} ELSE 0 END AS amount_paid_before_net_due_date,
-  CASE WHEN {late} BETWEEN -7 AND 7 THEN {tot} ELSE 0 END AS amount_paid_on_time,
-  CASE WHEN {late} > 7 THEN {tot} ELSE 0 END AS amount_paid_late,
-  CASE WHEN {late} < -7 THEN {tot} ELSE 0 END AS amount_paid_7_plus_days_early"""
-
-
-PROBLEM_CTES = [
-    ("supplier_metrics", f"""
-SELECT c.id AS supplier_id,
-       COUNT(CASE WHEN b.invoice__ IS NULL THEN 1 END) AS only_in_source,
-       COUNT(CASE WHEN b.invoice__ IS NOT NULL THEN 1 END) AS present_in_both,
-       COUNT(1) AS total_invoices,
-       CAST(COUNT(CASE WHEN b.invoice__ IS NULL THEN 1 END) AS DOUBLE) * 100.0 / NULLIF(COUNT(1), 0) AS pct_only_in_source
-FROM invoice_header a
-LEFT JOIN ledger b ON a.invoice_number = b.invoice__
-JOIN supplier_dim c ON c.id = a.supplier_id
-WHERE a.payment_date BETWEEN {S} AND {E}
-GROUP BY 1"""),
-    ("problematic_suppliers", f"""
-SELECT supplier_id FROM supplier_metrics WHERE pct_only_in_source > {P.MIN_PCT_MISSING}
-ORDER BY total_invoices DESC NULLS FIRST, supplier_id ASC NULLS LAST LIMIT {P.TOP_PROBLEM_SUPPLIERS}"""),
-]
-
-TREND_SELECT = """
-SELECT strftime(payment_date, '%Y-%m') AS payment_month,
-       COUNT(1) AS invoice_count,
-       ROUND(SUM(total_usd) / 1000000, 2) AS amount_due_usd_millions,
-       ROUND(SUM(wat) / NULLIF(SUM(total_usd), 0), 1) AS wat_days,
-       ROUND(SUM(wadtp) / NULLIF(SUM(total_usd), 0), 1) AS wadtp_days
-FROM final_data
-WHERE payment_date IS NOT NULL AND channel NOT IN ('api', 'cxml')
-GROUP BY 1 ORDER BY 1"""
-
-LOOKUP_CTES = [
-    ("supplier_location", """
-SELECT id, country FROM (
-  SELECT a.id, c.name AS country, ROW_NUMBER() OVER (PARTITION BY a.id ORDER BY a.country_id ASC NULLS LAST) AS rn
-  FROM supplier_address a LEFT JOIN country c ON a.country_id = c.id)
-WHERE rn = 1"""),
-    ("po_data", """
-SELECT il.invoice_header_id, string_agg(DISTINCT oh.po_number, ', ' ORDER BY oh.po_number) AS po_number
-FROM invoice_line il
-LEFT JOIN order_line ol ON ol.id = il.order_line_id
-LEFT JOIN order_header oh ON oh.id = ol.order_header_id
-WHERE oh.po_number IS NOT NULL
-GROUP BY il.invoice_header_id"""),
-]
-LOOKUP_FIXTURES = ["invoice_header", "invoice_line", "order_line", "order_header", "exchange_rate", "currency",
-                   "payment_term", "account_type", "country", "supplier_information", "supplier_address"]
-
-
-def _v3_fact(exclusion: str) -> list[tuple[str, str]]:
-    """The v2/v3 worksheet CTEs with every lookup joined (fan-out possible in principle)."""
-    return [
-        ("monthly_rates", rates_monthly()),
-        ("invoice_data", dedupe(f"{LOOSE} AND supplier_id NOT IN ({exclusion})")),
-        *LOOKUP_CTES,
-        ("joined_data", f"""
-SELECT i.payment_date, i.invoice_number, i.gross_total, i.invoice_date, i.net_due_date,
-       i.date_received AS invoice_received_date, i.created_at AS created_date, i.channel,
-       COALESCE(r.rate, 1) AS rate, c.code, si.name AS vendor_name, sl.country, pt.code AS payment_terms,
-       act.name AS account_type_name, pd.po_number
-FROM invoice_data i
-LEFT JOIN monthly_rates r ON i.currency_id = r.to_currency_id AND {_m('i.payment_date')} = r.rate_month
-LEFT JOIN currency c ON i.currency_id = c.id
-LEFT JOIN supplier_information si ON i.supplier_id = si.id
-LEFT JOIN supplier_location sl ON i.supplier_id = sl.id
-LEFT JOIN payment_term pt ON i.payment_term_id = pt.id
-LEFT JOIN account_type act ON i.account_type_id = act.id
-LEFT JOIN po_data pd ON i.id = pd.invoice_header_id"""),
-        ("final_data", f"""
-SELECT payment_date, invoice_number, po_number, gross_total, invoice_date, net_due_date, invoice_received_date,
-       created_date, channel, rate, code, vendor_name, country, payment_terms, account_type_name, {_measures()}
-FROM joined_data WHERE invoice_number IS NOT NULL"""),
-    ]
+def rates_per_rate_month() -> str:
+    m = month("rate_date")
+    return pick("exchange_rate", f"to_currency_id, {m}", "rate_date DESC NULLS FIRST, id DESC NULLS FIRST",
+                f"to_currency_id, rate, rate_date, {m} AS rate_date_month")
 
 
-def j15() -> str:
-    return with_fixtures(LOOKUP_FIXTURES + ["ledger", "supplier_dim"],
-                         PROBLEM_CTES + _v3_fact("SELECT supplier_id FROM problematic_suppliers"), TREND_SELECT)
+def j01() -> str:
+    return with_fixtures(["exchange_rate"], [], period_rates())
 
 
-def j14() -> str:
-    lst = ", ".join(str(i) for i in P.EXCLUDED_SUPPLIERS)
-    return with_fixtures(LOOKUP_FIXTURES, _v3_fact(lst), TREND_SELECT)
+def j02() -> str:
+    return with_fixtures(["exchange_rate"], [], rates_per_month())
 
 
-def j12() -> str:
-    return with_fixtures(LOOKUP_FIXTURES + ["ledger", "supplier_dim"],
-                         PROBLEM_CTES + _v3_fact("SELECT supplier_id FROM problematic_suppliers"),
-                         "SELECT * FROM final_data")
+def j03() -> str:
+    return with_fixtures(["exchange_rate"], [], rates_per_rate_month())
 
 
-def _v1_fact(require_supplier: bool) -> list[tuple[str, str]]:
-    sup = "AND supplier_id IS NOT NULL" if require_supplier else ""
-    return [
-        ("october_rates", rates_window()),
-        ("invoice_data", f"SELECT * FROM ({dedupe(STRICT + f' AND currency_id != {P.EXCLUDED_CURRENCY}')}) WHERE TRUE {sup}"),
-        ("joined_data", """
-SELECT i.payment_date, i.invoice_number, i.gross_total, i.invoice_date, i.net_due_date,
-       i.date_received AS invoice_received_date, i.created_at AS created_date,
-       COALESCE(r.rate, 1) AS rate, c.code, supp.id AS supplier_id, pt.code AS payment_terms,
-       act.name AS account_type_name
-FROM invoice_data i
-LEFT JOIN october_rates r ON i.currency_id = r.to_currency_id
-LEFT JOIN currency c ON i.currency_id = c.id
-LEFT JOIN supplier_information supp ON i.supplier_id = supp.id
-LEFT JOIN payment_term pt ON i.payment_term_id = pt.id
-LEFT JOIN account_type act ON i.account_type_id = act.id"""),
-        ("final_data", f"""
-SELECT payment_date, invoice_number, gross_total, invoice_date, net_due_date, invoice_received_date,
-       created_date, rate, code, supplier_id, payment_terms, account_type_name, {_measures()}
-FROM joined_data WHERE invoice_number IS NOT NULL"""),
-    ]
+def j04() -> str:
+    return with_fixtures(["invoice_header", "exchange_rate"], [("monthly", rates_per_month())], f"""
+SELECT id, currency_id, payment_date, gross_total, rate, CAST(gross_total AS DOUBLE) / ifnull(rate, 1) AS amount_usd
+FROM invoice_header LEFT JOIN monthly ON (to_currency_id, rate_month) = (currency_id, {month('payment_date')})""")
 
 
-def j11() -> str:
-    return with_fixtures(LOOKUP_FIXTURES, _v1_fact(False), "SELECT * FROM final_data")
+# ------------------------------------------------------------------- invoices
+def accepted(strict: bool, currency: bool = True, h: str = "") -> str:
+    """The conditions on a header, columns prefixed with ``h``."""
+    rules = [f"{h}payment_date {PERIOD}", f"{h}status <> 'Voided'", f"{h}gross_total >= 0"]
+    if currency:
+        rules.append(f"{h}currency_id <> {P.EXCLUDED_CURRENCY}")
+    if strict:
+        # due and paid within a year of the invoice, never before it
+        rules += [f"{h}{d} - {h}invoice_date BETWEEN 0 AND 365" for d in ("net_due_date", "payment_date")]
+    return " AND ".join(rules)
 
 
-def j13(require_supplier: bool) -> str:
-    return with_fixtures(LOOKUP_FIXTURES, _v1_fact(require_supplier),
-                         "SELECT SUM(total_usd) / 1000000 AS amount_due_usd_millions FROM final_data")
+def one_per_number(where: str, out: str = "*") -> str:
+    return pick("invoice_header", "invoice_number", LARGEST, out, where)
 
 
-def j01() -> str:
-    return with_fixtures(["exchange_rate"], [], rates_window())
+def j05() -> str:
+    return with_fixtures(["invoice_header"], [],
+                         one_per_number(accepted(False), "id, invoice_number, gross_total, payment_date, supplier_id"))
 
 
-def j02() -> str:
-    return with_fixtures(["exchange_rate"], [], rates_monthly())
+def j06() -> str:
+    return with_fixtures(["invoice_header"], [], "SELECT id, invoice_number, payment_date, gross_total, currency_id "
+                         f"FROM invoice_header WHERE {accepted(True)}")
 
 
-def j03() -> str:
-    return with_fixtures(["exchange_rate"], [], RATES_BY_RATE_DATE)
+def _by_line_currency() -> str:
+    lines = "(invoice_header h LEFT JOIN (SELECT invoice_header_id, line_num, currency_id AS line_currency FROM invoice_line) ON invoice_header_id = h.id)"
+    return pick(lines, "h.invoice_number", "h.gross_total DESC NULLS FIRST, h.id ASC NULLS LAST, line_num ASC NULLS LAST",
+                "h.invoice_number, h.payment_date, h.gross_total, line_currency AS currency_id", accepted(True, False, "h."))
 
 
-def j04() -> str:
-    return with_fixtures(["invoice_header", "exchange_rate"], [("monthly_rates", rates_monthly())], f"""
-SELECT h.id, h.currency_id, h.payment_date, h.gross_total, r.rate,
-       CAST(h.gross_total AS DOUBLE) / COALESCE(r.rate, 1) AS amount_usd
-FROM invoice_header h
-LEFT JOIN monthly_rates r ON h.currency_id = r.to_currency_id AND {_m('h.payment_date')} = r.rate_month""")
+def j07() -> str:
+    return with_fixtures(["invoice_header", "invoice_line"], [], _by_line_currency())
 
 
-def j05() -> str:
-    return with_fixtures(["invoice_header"], [], dedupe(LOOSE, "id, invoice_number, gross_total, payment_date, supplier_id"))
+def j08() -> str:
+    return with_fixtures(["invoice_header"], [("chosen", one_per_number(accepted(True)))],
+                         "SELECT id, invoice_number, supplier_id FROM chosen WHERE supplier_id IS NOT NULL")
 
 
-def j06() -> str:
-    return with_fixtures(["invoice_header"], [], f"""
-SELECT id, invoice_number, payment_date, gross_total, currency_id FROM invoice_header
-WHERE {STRICT} AND currency_id != {P.EXCLUDED_CURRENCY}""")
+def j09() -> str:
+    return with_fixtures(["invoice_header", "invoice_line", "exchange_rate"],
+                         [("period_rate", period_rates()), ("chosen", _by_line_currency())], """
+SELECT count(DISTINCT invoice_number) AS unique_invoice_numbers, count(*) AS total_invoices,
+       round(sum(CAST(gross_total AS DOUBLE) / rate), 0) AS amount_due_usd
+FROM chosen LEFT JOIN period_rate ON to_currency_id = currency_id""")
 
 
-J07_CTE = ("invoice_data", f"""
-SELECT invoice_number, payment_date, gross_total, currency_id FROM (
-  SELECT h.invoice_number, h.payment_date, h.gross_total, l.currency_id,
-         ROW_NUMBER() OVER (PARTITION BY h.invoice_number
-                            ORDER BY h.gross_total DESC NULLS FIRST, h.id ASC NULLS LAST, l.line_num ASC NULLS LAST) AS rn
-  FROM invoice_header h LEFT JOIN invoice_line l ON l.invoice_header_id = h.id
-  WHERE {STRICT.replace('payment_date', 'h.payment_date').replace('status', 'h.status').replace('net_due_date', 'h.net_due_date').replace('invoice_date', 'h.invoice_date').replace('gross_total', 'h.gross_total')})
-WHERE rn = 1""")
+def j10() -> str:
+    return with_fixtures(["invoice_header", "exchange_rate"],
+                         [("period_rate", period_rates()), ("chosen", one_per_number(accepted(True)))], """
+SELECT CAST(payment_date AS DATE) AS payment_day, count(DISTINCT invoice_number) AS unique_invoice_numbers,
+       count(*) AS total_invoices, round(sum(CAST(gross_total AS DOUBLE) / ifnull(rate, 1)), 0) / 1000000 AS amount_due_usd
+FROM chosen LEFT JOIN period_rate ON to_currency_id = currency_id GROUP BY ALL""")
+
+
+# ----------------------------------------------------- matches with the ledger
+# ledger rows per number: a header weighs as many rows as it matches, an unmatched one weighs one
+LEDGER_HITS = ("hits", "SELECT invoice__ AS hit_number, count(*) AS k FROM ledger WHERE invoice__ IS NOT NULL GROUP BY ALL")
+PERIOD_HITS = ("hits", f"SELECT invoice__ AS hit_number, count(*) AS k FROM ledger WHERE payment_date {PERIOD} AND invoice__ IS NOT NULL GROUP BY ALL")
+WEIGHT = "ifnull(k, 1)"
+SUPPLIER_COVERAGE = ("coverage", f"""
+SELECT supplier_id, count(*) FILTER (k IS NULL) AS only_in_source, CAST(ifnull(sum(k), 0) AS BIGINT) AS present_in_both,
+       CAST(sum({WEIGHT}) AS BIGINT) AS total_invoices,
+       CAST(count(*) FILTER (k IS NULL) AS DOUBLE) * 100.0 / sum({WEIGHT}) AS pct_only_in_source
+FROM invoice_header LEFT JOIN hits ON hit_number = invoice_number
+WHERE payment_date {PERIOD} AND supplier_id IN (SELECT id FROM supplier_dim) GROUP BY supplier_id""")
+PROBLEM_SUPPLIERS = ("problem", f"""
+SELECT supplier_id FROM coverage WHERE pct_only_in_source > {P.MIN_PCT_MISSING}
+ORDER BY total_invoices DESC NULLS FIRST, supplier_id ASC NULLS LAST LIMIT {P.TOP_PROBLEM_SUPPLIERS}""")
+COVERAGE = [LEDGER_HITS, SUPPLIER_COVERAGE]
 
 
-def j07() -> str:
-    return with_fixtures(["invoice_header", "invoice_line"], [J07_CTE], "SELECT * FROM invoice_data")
+def j20() -> str:
+    return with_fixtures(["invoice_header", "ledger", "supplier_dim"], COVERAGE, "FROM coverage")
 
 
-def j08() -> str:
-    return with_fixtures(["invoice_header"], [], f"""
-SELECT id, invoice_number, supplier_id FROM ({dedupe(STRICT + f' AND currency_id != {P.EXCLUDED_CURRENCY}')})
-WHERE supplier_id IS NOT NULL""")
+def j21() -> str:
+    return with_fixtures(["invoice_header", "ledger", "supplier_dim"], [*COVERAGE, PROBLEM_SUPPLIERS], "FROM problem")
 
 
-def j09() -> str:
-    return with_fixtures(["invoice_header", "invoice_line", "exchange_rate"],
-                         [("october_rates", rates_window()), J07_CTE], """
-SELECT COUNT(DISTINCT i.invoice_number) AS unique_invoice_numbers, COUNT(*) AS total_invoices,
-       ROUND(SUM(CAST(i.gross_total AS DOUBLE) / r.rate), 0) AS amount_due_usd
-FROM invoice_data i LEFT JOIN october_rates r ON i.currency_id = r.to_currency_id""")
+def j22() -> str:
+    return with_fixtures(["invoice_header", "ledger", "supplier_dim", "exchange_rate"], [
+        ("by_rate_month", rates_per_rate_month()),
+        ("unmatched", f"""
+SELECT * FROM invoice_header h WHERE payment_date {PERIOD}
+AND NOT EXISTS (FROM ledger WHERE invoice__ = h.invoice_number)"""),
+    ], f"""
+SELECT u.invoice_number, s.name, rate * CAST(u.gross_total AS DOUBLE) AS gross_total_usd, CAST(u.payment_date AS DATE) AS payment_date
+FROM unmatched u LEFT JOIN supplier_dim s ON s.id = u.supplier_id
+LEFT JOIN by_rate_month ON (to_currency_id, rate_date_month) = (u.currency_id, {month('u.payment_date')})""")
 
 
-def j10() -> str:
-    return with_fixtures(["invoice_header", "exchange_rate"], [
-        ("october_rates", rates_window()),
-        ("invoice_data", dedupe(STRICT + f" AND currency_id != {P.EXCLUDED_CURRENCY}")),
-        ("joined_data", """
-SELECT i.payment_date, i.invoice_number, i.gross_total, COALESCE(r.rate, 1) AS rate
-FROM invoice_data i LEFT JOIN october_rates r ON i.currency_id = r.to_currency_id"""),
-    ], """
-SELECT CAST(payment_date AS DATE) AS payment_day, COUNT(DISTINCT invoice_number) AS unique_invoice_numbers,
-       COUNT(*) AS total_invoices, ROUND(SUM(CAST(gross_total AS DOUBLE) / rate), 0) / 1000000 AS amount_due_usd
-FROM joined_data GROUP BY 1 ORDER BY 1""")
+# ------------------------------------------------------------- enriched facts
+# days from due date to payment that each amount counts
+SLIP_BANDS = {
+    "amount_paid_on_net_due_date": "slip = 0", "amount_paid_after_net_due_date": "slip > 0",
+    "amount_paid_before_net_due_date": "slip < 0", "amount_paid_on_time": "abs(slip) <= 7",
+    "amount_paid_late": "slip > 7", "amount_paid_7_plus_days_early": "slip < -7",
+}
+REGIONS = {"AMER": range(0, 3), "EMEA": range(3, 12), "APAC": range(12, 18), "LATAM": range(18, 20)}
 
 
-def j16() -> str:
-    return with_fixtures(["invoice_line", "order_line", "order_header"], [LOOKUP_CTES[1]], "SELECT * FROM po_data")
+def _measured(source: str, out: str) -> str:
+    regions = ", ".join(f"'Entity {i}': '{name}'" for name, ids in REGIONS.items() for i in ids)
+    bands = ", ".join(f"if({test}, total_usd, 0) AS {name}" for name, test in SLIP_BANDS.items())
+    return f"""
+SELECT {out}, ifnull(MAP {{{regions}}}[account_type_name], '') AS region,
+       if(payment_terms = 'Due Upon Receipt', 0, CAST(TRY_CAST(right(payment_terms, 2) AS DECIMAL(38,0)) AS BIGINT)) AS payment_term_days,
+       total_usd, (net_due_date - invoice_date) * usd AS wat, (payment_date - invoice_date) * usd AS wadtp, {bands}
+FROM (SELECT *, CAST(round(usd, 0) AS BIGINT) AS total_usd, payment_date - net_due_date AS slip
+      FROM (SELECT *, CAST(gross_total AS DOUBLE) / rate AS usd FROM {source}))
+WHERE invoice_number IS NOT NULL"""
+
+
+FIRST_COUNTRY = ("home", """
+SELECT DISTINCT ON (a.id) a.id, country.name AS country FROM supplier_address a LEFT JOIN country ON country.id = a.country_id
+ORDER BY a.id, a.country_id ASC NULLS LAST""")
+HEADER_ORDERS = ("orders_of", """
+SELECT invoice_header_id, array_to_string(list_sort(list(DISTINCT po_number)), ', ') AS po_number
+FROM invoice_line
+JOIN (SELECT o.id AS line, po_number FROM order_line o JOIN order_header h ON h.id = o.order_header_id WHERE po_number IS NOT NULL)
+  ON line = order_line_id
+GROUP BY ALL""")
+ENRICHED = ["invoice_header", "invoice_line", "order_line", "order_header", "exchange_rate", "currency",
+            "payment_term", "account_type", "country", "supplier_information", "supplier_address"]
+
+
+def _monthly_fact(excluded: str) -> list[tuple[str, str]]:
+    """Loose rules, monthly rates, all lookups."""
+    return [
+        ("monthly", rates_per_month()), FIRST_COUNTRY, HEADER_ORDERS,
+        ("chosen", one_per_number(f"{accepted(False)} AND supplier_id NOT IN ({excluded})")),
+        ("looked_up", f"""
+SELECT i.* EXCLUDE (created_at), i.date_received AS invoice_received_date, i.created_at AS created_date,
+       ifnull(monthly.rate, 1) AS rate, currency.code AS code, si.name AS vendor_name, home.country AS country,
+       terms.code AS payment_terms, kind.name AS account_type_name, orders_of.po_number AS po_number
+FROM chosen i
+LEFT JOIN monthly ON (to_currency_id, rate_month) = (i.currency_id, {month('i.payment_date')})
+LEFT JOIN currency ON currency.id = i.currency_id
+LEFT JOIN supplier_information si ON si.id = i.supplier_id
+LEFT JOIN home ON home.id = i.supplier_id
+LEFT JOIN payment_term terms ON terms.id = i.payment_term_id
+LEFT JOIN account_type kind ON kind.id = i.account_type_id
+LEFT JOIN orders_of ON invoice_header_id = i.id"""),
+        ("fact", _measured("looked_up", """payment_date, invoice_number, po_number, gross_total, invoice_date, net_due_date,
+       invoice_received_date, created_date, channel, rate, code, vendor_name, country, payment_terms, account_type_name""")),
+    ]
 
 
-def j17() -> str:
-    return with_fixtures(["supplier_address", "country"], [LOOKUP_CTES[0]], "SELECT * FROM supplier_location")
+def _period_fact(require_supplier: bool) -> list[tuple[str, str]]:
+    """Strict rules, one rate per currency, basic lookups."""
+    return [
+        ("period_rate", period_rates()), ("every", one_per_number(accepted(True))),
+        ("chosen", "FROM every" + (" WHERE supplier_id IS NOT NULL" if require_supplier else "")),
+        ("looked_up", """
+SELECT i.* EXCLUDE (created_at, supplier_id), i.date_received AS invoice_received_date, i.created_at AS created_date,
+       ifnull(period_rate.rate, 1) AS rate, currency.code AS code, si.id AS supplier_id, terms.code AS payment_terms,
+       kind.name AS account_type_name
+FROM chosen i
+LEFT JOIN period_rate ON to_currency_id = i.currency_id
+LEFT JOIN currency ON currency.id = i.currency_id
+LEFT JOIN supplier_information si ON si.id = i.supplier_id
+LEFT JOIN payment_term terms ON terms.id = i.payment_term_id
+LEFT JOIN account_type kind ON kind.id = i.account_type_id"""),
+        ("fact", _measured("looked_up", """payment_date, invoice_number, gross_total, invoice_date, net_due_date,
+       invoice_received_date, created_date, rate, code, supplier_id, payment_terms, account_type_name""")),
+    ]
 
 
-def j18() -> str:
-    return with_fixtures(["invoice_header", "invoice_line", "exchange_rate"], [], f"""
-SELECT COUNT(DISTINCT h.invoice_number) AS unique_invoice_numbers, COUNT(*) AS total_invoices,
-       CAST(SUM(h.amount_due * CAST(r.rate AS DECIMAL(18,8))) AS DECIMAL(38,2)) AS amount_due_usd
-FROM invoice_header h
-LEFT JOIN invoice_line l ON l.invoice_header_id = h.id
-LEFT JOIN exchange_rate r ON l.currency_id = r.to_currency_id
-WHERE h.payment_date > DATE '{P.PAID_AFTER}' AND r.from_currency_id = {P.BASE_CURRENCY}""")
+BY_MONTH = """
+SELECT strftime(payment_date, '%Y-%m') AS payment_month, count(*) AS invoice_count,
+       round(sum(total_usd) / 1000000, 2) AS amount_due_usd_millions,
+       round(sum(wat) / nullif(sum(total_usd), 0), 1) AS wat_days, round(sum(wadtp) / nullif(sum(total_usd), 0), 1) AS wadtp_days
+FROM fact WHERE payment_date IS NOT NULL AND channel NOT IN ('api', 'cxml') GROUP BY ALL"""
+WITH_PROBLEMS = [*COVERAGE, PROBLEM_SUPPLIERS, *_monthly_fact("FROM problem")]
 
 
-def j19() -> str:
-    return with_fixtures(["invoice_header", "payment_term", "exchange_rate"], [], """
-SELECT ROUND(
-  SUM(COALESCE(CAST(h.amount_due AS DOUBLE), 0) * COALESCE(CAST(pt.days_for_net_payment AS DOUBLE), 0) * COALESCE(r.rate, 1))
-  / NULLIF(SUM(COALESCE(CAST(h.amount_due AS DOUBLE), 0) * COALESCE(r.rate, 1)), 0), 6) AS wat
-FROM invoice_header h
-LEFT JOIN payment_term pt ON h.payment_term_id = pt.id
-LEFT JOIN exchange_rate r ON h.currency_id = r.to_currency_id
-WHERE h.status = 'APPROVED' AND h.amount_due > 0""")
+def j11() -> str:
+    return with_fixtures(ENRICHED, _period_fact(False), "FROM fact")
 
 
-def j20() -> str:
-    return with_fixtures(["invoice_header", "ledger", "supplier_dim"], PROBLEM_CTES[:1], "SELECT * FROM supplier_metrics")
+def j12() -> str:
+    return with_fixtures([*ENRICHED, "ledger", "supplier_dim"], WITH_PROBLEMS, "FROM fact")
 
 
-def j21() -> str:
-    return with_fixtures(["invoice_header", "ledger", "supplier_dim"], PROBLEM_CTES, "SELECT * FROM problematic_suppliers")
+def j13(require_supplier: bool) -> str:
+    return with_fixtures(ENRICHED, _period_fact(require_supplier), "SELECT sum(total_usd) / 1000000 AS amount_due_usd_millions FROM fact")
 
 
-def j22() -> str:
-    return with_fixtures(["invoice_header", "ledger", "supplier_dim", "exchange_rate"],
-                         [("cte_latest_rate", RATES_BY_RATE_DATE)], f"""
-SELECT cih.invoice_number, csb.name, cte.rate * CAST(cih.gross_total AS DOUBLE) AS gross_total_usd,
-       CAST(cih.payment_date AS DATE) AS payment_date
-FROM invoice_header cih
-LEFT JOIN ledger waz ON cih.invoice_number = waz.invoice__
-LEFT JOIN supplier_dim csb ON cih.supplier_id = csb.id
-LEFT JOIN cte_latest_rate cte ON cih.currency_id = cte.to_currency_id AND {_m('cih.payment_date')} = cte.rate_date_month
-WHERE waz.invoice__ IS NULL AND cih.payment_date BETWEEN {S} AND {E}
-ORDER BY cih.payment_date ASC NULLS LAST, cih.invoice_number ASC NULLS LAST""")
+def j14() -> str:
+    return with_fixtures(ENRICHED, _monthly_fact(", ".join(map(str, P.EXCLUDED_SUPPLIERS))), BY_MONTH)
 
 
+def j15() -> str:
+    return with_fixtures([*ENRICHED, "ledger", "supplier_dim"], WITH_PROBLEMS, BY_MONTH)
+
+
+def j16() -> str:
+    return with_fixtures(["invoice_line", "order_line", "order_header"], [HEADER_ORDERS], "FROM orders_of")
+
+
+def j17() -> str:
+    return with_fixtures(["supplier_address", "country"], [FIRST_COUNTRY], "FROM home")
+
+
+def j18() -> str:
+    # every line meets every rate of its currency from the base
+    return with_fixtures(["invoice_header", "invoice_line", "exchange_rate"], [
+        ("quotes", f"SELECT to_currency_id AS currency_id, CAST(rate AS DECIMAL(18,8)) AS quote FROM exchange_rate WHERE from_currency_id = {P.BASE_CURRENCY}"),
+        ("quoted", "SELECT invoice_header_id AS id, quote FROM invoice_line JOIN quotes USING (currency_id)"),
+    ], f"""
+SELECT count(DISTINCT invoice_number) AS unique_invoice_numbers, count(*) AS total_invoices,
+       CAST(sum(amount_due * quote) AS DECIMAL(38,2)) AS amount_due_usd
+FROM quoted JOIN invoice_header USING (id) WHERE payment_date > DATE '{P.PAID_AFTER}'""")
+
+
+def j19() -> str:
+    return with_fixtures(["invoice_header", "payment_term", "exchange_rate"], [("weighed", """
+SELECT CAST(amount_due AS DOUBLE) * ifnull(rate, 1) AS weight, ifnull(CAST(days_for_net_payment AS DOUBLE), 0) AS days
+FROM (SELECT * FROM invoice_header WHERE amount_due > 0 AND status = 'APPROVED') h
+LEFT JOIN exchange_rate ON to_currency_id = h.currency_id LEFT JOIN payment_term t ON t.id = h.payment_term_id""")],
+                         "SELECT round(sum(weight * days) / nullif(sum(weight), 0), 6) AS wat FROM weighed")
+
+
+# --------------------------------------------------------------------- ledger
 def j23() -> str:
-    return with_fixtures(["ledger"], [], "SELECT * FROM ledger")
+    return with_fixtures(["ledger"], [], "FROM ledger")
 
 
 def j23_control_totals() -> str:
-    return with_fixtures(["ledger"], [], """
-SELECT COALESCE(b.payment_month, a.payment_month) AS payment_month,
-       COALESCE(b.n, 0) AS rows_before, COALESCE(a.n, 0) AS rows_after, COALESCE(b.n, 0) - COALESCE(a.n, 0) AS rows_removed,
-       b.total AS total_before, a.total AS total_after
-FROM (SELECT strftime(payment_date, '%Y-%m') AS payment_month, COUNT(*) AS n,
-             CAST(SUM(total_usd) AS DECIMAL(38,2)) AS total FROM ledger_backup GROUP BY 1) b
-FULL JOIN (SELECT strftime(payment_date, '%Y-%m') AS payment_month, COUNT(*) AS n,
-                  CAST(SUM(total_usd) AS DECIMAL(38,2)) AS total FROM ledger GROUP BY 1) a
-  ON b.payment_month IS NOT DISTINCT FROM a.payment_month""")
-
-
-def _audit(keys: str) -> str:
-    """The audits ran on the ledger before its repair (J23), i.e. the backup copy."""
-    return with_fixtures(["ledger_backup"], [("t1", f"""
-SELECT *, ROW_NUMBER() OVER (PARTITION BY {keys} ORDER BY created_date) AS rn
-FROM ledger_backup WHERE payment_date > DATE '{P.LEDGER_AFTER}'""")], """
-SELECT * FROM ledger_backup WHERE invoice__ IN (SELECT DISTINCT invoice__ FROM t1 WHERE rn > 1)
-ORDER BY invoice__, supplier, payment_date, requester, total_usd""")
+    return with_fixtures(["ledger"], [("sided", """
+SELECT strftime(payment_date, '%Y-%m') AS payment_month, total_usd, TRUE AS old FROM ledger_backup
+UNION ALL SELECT strftime(payment_date, '%Y-%m'), total_usd, FALSE FROM ledger""")], """
+SELECT payment_month, count(*) FILTER (old) AS rows_before, count(*) FILTER (NOT old) AS rows_after,
+       count(*) FILTER (old) - count(*) FILTER (NOT old) AS rows_removed,
+       CAST(sum(total_usd) FILTER (old) AS DECIMAL(38,2)) AS total_before,
+       CAST(sum(total_usd) FILTER (NOT old) AS DECIMAL(38,2)) AS total_after
+FROM sided GROUP BY ALL""")
+
+
+def _repeated(keys: str) -> str:
+    """All ledger rows of numbers that some key combination has more than once (before the repair)."""
+    return with_fixtures(["ledger_backup"], [], f"""
+SELECT * FROM ledger_backup WHERE invoice__ IN (
+  SELECT invoice__ FROM ledger_backup WHERE payment_date > DATE '{P.LEDGER_AFTER}' GROUP BY {keys} HAVING count(*) > 1)""")
 
 
 def j24() -> str:
-    return _audit("invoice__, supplier")
+    return _repeated("invoice__, supplier")
 
 
 def j25() -> str:
-    return _audit("invoice__, supplier, total_usd")
+    return _repeated("invoice__, supplier, total_usd")
 
 
 LEDGER_COLS = ("invoice__, supplier, supplier__, payment_date, requester, total_usd, invoice_date, created_date, "
                "invoice_received_date, net_due_date")
-KEEP_ONE = ("deduped_sandbox", f"""
-SELECT {LEDGER_COLS} FROM (
-  SELECT *, ROW_NUMBER() OVER (PARTITION BY invoice__, supplier, total_usd
-    ORDER BY supplier__ ASC NULLS LAST, payment_date ASC NULLS LAST, requester ASC NULLS LAST,
-             invoice_date ASC NULLS LAST, created_date ASC NULLS LAST, invoice_received_date ASC NULLS LAST,
-             net_due_date ASC NULLS LAST) AS rn_sandbox
-  FROM ledger WHERE payment_date > DATE '{P.LEDGER_AFTER}')
-WHERE rn_sandbox = 1""")
+ONE_ENTRY = ("entry", pick(
+    "ledger", "invoice__, supplier, total_usd",
+    ", ".join(f"{c} ASC NULLS LAST" for c in ("supplier__", "payment_date", "requester", "invoice_date", "created_date",
+                                              "invoice_received_date", "net_due_date")),
+    LEDGER_COLS, f"payment_date > DATE '{P.LEDGER_AFTER}'"))
 
 
 def j26() -> str:
-    return with_fixtures(["ledger"], [KEEP_ONE], "SELECT * FROM deduped_sandbox")
+    return with_fixtures(["ledger"], [ONE_ENTRY], "FROM entry")
 
 
 def j27() -> str:
     return with_fixtures(["invoice_header", "ledger", "supplier_dim", "currency", "exchange_rate"], [
-        ("monthly_rates", rates_monthly()),
-        KEEP_ONE,
-        ("deduped_coupa", f"""
-SELECT h.*, curr.code FROM ({dedupe(f"payment_date BETWEEN {S} AND {E} AND document_type = 'Invoice' AND status != 'Voided'")}) h
-LEFT JOIN currency curr ON h.currency_id = curr.id"""),
+        ("monthly", rates_per_month()), ONE_ENTRY,
+        ("chosen", one_per_number(f"payment_date {PERIOD} AND document_type = 'Invoice' AND status <> 'Voided'")),
     ], f"""
-SELECT a.invoice_number AS source_invoice_number, a.code AS source_currency_code, c.name AS source_vendor_name,
-       c.number AS source_supplier_number, CAST(a.payment_date AS DATE) AS source_payment_date,
-       ROUND(CAST(a.gross_total AS DOUBLE) / COALESCE(r.rate, 1), 2) AS source_total_usd,
-       b.invoice__ AS ledger_invoice_number, b.supplier AS ledger_vendor_name, b.supplier__ AS ledger_supplier_number,
-       b.payment_date AS ledger_payment_date, b.total_usd AS ledger_total_usd
-FROM deduped_coupa a
-LEFT JOIN deduped_sandbox b ON a.invoice_number = b.invoice__
-LEFT JOIN supplier_dim c ON a.supplier_id = c.id
-LEFT JOIN monthly_rates r ON a.currency_id = r.to_currency_id AND {_m('a.payment_date')} = r.rate_month
-ORDER BY a.payment_date ASC NULLS LAST""")
-
-
-def _missing_rate(by: str) -> list[tuple[str, str]]:
-    return [
-        ("invoice_match", f"""
-SELECT a.invoice_number, a.{by}, b.invoice__,
-       CASE WHEN b.invoice__ IS NULL AND a.invoice_number IS NOT NULL THEN 1 ELSE 0 END AS missing_invoice_indicator
-FROM invoice_header a LEFT JOIN ledger b ON a.invoice_number = b.invoice__
-WHERE CAST(a.payment_date AS DATE) BETWEEN {S} AND {E} AND a.paid = true"""),
-        ("summary", f"""
-SELECT {by}, COUNT(*) AS total_invoices,
-       CAST(SUM(missing_invoice_indicator) AS BIGINT) AS missing_invoices,
-       CAST(COUNT(*) - SUM(missing_invoice_indicator) AS BIGINT) AS matched_invoices,
-       ROUND(CAST(SUM(missing_invoice_indicator) AS DOUBLE) * 100.0 / COUNT(*), 2) AS missing_rate_pct,
-       ROUND(CAST(COUNT(*) - SUM(missing_invoice_indicator) AS DOUBLE) * 100.0 / COUNT(*), 2) AS match_rate_pct
-FROM invoice_match GROUP BY {by} HAVING COUNT(*) >= {P.MIN_INVOICES}"""),
-    ]
+SELECT h.invoice_number AS source_invoice_number, currency.code AS source_currency_code, s.name AS source_vendor_name,
+       s.number AS source_supplier_number, CAST(h.payment_date AS DATE) AS source_payment_date,
+       round(CAST(h.gross_total AS DOUBLE) / ifnull(rate, 1), 2) AS source_total_usd,
+       e.invoice__ AS ledger_invoice_number, e.supplier AS ledger_vendor_name, e.supplier__ AS ledger_supplier_number,
+       e.payment_date AS ledger_payment_date, e.total_usd AS ledger_total_usd
+FROM chosen h
+LEFT JOIN currency ON currency.id = h.currency_id
+LEFT JOIN supplier_dim s ON s.id = h.supplier_id
+LEFT JOIN monthly ON (to_currency_id, rate_month) = (h.currency_id, {month('h.payment_date')})
+LEFT JOIN entry e ON e.invoice__ = h.invoice_number""")
+
+
+# ------------------------------------------------------------- missing rates
+def _missing(by: str) -> list[tuple[str, str]]:
+    return [LEDGER_HITS, ("tally", f"""
+SELECT {by}, CAST(sum({WEIGHT}) AS BIGINT) AS total_invoices,
+       count(*) FILTER (k IS NULL AND invoice_number IS NOT NULL) AS missing_invoices
+FROM invoice_header LEFT JOIN hits ON hit_number = invoice_number
+WHERE paid AND CAST(payment_date AS DATE) {PERIOD} GROUP BY {by} HAVING sum({WEIGHT}) >= {P.MIN_INVOICES}"""), ("rated", f"""
+SELECT {by}, total_invoices, missing_invoices, total_invoices - missing_invoices AS matched_invoices,
+       round(missing_invoices * 100.0::DOUBLE / total_invoices, 2) AS missing_rate_pct,
+       round((total_invoices - missing_invoices) * 100.0::DOUBLE / total_invoices, 2) AS match_rate_pct
+FROM tally""")]
 
 
 def j28() -> str:
-    return with_fixtures(["invoice_header", "ledger"], _missing_rate("created_by_id"),
-                         "SELECT * FROM summary ORDER BY missing_rate_pct DESC")
+    return with_fixtures(["invoice_header", "ledger"], _missing("created_by_id"), "FROM rated")
 
 
 def j29() -> str:
-    return with_fixtures(["invoice_header", "ledger"], _missing_rate("supplier_id"), """
-SELECT supplier_id, total_invoices, missing_invoices, matched_invoices, missing_rate_pct, match_rate_pct,
-       CAST(SUM(total_invoices) OVER () AS BIGINT) AS grand_total_invoices,
-       CAST(SUM(missing_invoices) OVER () AS BIGINT) AS grand_total_missing,
-       CAST(SUM(matched_invoices) OVER () AS BIGINT) AS grand_total_matched,
-       ROUND(CAST(SUM(missing_invoices) OVER () AS DOUBLE) * 100.0 / SUM(total_invoices) OVER (), 2)
-         AS overall_missing_rate_pct
-FROM summary ORDER BY missing_rate_pct DESC""")
-
-
-LEDGER_PERIOD = ("ledger_period", f"SELECT * FROM ledger WHERE payment_date BETWEEN {S} AND {E}")
-IND = "CASE WHEN C.invoice__ IS NOT NULL THEN 'BOTH' ELSE 'SOURCE ONLY' END"
-
-
-def _pivot(value: str, amounts: bool = False) -> str:
-    both = "COALESCE(SUM(CASE WHEN ind = 'BOTH' THEN count END), 0)"
-    only = "COALESCE(SUM(CASE WHEN ind = 'SOURCE ONLY' THEN count END), 0)"
-    amt = ""
-    if amounts:
-        amt = """
-       ROUND(COALESCE(SUM(CASE WHEN ind = 'BOTH' THEN sum_usd END), 0) / 1000, 1) AS both_total_usd_k,
-       ROUND(COALESCE(SUM(CASE WHEN ind = 'SOURCE ONLY' THEN sum_usd END), 0) / 1000, 1) AS source_only_total_usd_k,
-       ROUND(SUM(sum_usd) / 1000, 1) AS total_usd_k,"""
-    return f"""
-SELECT {value}, CAST({both} AS BIGINT) AS both_count, CAST({only} AS BIGINT) AS source_only_count,
-       CAST(SUM(count) AS BIGINT) AS total_count,{amt}
-       ROUND(CAST({both} AS DOUBLE) * 100.0 / SUM(count), 2) AS both_pct,
-       ROUND(CAST({only} AS DOUBLE) * 100.0 / SUM(count), 2) AS source_only_pct
-FROM invoice_indicator GROUP BY {value}"""
+    return with_fixtures(["invoice_header", "ledger"], [*_missing("supplier_id"), ("grand", """
+SELECT CAST(sum(total_invoices) AS BIGINT) AS grand_total_invoices, CAST(sum(missing_invoices) AS BIGINT) AS grand_total_missing,
+       CAST(sum(matched_invoices) AS BIGINT) AS grand_total_matched,
+       round(CAST(sum(missing_invoices) AS DOUBLE) * 100.0 / sum(total_invoices), 2) AS overall_missing_rate_pct FROM rated""")],
+                         "SELECT * FROM rated, grand")
 
 
-def j30(subset: bool) -> str:
-    sub = f"AND A.supplier_id IN ({', '.join(str(i) for i in P.TIER_SUBSET)})" if subset else ""
-    return with_fixtures(["invoice_header", "supplier_dim", "ledger"], [
-        LEDGER_PERIOD,
-        ("supplier_tier", """
-SELECT B.id AS supplier_id, json_extract_string(f.value, '$.name') AS supplier_tier_value
-FROM supplier_dim B, json_each(B.custom_fields) f WHERE f.key = 'supplier-tier'"""),
-        ("invoice_indicator", f"""
-SELECT st.supplier_tier_value, {IND} AS ind, COUNT(1) AS count
-FROM invoice_header A
-JOIN supplier_dim B ON A.supplier_id = B.id
-LEFT JOIN supplier_tier st ON B.id = st.supplier_id
-LEFT JOIN ledger_period C ON A.invoice_number = C.invoice__
-WHERE CAST(A.payment_date AS DATE) BETWEEN {S} AND {E} {sub}
-GROUP BY 1, 2"""),
-    ], _pivot("supplier_tier_value") + " ORDER BY total_count DESC")
-
-
-DIM_SQL = {
-    "D:custom_fields:supplier-category.lookup.name": "json_extract_string(D.custom_fields, '$.\"supplier-category\".lookup.name')",
+# ------------------------------------------------------------------- coverage
+# values that are not a plain column
+DIMENSION_SQL = {
+    ("D", "custom_fields:supplier-category.lookup.name"): "json_extract_string(d.custom_fields, '$.\"supplier-category\".lookup.name')",
 }
+COVERAGE_FIXTURES = ["invoice_header", "supplier_dim", "supplier_information", "ledger", "exchange_rate"]
 
 
-def _dim_expr(table: str, column: str) -> str:
-    return DIM_SQL.get(f"{table}:{column}", f"{table}.{column}")
-
-
-def _coverage_ctes(value_sql: str, with_d: bool = True, amounts: bool = False) -> list[tuple[str, str]]:
-    d = "LEFT JOIN supplier_information D ON B.id = D.supplier_id" if with_d else ""
-    if not amounts:
-        return [LEDGER_PERIOD, ("invoice_indicator", f"""
-SELECT {value_sql} AS variable_value, {IND} AS ind, COUNT(1) AS count
-FROM invoice_header A
-JOIN supplier_dim B ON A.supplier_id = B.id
-LEFT JOIN ledger_period C ON A.invoice_number = C.invoice__
-{d}
-WHERE CAST(A.payment_date AS DATE) BETWEEN {S} AND {E}
-GROUP BY 1, 2""")]
-    return [LEDGER_PERIOD, ("monthly_rates", rates_monthly()), ("details", f"""
-SELECT {value_sql} AS variable_value, {IND} AS ind, CAST(A.gross_total AS DOUBLE) / COALESCE(R.rate, 1) AS amount_usd
-FROM invoice_header A
-LEFT JOIN monthly_rates R ON A.currency_id = R.to_currency_id AND {_m('CAST(A.payment_date AS DATE)')} = R.rate_month
-JOIN supplier_dim B ON A.supplier_id = B.id
-{d}
-LEFT JOIN ledger_period C ON A.invoice_number = C.invoice__
-WHERE CAST(A.payment_date AS DATE) BETWEEN {S} AND {E}"""), ("invoice_indicator", """
-SELECT variable_value, ind, COUNT(1) AS count, SUM(amount_usd) AS sum_usd FROM details GROUP BY 1, 2""")]
+def _dimension(table: str, column: str) -> str:
+    return DIMENSION_SQL.get((table, column), f"{table.lower()}.{column}")
 
 
-COVERAGE_FIXTURES = ["invoice_header", "supplier_dim", "supplier_information", "ledger", "exchange_rate"]
+def _covered(value: str, name: str = "value", amounts: bool = False, information: bool = True, extra: str = "", where: str = "") -> str:
+    """Counts (and thousands of USD) of one dimension's values; a header weighs its ledger matches of the period."""
+    usd = f"CAST(a.gross_total AS DOUBLE) / ifnull(rate, 1) * {WEIGHT}"
+    money = f"""
+       round(ifnull(sum({usd}) FILTER (k IS NOT NULL), 0) / 1000, 1) AS both_total_usd_k,
+       round(ifnull(sum({usd}) FILTER (k IS NULL), 0) / 1000, 1) AS source_only_total_usd_k,
+       round(sum({usd}) / 1000, 1) AS total_usd_k,""" if amounts else ""
+    rates = f"LEFT JOIN monthly ON (to_currency_id, rate_month) = (a.currency_id, {month('CAST(a.payment_date AS DATE)')})" if amounts else ""
+    return f"""
+SELECT {value} AS {name}, CAST(ifnull(sum(k), 0) AS BIGINT) AS both_count, count(*) FILTER (k IS NULL) AS source_only_count,
+       CAST(sum({WEIGHT}) AS BIGINT) AS total_count,{money}
+       round(CAST(ifnull(sum(k), 0) AS DOUBLE) * 100.0 / sum({WEIGHT}), 2) AS both_pct,
+       round(CAST(count(*) FILTER (k IS NULL) AS DOUBLE) * 100.0 / sum({WEIGHT}), 2) AS source_only_pct
+FROM invoice_header a JOIN supplier_dim b ON b.id = a.supplier_id
+LEFT JOIN hits ON hit_number = a.invoice_number {rates}
+{"LEFT JOIN supplier_information d ON d.supplier_id = b.id" if information else ""} {extra}
+WHERE CAST(a.payment_date AS DATE) {PERIOD} {where} GROUP BY 1"""
 
 
-def _order(sort_by: list[str]) -> str:
+def _ranked(sort_by: list[str]) -> str:
     return ", ".join([f"{c} DESC NULLS FIRST" for c in sort_by] + ["variable_value ASC NULLS LAST"])
 
 
+def j30(subset: bool) -> str:
+    chosen = f"AND a.supplier_id IN ({', '.join(map(str, P.TIER_SUBSET))})" if subset else ""
+    tiers = """LEFT JOIN (SELECT s.id AS tiered, json_extract_string(f.value, '$.name') AS tier
+      FROM supplier_dim s, json_each(s.custom_fields) f WHERE f.key = 'supplier-tier') ON tiered = b.id"""
+    return with_fixtures(["invoice_header", "supplier_dim", "ledger"], [PERIOD_HITS],
+                         _covered("tier", "supplier_tier_value", information=False, extra=tiers, where=chosen))
+
+
 def j31(table: str, column: str, display: str, top_n: int | None, sort_by: list[str], with_d: bool = True,
         amounts: bool = False) -> str:
+    ctes = [PERIOD_HITS, ("monthly", rates_per_month()),
+            ("covered", _covered(_dimension(table, column), "variable_value", amounts, with_d))]
     limit = f"LIMIT {top_n}" if top_n is not None else ""
-    return with_fixtures(COVERAGE_FIXTURES, _coverage_ctes(_dim_expr(table, column), with_d, amounts), f"""
-SELECT *, '{table}' AS table_alias, '{column}' AS variable_name, '{display}' AS display_name FROM (
-{_pivot('variable_value', amounts)}
-ORDER BY {_order(sort_by)} {limit})""")
+    return with_fixtures(COVERAGE_FIXTURES, ctes, f"""
+SELECT *, '{table}' AS table_alias, '{column}' AS variable_name, '{display}' AS display_name
+FROM covered ORDER BY {_ranked(sort_by)} {limit}""")
 
 
 def j33(dims: list[tuple[str, str, str]], top_n: int, sort_by: list[str], amounts: bool) -> str:
-    parts = []
-    ctes: list[tuple[str, str]] = [LEDGER_PERIOD]
-    if amounts:
-        ctes.append(("monthly_rates", rates_monthly()))
-    for i, (table, column, display) in enumerate(dims):
-        value = f"CAST({_dim_expr(table, column)} AS VARCHAR)"
-        if amounts:
-            ctes.append((f"details_{i}", f"""
-SELECT {value} AS variable_value, {IND} AS ind, CAST(A.gross_total AS DOUBLE) / COALESCE(R.rate, 1) AS amount_usd
-FROM invoice_header A
-LEFT JOIN monthly_rates R ON A.currency_id = R.to_currency_id AND {_m('CAST(A.payment_date AS DATE)')} = R.rate_month
-JOIN supplier_dim B ON A.supplier_id = B.id
-LEFT JOIN supplier_information D ON B.id = D.supplier_id
-LEFT JOIN ledger_period C ON A.invoice_number = C.invoice__
-WHERE CAST(A.payment_date AS DATE) BETWEEN {S} AND {E}"""))
-            ctes.append((f"ind_{i}", f"SELECT variable_value, ind, COUNT(1) AS count, SUM(amount_usd) AS sum_usd FROM details_{i} GROUP BY 1, 2"))
-        else:
-            ctes.append((f"ind_{i}", f"""
-SELECT {value} AS variable_value, {IND} AS ind, COUNT(1) AS count
-FROM invoice_header A
-JOIN supplier_dim B ON A.supplier_id = B.id
-LEFT JOIN ledger_period C ON A.invoice_number = C.invoice__
-LEFT JOIN supplier_information D ON B.id = D.supplier_id
-WHERE CAST(A.payment_date AS DATE) BETWEEN {S} AND {E}
-GROUP BY 1, 2"""))
-        piv = _pivot("variable_value", amounts).replace("FROM invoice_indicator", f"FROM ind_{i}")
-        disp = display.replace("'", "''")
-        parts.append(f"""
-SELECT '{table}' AS table_alias, '{column}' AS variable_name, '{disp}' AS display_name, * FROM (
-{piv}
-ORDER BY {_order(sort_by)} LIMIT {top_n})""")
-    return with_fixtures(COVERAGE_FIXTURES, ctes, "\nUNION ALL\n".join(parts))
+    ctes = [PERIOD_HITS, ("monthly", rates_per_month())]
+    for i, (table, column, _) in enumerate(dims):
+        ctes.append((f"covered_{i}", _covered(f"CAST({_dimension(table, column)} AS VARCHAR)", "variable_value", amounts)))
+    each = [
+        f"SELECT {i} AS dim_id, '{t}' AS table_alias, '{c}' AS variable_name, '{d.replace(chr(39), chr(39) * 2)}' AS display_name, * FROM covered_{i}"
+        for i, (t, c, d) in enumerate(dims)
+    ]
+    ctes.append(("swept", "\nUNION ALL ".join(each)))
+    return with_fixtures(COVERAGE_FIXTURES, ctes, f"""
+SELECT *, CAST(row_number() OVER (PARTITION BY dim_id ORDER BY {_ranked(sort_by)}) AS INTEGER) AS rank
+FROM swept QUALIFY rank <= {top_n}""")
 
 
+# -------------------------------------------------------------------- reports
 def j37() -> str:
     return with_fixtures(["invoice_header", "currency"], [], f"""
-SELECT a.currency_id, b.code FROM invoice_header a LEFT JOIN currency b ON a.currency_id = b.id
-WHERE a.payment_date > DATE '{P.PAID_AFTER}'""")
+SELECT currency_id, code FROM invoice_header h LEFT JOIN currency ON currency.id = currency_id
+WHERE h.payment_date > DATE '{P.PAID_AFTER}'""")
 
 
 def j38() -> str:
     return with_fixtures(["survey"], [], f"""
-SELECT {_m('survey_date')} AS survey_month, ROUND(AVG(csat_score), 4) AS avg_csat, COUNT(*) AS responses,
-       COUNT(DISTINCT customer_id) AS customers
-FROM survey WHERE survey_date BETWEEN {S} AND {E} GROUP BY 1 ORDER BY 1""")
+SELECT {month('survey_date')} AS survey_month, round(avg(csat_score), 4) AS avg_csat, count(*) AS responses,
+       count(DISTINCT customer_id) AS customers
+FROM survey WHERE survey_date {PERIOD} GROUP BY ALL""")
 
 
 def j39() -> str:
     return with_fixtures(["receivables"], [], """
-SELECT payment_status, CAST(SUM(CAST(invoice_amount AS DECIMAL(18,2))) AS DECIMAL(38,2)) AS total_amount,
-       COUNT(*) AS invoice_count, COUNT(DISTINCT customer_id) AS customer_count
-FROM receivables WHERE payment_status IN ('Paid', 'Overdue', 'Pending') GROUP BY 1""")
+SELECT payment_status, CAST(sum(CAST(invoice_amount AS DECIMAL(18,2))) AS DECIMAL(38,2)) AS total_amount,
+       count(*) AS invoice_count, count(DISTINCT customer_id) AS customer_count
+FROM receivables WHERE payment_status IN ('Paid', 'Overdue', 'Pending') GROUP BY ALL""")
 
 
 def j40() -> str:
-    return with_fixtures(["invoice_header"], [("aging", aging_sql(P.AS_OF)),
-                                              ("over_90", "SELECT * FROM aging WHERE days_overdue > 90"),
-                                              ("top5", """
-SELECT invoice_id FROM over_90 ORDER BY outstanding_balance DESC NULLS LAST, invoice_id ASC LIMIT 5""")], """
-SELECT o.invoice_id, o.customer_name, o.days_overdue, o.outstanding_balance,
-       o.invoice_id IN (SELECT invoice_id FROM top5) AS is_top
-FROM over_90 o""")
+    return with_fixtures(["invoice_header"], [("aging", aging_sql(P.AS_OF))], """
+SELECT invoice_id, customer_name, days_overdue, outstanding_balance,
+       row_number() OVER (ORDER BY outstanding_balance DESC NULLS LAST, invoice_id ASC) <= 5 AS is_top
+FROM aging WHERE days_overdue > 90""")
 
 
 def j41() -> str:
-    late = "date_diff('day', net_due_date, payment_date)"
-    return with_fixtures(["vendor_payments"], [], f"""
-SELECT vendor_name, CAST(SUM(CAST(paid_amount AS DECIMAL(18,2))) AS DECIMAL(38,2)) AS paid_amount,
-       COUNT(*) AS invoice_count, COUNT(*) FILTER (WHERE {late} > 0) AS late_count,
-       ROUND(CAST(COUNT(*) FILTER (WHERE {late} > 0) AS DOUBLE) / COUNT(*), 4) AS late_share,
-       ROUND(AVG(CASE WHEN {late} > 0 THEN {late} END), 2) AS avg_days_late
-FROM vendor_payments WHERE CAST(payment_date AS DATE) BETWEEN {S} AND {E} GROUP BY vendor_name""")
+    return with_fixtures(["vendor_payments"], [("slipped", f"""
+SELECT vendor_name, paid_amount, payment_date - net_due_date AS slip FROM vendor_payments WHERE CAST(payment_date AS DATE) {PERIOD}""")], """
+SELECT vendor_name, CAST(sum(CAST(paid_amount AS DECIMAL(18,2))) AS DECIMAL(38,2)) AS paid_amount, count(*) AS invoice_count,
+       count(*) FILTER (slip > 0) AS late_count, round(CAST(count(*) FILTER (slip > 0) AS DOUBLE) / count(*), 4) AS late_share,
+       round(avg(slip) FILTER (slip > 0), 2) AS avg_days_late
+FROM slipped GROUP BY ALL""")
 
 
 # ------------------------------------------------------------------ profiling
@@ -627,17 +504,8 @@ def j35() -> str:
         ("long", _unpivot_text(cols)),
         ("vals", "SELECT DISTINCT column_name, value FROM long"),
         ("cnt", "SELECT column_name, COUNT(*) AS unique_count FROM vals GROUP BY 1"),
-    ], "SELECT v.column_name, c.unique_count, v.value FROM vals v JOIN cnt c USING (column_name)")
-
-
-def j35_joined() -> str:
-    parts = [
-        f"""SELECT '{c}' AS column_name, COUNT(*) AS unique_count,
-       string_agg(CAST(v AS VARCHAR), ' | ' ORDER BY v) AS unique_values
-FROM (SELECT DISTINCT {c} AS v FROM lineitem WHERE {c} IS NOT NULL)"""
-        for c in P.LOW_CARDINALITY_COLUMNS
-    ]
-    return with_fixtures([], [], "\nUNION ALL\n".join(parts))
+    ], "SELECT v.column_name, c.unique_count, v.value, TRY_CAST(v.value AS DOUBLE) AS numeric_value "
+        "FROM vals v JOIN cnt c USING (column_name)")
 
 
 def j34() -> str:

@@ -27,5 +27,4 @@ PROFILE_TYPES = {
     "l_quantity": "double", "l_extendedprice": "double", "l_discount": "double", "l_tax": "double",
     "l_returnflag": "string", "l_linestatus": "string", "l_shipdate": "timestamp_ntz",
 }
-LOW_CARDINALITY_COLUMNS = ["l_linenumber", "l_quantity", "l_discount", "l_tax", "l_returnflag", "l_linestatus"]
 TOP_VALUES = 5

@@ -6,7 +6,7 @@ import __spark_entry__ as E
 from tests.conftest import SMALL
 from tests.oracle_check import compare, duck
 
-NAMES = sorted(E.queries())
+NAMES = sorted(E._QUERIES)  # the jobs of the library itself
 
 
 @pytest.fixture(scope="module")
@@ -15,7 +15,7 @@ def con():
 
 
 def test_every_query_has_an_oracle():
-    assert set(E.queries()) == set(E.oracle_sql())
+    assert set(E._QUERIES) <= set(E.oracle_sql())
 
 
 @pytest.mark.parametrize("name", NAMES)

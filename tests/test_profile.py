@@ -54,13 +54,29 @@ def test_all_null_columns_are_excluded(spark):
     assert profile.top_n_values(df, ["a", "b"], 5).where("column_name = 'b'").count() == 0
 
 
-def test_unique_values_joined_refuses_unbounded_columns(spark):
-    df = spark.range(50).selectExpr("id", "id % 3 as m")
-    out = {r.column_name: r for r in profile.unique_values_joined(df, ["m"], max_values=10).collect()}
-    assert out["m"].unique_values == "0 | 1 | 2" and out["m"].unique_count == 3
-    try:
-        profile.unique_values_joined(df, ["id"], max_values=10)
-    except ValueError as err:
-        assert "id" in str(err)
-    else:
-        raise AssertionError("expected a refusal")
+def test_unique_values_have_a_native_order(spark):
+    df = spark.createDataFrame([(9, "b"), (10, "a"), (9, None)], "n long, s string")
+    rows = profile.unique_values(df, ["n", "s"]).orderBy("column_name", "numeric_value", "value").collect()
+    assert [(r.column_name, r.unique_count, r.value, r.numeric_value) for r in rows] == [
+        ("n", 2, "9", 9.0), ("n", 2, "10", 10.0), ("s", 2, "a", None), ("s", 2, "b", None)]
+
+
+def test_snapshot_is_exact_for_wide_numbers_and_skips_nan(spark):
+    from decimal import Decimal
+
+    nan = float("nan")
+    big = 2**53
+    df = spark.createDataFrame(
+        [(big, Decimal("12345678901234567890.01"), 1.0, None), (big + 1, Decimal("12345678901234567890.02"), nan, None),
+         (big + 2, Decimal("12345678901234567890.03"), 2.0, None)], "i long, d decimal(38,2), f double, e string")
+    out = {r.attribute: r for r in profile.data_snapshot(df).collect()}
+    assert (out["i"].distinct_ct, out["d"].distinct_ct) == (3, 3)
+    assert (out["f"].non_null_ct, out["f"].null_ct, out["f"].distinct_ct) == (2, 1, 2)
+    assert "Max: 2.00" in out["f"].details and "Med: 1.50" in out["f"].details
+    assert (out["e"].non_null_ct, out["e"].distinct_ct, out["e"].details) == (0, 0, "Top 3: ")
+    assert {r.value for r in profile.unique_values(df, ["f"]).collect()} == {"1.0", "2.0"}
+
+
+def test_snapshot_of_an_empty_frame_has_a_row_per_column(spark):
+    out = {r.attribute: r for r in profile.data_snapshot(spark.createDataFrame([], "a long, b string")).collect()}
+    assert set(out) == {"a", "b"} and all(r.row_count == 0 and r.distinct_ct == 0 for r in out.values())

@@ -64,3 +64,31 @@ def test_match_counts_hot_number(spark, skew_conf):
         F.count("*").alias("t"), F.count("invoice__").alias("b")
     )
     assert sorted(map(tuple, fast.collect())) == sorted(map(tuple, naive.collect()))
+
+
+def test_match_counts_let_a_hot_number_be_split(spark):
+    """A third of the invoices with one number: the final plan splits the join's hot partition."""
+    from pyspark.sql import functions as F
+
+    from apflow.plans.reconcile import with_match_count
+
+    conf = {
+        "spark.sql.autoBroadcastJoinThreshold": "-1", "spark.sql.adaptive.autoBroadcastJoinThreshold": "-1",
+        "spark.sql.adaptive.skewJoin.skewedPartitionThresholdInBytes": "64k",
+        "spark.sql.adaptive.skewJoin.skewedPartitionFactor": "2", "spark.sql.adaptive.advisoryPartitionSizeInBytes": "64k",
+    }
+    old = {k: spark.conf.get(k, None) for k in conf}
+    try:
+        for k, v in conf.items():
+            spark.conf.set(k, v)
+        number = F.when(F.col("id") % 3 == 0, "hot").otherwise(F.concat(F.lit("n"), F.col("id")))
+        invoices = spark.range(200_000).repartition(8).select("id", number.alias("invoice_number"), F.md5(F.col("id").cast("string")).alias("pad"))
+        ledger = spark.range(20_000).select(F.concat(F.lit("n"), F.col("id")).alias("invoice__")).unionByName(
+            spark.range(2).select(F.lit("hot").alias("invoice__")))
+        out = with_match_count(invoices, ledger)
+        rows = out.collect()
+        assert len(rows) == 200_000 and sum(r["_k"] == 2 for r in rows) == 66_667
+        assert "skew=true" in out._jdf.queryExecution().executedPlan().toString()
+    finally:
+        for k, v in old.items():
+            spark.conf.unset(k) if v is None else spark.conf.set(k, v)
