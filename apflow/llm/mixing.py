@@ -108,10 +108,11 @@ def mix(
     rows = rows.join(t, F.col("source").eqNullSafe(F.col("t_source")), "left").drop("t_source")
     passes = F.when(F.col("size") > 0, F.sequence(F.lit(0), F.lit(max_passes - 1))).otherwise(F.array(F.lit(0)))
     entries = rows.withColumn("pass", F.explode(passes))
-    finish = (F.col("upto") + F.col("pass") * F.col("source_size")).cast("double") / F.col("target")
+    finish = F.try_divide((F.col("upto") + F.col("pass") * F.col("source_size")).cast("double"), F.col("target"))
     entries = entries.withColumn("finish", F.coalesce(finish, F.lit(float("inf"))))
-    # the clock's range buckets hold about the same number of words each; what finishes after 2 can't be reached
-    bucket = F.least(F.floor(F.least(F.col("finish"), F.lit(2.0)) * (SLICES // 2)), F.lit(SLICES)).cast("int")
+    # up to 2 the clock's range buckets hold about the same number of words each; later ones grow with the clock
+    late = SLICES + F.floor(F.least(F.log2(F.col("finish") / 2), F.lit(1024.0)) * 256)
+    bucket = F.when(F.col("finish") < 2, F.floor(F.col("finish") * (SLICES // 2))).otherwise(late).cast("int")
     entries = entries.withColumn("bucket", bucket)
     ticks = entries.groupBy("bucket").agg(F.sum("size").alias("words"))
     ticks = ticks.withColumn(
