@@ -27,6 +27,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from apflow.llm.samples import least_hashed
 from apflow.operators.joins import materialize
 
 SAMPLE = 8000
@@ -139,7 +140,7 @@ def score(
     prior = (float(seen["good"] or 0) + 1) / (seen["n"] + 2)
 
     def take(rows: DataFrame) -> np.ndarray:
-        some = rows.orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample).select("__llm_measures").toPandas()["__llm_measures"]
+        some = least_hashed(rows, sample, "doc_id").select("__llm_measures").toPandas()["__llm_measures"]
         return np.array(some.tolist(), dtype=np.float64).reshape(-1, MEASURES)
 
     positive = take(table.join(marks.where("__llm_good > 0"), "doc_id", "left_semi"))
