@@ -26,6 +26,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from apflow.llm.samples import least_hashed
 from apflow.llm.vector_blocks import best_per_query, usable
 from apflow.operators.joins import materialize
 
@@ -164,7 +165,7 @@ def search(
         F.col(id_col).cast("long").alias("vec_id"), is_query.alias("asks"),
         F.transform(v, lambda x: x.cast("double")).alias("v"),
     ).withColumn("dims", F.size("v")).dropDuplicates(["vec_id", "v"])
-    chosen = rows.orderBy(F.xxhash64("vec_id"), "vec_id").limit(sample).select("v").toPandas()["v"].tolist()
+    chosen = least_hashed(rows, sample, "vec_id").select("v").toPandas()["v"].tolist()
     routers = {}
     for dims in {len(x) for x in chosen}:
         x = np.array([r for r in chosen if len(r) == dims], dtype=np.float64)

@@ -26,6 +26,7 @@ from pyspark.ml.functions import vector_to_array
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from apflow.llm.samples import least_hashed
 from apflow.operators.joins import materialize
 
 SAMPLE = 20_000
@@ -93,7 +94,7 @@ def judge(pages: DataFrame, rules: Sequence[Rule], sample: int = SAMPLE, url_col
                          *[c.alias(f"s_{k}") for k, c in suffixes(F.col("host"), F.col("path")).items()])
 
     labelled = base.where("__r is not null").select(F.col(url_col), "host", "path", (F.col("__r.verdict") == "block").cast("double").alias("label"))
-    labelled = labelled.orderBy(F.xxhash64(F.col(url_col)), F.col(url_col)).limit(sample)
+    labelled = least_hashed(labelled, sample, url_col)
     train = materialize(featured(labelled), small=True)  # at most ``sample`` rows
     seen = train.agg(F.count("*").alias("n"), F.sum("label").alias("blocked")).first()
     if not seen["n"] or seen["blocked"] in (0.0, float(seen["n"])):
