@@ -275,7 +275,8 @@ def repeated_spans(docs: DataFrame, window: int = WINDOW, gram: int = GRAM) -> D
     kept = materialize(each.join(again, "mh"))
     distinct = kept.groupBy("mh", "sh").agg(F.count("*").alias("n"), F.min(F.struct("doc_id", "th", "pos", "len")).alias("at"))
     distinct = materialize(distinct)
-    many = distinct.groupBy("mh").agg(F.count("*").alias("d")).where(F.col("d") > CROWDED)
+    # written for the same reason: a crowded anchor's neighbourhoods can be split
+    many = materialize(distinct.groupBy("mh").agg(F.count("*").alias("d")).where(F.col("d") > CROWDED))
     marked = distinct.join(many, "mh", "left").withColumn("crowded", F.col("d").isNotNull())
     wanted = marked.groupBy(F.col("at.doc_id").alias("doc"), F.col("at.th").alias("hash")).agg(
         F.collect_list(F.struct("at.pos", "at.len", "mh", "sh", "n", "crowded")).alias("wanted"))  # anchors of one document
