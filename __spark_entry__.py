@@ -11,6 +11,7 @@ from __future__ import annotations
 import importlib.util
 import os
 import sys
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -20,9 +21,10 @@ sys.path.insert(0, os.path.dirname(os.path.abspath(__file__)))
 
 from apflow.operators import invoices as inv_ops  # noqa: E402
 from apflow.operators import lookups, profile, rates  # noqa: E402
-from apflow.plans import payables, reconcile, reports  # noqa: E402
+from apflow.plans import ledger, payables, reconcile, reports  # noqa: E402
 from apflow.plans.payables import FactSpec  # noqa: E402
 from apflow.sources.fixtures import APTables, fixture_region_map  # noqa: E402
+from apflow.session import ensure_checkpoint_dir  # noqa: E402
 from oracles import jobs as O  # noqa: E402
 from oracles import params as P  # noqa: E402
 
@@ -104,6 +106,13 @@ def j04(spark, d):
     return rates.to_usd(h, m, by_month_of="payment_date")
 
 
+def j04_window(spark, d):
+    t = _t(spark, d)
+    r = rates.latest_rate_in_window(t.exchange_rate, P.BASE_CURRENCY, P.START, P.END)
+    h = t.invoice_header.select("id", "currency_id", "payment_date", "gross_total")
+    return rates.to_usd(h, r, by_month_of=None, direction="multiply", missing_rate="null")
+
+
 def j05(spark, d):
     t = _t(spark, d)
     v = inv_ops.valid_invoices(t.invoice_header, P.START, P.END, "loose", excluded_currency=P.EXCLUDED_CURRENCY)
@@ -140,6 +149,14 @@ def j11(spark, d):
     return payables.invoice_fact(_t(spark, d), _v1_spec(False, True))
 
 
+def j11_all_lookups(spark, d):
+    spec = FactSpec(
+        P.START, P.END, rules="strict", rates="window", base=P.BASE_CURRENCY, excluded_currency=P.EXCLUDED_CURRENCY,
+        require_supplier=True, lookups=True, variant="v3", region_map=fixture_region_map(),
+    )
+    return payables.invoice_fact(_t(spark, d), spec)
+
+
 def j12(spark, d):
     t = _t(spark, d)
     return payables.invoice_fact(t, _v3_spec(t, True, _problem(t)))
@@ -207,6 +224,12 @@ def j23_control_totals(spark, d):
     return inv_ops.repair_control_totals(t.ledger_backup, t.ledger)
 
 
+def j23_repaired_copy(spark, d):
+    path = f"{ensure_checkpoint_dir(spark).rstrip('/')}/apflow-tables/ledger-{uuid.uuid4().hex}"
+    ledger.repair_ledger(_t(spark, d).ledger_backup, path, to_path=True)
+    return spark.read.parquet(path)
+
+
 def j24(spark, d):
     return inv_ops.duplicate_audit(_t(spark, d).ledger_backup, ("invoice__", "supplier"), P.LEDGER_AFTER)
 
@@ -297,6 +320,12 @@ def j36(spark, d):
     return profile.top_n_values(_lineitem(spark, d), P.PROFILE_COLUMNS, P.TOP_VALUES)
 
 
+def j36_excluded(spark, d):
+    frame = _lineitem(spark, d).withColumns({
+        "never_given": F.lit(None).cast("string"), "at_times": F.when(F.col("l_linenumber") == 1, F.col("l_tax"))})
+    return profile.all_null_columns(frame, [*P.PROFILE_COLUMNS, *P.DERIVED_COLUMNS])
+
+
 def j37(spark, d):
     t = _t(spark, d)
     return lookups.currency_codes(t.invoice_header, t.currency, P.PAID_AFTER)
@@ -325,6 +354,7 @@ _QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "j02_monthly_rates": j02,
     "j03_monthly_rates_by_rate_date": j03,
     "j04_to_usd": j04,
+    "j04_to_usd_window_multiply": j04_window,
     "j05_dedupe_invoices": j05,
     "j06_valid_invoices": j06,
     "j07_dedupe_with_line_currency": j07,
@@ -332,6 +362,7 @@ _QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "j09_month_total_line_currency": j09,
     "j10_daily_totals": j10,
     "j11_enriched_invoices_basic": j11,
+    "j11_enriched_invoices_all_lookups": j11_all_lookups,
     "j12_enriched_invoices": j12,
     "j13_total_millions": j13,
     "j13_total_millions_basic": j13_basic,
@@ -347,6 +378,7 @@ _QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "j22_missing_invoices": j22,
     "j23_dedupe_ledger": j23,
     "j23_repair_control_totals": j23_control_totals,
+    "j23_repaired_copy": j23_repaired_copy,
     "j24_duplicate_audit_invoice_supplier": j24,
     "j25_duplicate_audit_invoice_supplier_total": j25,
     "j26_keep_one_ledger": j26,
@@ -363,6 +395,7 @@ _QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "j34_data_snapshot": j34,
     "j35_unique_values": j35,
     "j36_top_n_values": j36,
+    "j36_excluded_columns": j36_excluded,
     "j37_currency_codes": j37,
     "j38_satisfaction_by_month": j38,
     "j39_receivables_by_status": j39,
@@ -401,6 +434,7 @@ def oracle_sql() -> dict[str, str]:
         "j02_monthly_rates": O.j02(),
         "j03_monthly_rates_by_rate_date": O.j03(),
         "j04_to_usd": O.j04(),
+        "j04_to_usd_window_multiply": O.j04_window(),
         "j05_dedupe_invoices": O.j05(),
         "j06_valid_invoices": O.j06(),
         "j07_dedupe_with_line_currency": O.j07(),
@@ -408,6 +442,7 @@ def oracle_sql() -> dict[str, str]:
         "j09_month_total_line_currency": O.j09(),
         "j10_daily_totals": O.j10(),
         "j11_enriched_invoices_basic": O.j11(),
+        "j11_enriched_invoices_all_lookups": O.j11_all_lookups(),
         "j12_enriched_invoices": O.j12(),
         "j13_total_millions": O.j13(True),
         "j13_total_millions_basic": O.j13(False),
@@ -423,6 +458,7 @@ def oracle_sql() -> dict[str, str]:
         "j22_missing_invoices": O.j22(),
         "j23_dedupe_ledger": O.j23(),
         "j23_repair_control_totals": O.j23_control_totals(),
+        "j23_repaired_copy": O.j23(),
         "j24_duplicate_audit_invoice_supplier": O.j24(),
         "j25_duplicate_audit_invoice_supplier_total": O.j25(),
         "j26_keep_one_ledger": O.j26(),
@@ -442,6 +478,7 @@ def oracle_sql() -> dict[str, str]:
         "j34_data_snapshot": O.j34(),
         "j35_unique_values": O.j35(),
         "j36_top_n_values": O.j36(),
+        "j36_excluded_columns": O.j36_excluded(),
         "j37_currency_codes": O.j37(),
         "j38_satisfaction_by_month": O.j38(),
         "j39_receivables_by_status": O.j39(),

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from apflow.functions.dates import in_window, month_start
 from apflow.functions.measures import to_usd as usd_expr
+from apflow.operators.joins import join_dimension
 
 
 def _newest_first(ts: str) -> list[Column]:
@@ -88,11 +89,10 @@ def to_usd(
     r = rates.select(F.col("to_currency_id").alias("_ccy"), F.col("rate"), *(
         [F.col("rate_month").alias("_rm")] if by_month_of else []
     ))
-    cond = F.col("currency_id") == F.col("_ccy")
-    inv = invoices
+    keys, inv = [("currency_id", "_ccy")], invoices
     if by_month_of:
         inv = inv.withColumn("_im", month_start(by_month_of))
-        cond = cond & (F.col("_im") == F.col("_rm"))
-    joined = inv.join(r, cond, "left")
+        keys.append(("_im", "_rm"))
+    joined = join_dimension(inv, r, keys, "left")
     joined = joined.withColumn(out, usd_expr(amount, "rate", direction, missing_rate))
     return joined.drop("_ccy", "_rm", "_im")

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from urllib.parse import unquote, urlparse
+
 from pyspark.sql import DataFrame
 
 from apflow.operators.invoices import dedupe_ledger, repair_control_totals
@@ -14,7 +16,8 @@ def repair_ledger(backup: DataFrame, target: str, to_path: bool = False, buckets
 
     ``target`` is a catalog table name, or a parquet folder with
     ``to_path=True``. The source is a different table than the target, as in
-    the reference, so the overwrite never reads what it replaces.
+    the reference; a backup read from the target folder, or from the
+    target table, is refused.
 
     ``buckets`` writes the catalog table bucketed and sorted by invoice number.
     Every reconciliation job first counts ledger rows per invoice number; on a
@@ -22,18 +25,23 @@ def repair_ledger(backup: DataFrame, target: str, to_path: bool = False, buckets
     never shuffled again, run after run.
     """
     repaired = dedupe_ledger(backup)
-    if buckets:
-        if to_path:
-            raise ValueError("bucketing needs a catalog table, not a path")
-        (
-            repaired.write.mode("overwrite").format("parquet")
-            .bucketBy(buckets, "invoice__").sortBy("invoice__").saveAsTable(target)
-        )
-        return repair_control_totals(backup, backup.sparkSession.table(target))
+    spark = backup.sparkSession
+    if buckets and to_path:
+        raise ValueError("bucketing needs a catalog table, not a path")
     if to_path:
+        _refuse_own_files(backup, target)
         replace_parquet(repaired, target)
-        written = backup.sparkSession.read.parquet(target)
-    else:
-        replace_table(repaired, target)
-        written = backup.sparkSession.table(target)
-    return repair_control_totals(backup, written)
+        return repair_control_totals(backup, spark.read.parquet(target))
+    if spark.catalog.tableExists(target):
+        _refuse_own_files(backup, *spark.table(target).inputFiles()[:1])
+    replace_table(repaired, target, buckets=buckets, bucket_by=["invoice__"])
+    return repair_control_totals(backup, spark.table(target))
+
+
+def _refuse_own_files(backup: DataFrame, *target: str) -> None:
+    """The driver holds the file list of a scan already, so comparing names reads nothing."""
+    paths = [unquote(urlparse(x).path).rstrip("/") for x in target]
+    for file in backup.inputFiles():
+        name = unquote(urlparse(file).path)
+        if any(name == p or name.startswith(p + "/") for p in paths):
+            raise ValueError(f"the backup reads {target[0]}, which the repair would replace")

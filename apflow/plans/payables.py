@@ -233,7 +233,8 @@ def naive_line_rate_total(t: APTables, paid_after: str, base: int = 1) -> DataFr
     )
     h = t.invoice_header.where(F.col("payment_date") > F.lit(paid_after)).select("id", "invoice_number", "amount_due")
     li = t.invoice_line.select("invoice_header_id", "currency_id")
-    lr = li.join(r, li.currency_id == r.to_currency_id, "inner")
+    # one row per currency: lines are not shuffled on the currency
+    lr = join_dimension(li, r, [("currency_id", "to_currency_id")], "inner")
     j = h.join(lr, h.id == lr.invoice_header_id, "inner")
     return j.agg(
         F.count_distinct("invoice_number").alias("unique_invoice_numbers"),
@@ -253,7 +254,8 @@ def weighted_average_terms(t: APTables, status: str = "APPROVED") -> DataFrame:
     r = t.exchange_rate.groupBy("to_currency_id").agg(F.sum(F.coalesce("rate", F.lit(1.0))).alias("_sum_rate"))
     pt = t.payment_term.select(F.col("id").alias("_pt_id"), "days_for_net_payment")
     h = t.invoice_header.where((F.col("status") == status) & (F.col("amount_due") > 0))
-    j = h.join(pt, h.payment_term_id == pt._pt_id, "left").join(r, h.currency_id == r.to_currency_id, "left")
+    j = h.join(pt, h.payment_term_id == pt._pt_id, "left")
+    j = join_dimension(j, r, [("currency_id", "to_currency_id")], "left")
     w = F.coalesce(F.col("amount_due").cast("double"), F.lit(0.0)) * F.coalesce(F.col("_sum_rate"), F.lit(1.0))
     days = F.coalesce(F.col("days_for_net_payment").cast("double"), F.lit(0.0))
     return j.agg(F.round(F.sum(w * days) / F.nullif(F.sum(w), F.lit(0.0)), 6).alias("wat"))

@@ -135,7 +135,8 @@ def missing_invoices(t: APTables, start: str, end: str) -> DataFrame:
     ``rate x gross`` with the month's rate keyed on ``rate_date`` (J03), NULL
     when there is none. NULL invoice numbers never match and are listed.
     """
-    keys = t.ledger.select(F.col("invoice__").alias("_key")).where(F.col("_key").isNotNull()).distinct()
+    # spread once more after the distinct, as in with_match_count
+    keys = t.ledger.select(F.col("invoice__").alias("_key")).where(F.col("_key").isNotNull()).distinct().hint("rebalance")
     h = t.invoice_header.where(in_window("payment_date", start, end))
     h = h.join(keys, h.invoice_number == keys._key, "left_anti")
     s = t.supplier_dim.select(F.col("id").alias("_sid"), "name")
@@ -226,9 +227,10 @@ def missing_rate_by_supplier(
     """J28 per supplier plus grand totals over the listed suppliers.
 
     The grand totals are one scalar subquery (a one-row aggregate broadcast
-    as a value), not a window over a single partition.
+    as a value), not a window over a single partition. The rates per supplier
+    are written once, since both the list and the totals read them.
     """
-    s = _missing_rate(t, "supplier_id", start, end, min_invoices, match)
+    s = materialize(_missing_rate(t, "supplier_id", start, end, min_invoices, match))
     tot = s.agg(
         F.struct(
             F.sum("total_invoices").alias("t"),

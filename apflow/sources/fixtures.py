@@ -93,7 +93,7 @@ class APTables:
         self.spread_fact_sources = spread_fact_sources
         self._raw: dict[str, DataFrame] = {}
         self._given = dict(tables or {})
-        unknown = set(self._given) - set(AP_TABLE_NAMES)
+        unknown = set(self._given) - set(AP_TABLE_NAMES) - {"aging"}
         if unknown:
             raise ValueError(f"unknown AP tables {sorted(unknown)}")
 
@@ -208,7 +208,7 @@ class APTables:
             ((k * 7) % 23).alias("to_currency_id"),
             (F.lit(0.5) + F.col("o_totalprice") / F.lit(100000.0)).alias("rate"),
             od.alias("created_at"),
-            od.alias("rate_date"),
+            _plus_days(od, k % 9).alias("rate_date"),
         )
 
     # ----------------------------------------------------------- dimensions
@@ -282,7 +282,7 @@ class APTables:
             self.raw("customer")
             .where(cid % 10 != 3)
             .select(
-                cid.alias("id"),
+                (cid + 1).alias("id"),
                 cid.alias("supplier_id"),
                 F.col("c_name").alias("name"),
                 F.when(cid % 4 == 0, F.lit(None).cast("string"))
@@ -359,7 +359,10 @@ class APTables:
         )
 
     def aging(self, as_of: str) -> DataFrame:
-        h = self.invoice_header.where(~F.col("paid"))
+        """Unpaid invoices with their days overdue on ``as_of``; the caller's own ``aging`` table, where given, as it is."""
+        if "aging" in self._given:
+            return self._given["aging"]
+        h =self.invoice_header.where(~F.col("paid"))
         cust = self.raw("customer").select("c_custkey", "c_name")
         return h.join(cust, h.supplier_id == cust.c_custkey, "left").select(
             F.col("id").alias("invoice_id"),

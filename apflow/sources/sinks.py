@@ -1,26 +1,69 @@
-"""Sinks. The reference's only sink is create-or-replace-table-as-select."""
+"""Sinks. The reference's only sink is create-or-replace-table-as-select.
+
+Nothing live is touched before the new rows are written whole: where the
+catalog cannot replace a table atomically, and for plain folders, the rows go
+to a staging name first, which then takes the live one's place. A run that is
+lost while writing leaves the live data as it was; one lost between the two
+renames leaves both copies.
+"""
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+import uuid
+from collections.abc import Sequence
+
+from pyspark.sql import DataFrame, SparkSession
+
+SESSION_CATALOG = "spark_catalog"
+
+
+def _replaces_atomically(spark: SparkSession, table: str) -> bool:
+    """Whether the table's catalog is a v2 catalog; the built-in session catalog is not."""
+    parts = table.split(".")
+    catalog = parts[0] if len(parts) > 2 else spark.catalog.currentCatalog()
+    return catalog != SESSION_CATALOG or spark.conf.get(f"spark.sql.catalog.{SESSION_CATALOG}", None) is not None
 
 
-def replace_table(df: DataFrame, table: str, fmt: str = "parquet") -> None:
+def replace_table(
+    df: DataFrame, table: str, fmt: str = "parquet", buckets: int | None = None, bucket_by: Sequence[str] = ()
+) -> None:
     """Create or replace a catalog table with the rows of ``df``.
 
-    Uses ``writeTo(..).createOrReplace()`` on catalogs that support atomic
-    replace (v2 catalogs such as Iceberg or Delta) and falls back to an
-    overwrite ``saveAsTable`` on the built-in session catalog. ``df`` must not
-    read ``table`` itself; the reference always reads a backup copy.
+    One ``createOrReplace`` on v2 catalogs (Iceberg, Delta); write, rename, drop
+    on the built-in one. ``buckets`` (built-in catalog only) writes
+    buckets over ``bucket_by``, each sorted by it.
     """
-    try:
+    spark = df.sparkSession
+    if not buckets and _replaces_atomically(spark, table):
         df.writeTo(table).using(fmt).createOrReplace()
-    except Exception as err:  # session catalog: REPLACE TABLE needs a v2 table
-        if "UNSUPPORTED_FEATURE" not in str(err) and "not supported" not in str(err).lower():
-            raise
-        df.write.mode("overwrite").format(fmt).saveAsTable(table)
+        return
+    run = uuid.uuid4().hex
+    staged, retired = f"{table}_new_{run}", f"{table}_old_{run}"
+    writer = df.write.mode("errorifexists").format(fmt)
+    if buckets:
+        writer = writer.bucketBy(buckets, *bucket_by).sortBy(*bucket_by)
+    writer.saveAsTable(staged)
+    existed = spark.catalog.tableExists(table)
+    if existed:
+        spark.sql(f"ALTER TABLE {table} RENAME TO {retired}")
+    spark.sql(f"ALTER TABLE {staged} RENAME TO {table}")
+    if existed:
+        spark.sql(f"DROP TABLE {retired}")
 
 
 def replace_parquet(df: DataFrame, path: str) -> None:
-    """Overwrite a parquet folder on shared storage (a fresh path per run is safest)."""
-    df.write.mode("overwrite").parquet(path)
+    """Create or replace a parquet folder on shared storage."""
+    spark = df.sparkSession
+    run, path = uuid.uuid4().hex, path.rstrip("/")
+    staged, retired = f"{path}_new_{run}", f"{path}_old_{run}"
+    df.write.mode("errorifexists").parquet(staged)
+    folder = spark._jvm.org.apache.hadoop.fs.Path
+    live = folder(path)
+    fs = live.getFileSystem(spark._jsc.hadoopConfiguration())
+    existed = fs.exists(live)
+    if existed and not fs.rename(live, folder(retired)):
+        raise OSError(f"cannot rename {path}; the new rows are in {staged}")
+    if not fs.rename(folder(staged), live):
+        raise OSError(f"cannot rename {staged} to {path}" + (f"; the old rows are in {retired}" if existed else ""))
+    if existed:
+        fs.delete(folder(retired), True)

@@ -50,7 +50,7 @@ FROM (SELECT DISTINCT CAST(p_size AS BIGINT) AS id FROM part)"""),
     "exchange_rate": ((), f"""
 SELECT o_orderkey AS id, CAST(CASE WHEN o_orderkey % 10 = 9 THEN 2 ELSE 1 END AS BIGINT) AS from_currency_id,
        (o_orderkey * 7) % 23 AS to_currency_id, 0.5 + o_totalprice / 100000.0 AS rate,
-       {OD} AS created_at, {OD} AS rate_date
+       {OD} AS created_at, CAST({OD} + CAST(o_orderkey % 9 AS INTEGER) AS DATE) AS rate_date
 FROM orders"""),
     "currency": ((), """
 SELECT CAST(n_nationkey AS BIGINT) AS id, 'C' || CAST(n_nationkey AS VARCHAR) AS code, n_name AS name FROM nation"""),
@@ -73,7 +73,7 @@ SELECT c_custkey AS id, c_name AS name, 'S' || CAST(c_custkey AS VARCHAR) AS num
                  || '"},"other":{"code":' || CAST(c_custkey % 7 AS VARCHAR) || '}}' END AS custom_fields
 FROM customer"""),
     "supplier_information": ((), """
-SELECT c_custkey AS id, c_custkey AS supplier_id, c_name AS name,
+SELECT c_custkey + 1 AS id, c_custkey AS supplier_id, c_name AS name,
        CASE WHEN c_custkey % 4 = 0 THEN NULL ELSE 'T' || CAST(c_custkey AS VARCHAR) END AS federal_tax_num,
        'N' || CAST(c_custkey % 50 AS VARCHAR) AS supplier_number,
        '{"supplier-category":{"lookup":{"name":"Cat ' || CAST(c_custkey % 4 AS VARCHAR) || '"}}}' AS custom_fields

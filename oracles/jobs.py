@@ -60,6 +60,12 @@ SELECT id, currency_id, payment_date, gross_total, rate, CAST(gross_total AS DOU
 FROM invoice_header LEFT JOIN monthly ON (to_currency_id, rate_month) = (currency_id, {month('payment_date')})""")
 
 
+def j04_window() -> str:
+    return with_fixtures(["invoice_header", "exchange_rate"], [("period_rate", period_rates())], """
+SELECT h.id, currency_id, payment_date, gross_total, rate, CAST(gross_total AS DOUBLE) * rate AS amount_usd
+FROM invoice_header h LEFT JOIN period_rate ON to_currency_id = currency_id""")
+
+
 # ------------------------------------------------------------------- invoices
 def accepted(strict: bool, currency: bool = True, h: str = "") -> str:
     """The conditions on a header, columns prefixed with ``h``."""
@@ -192,14 +198,30 @@ ENRICHED = ["invoice_header", "invoice_line", "order_line", "order_header", "exc
 def _monthly_fact(excluded: str) -> list[tuple[str, str]]:
     """Loose rules, monthly rates, all lookups."""
     return [
-        ("monthly", rates_per_month()), FIRST_COUNTRY, HEADER_ORDERS,
+        ("quote", rates_per_month()),
         ("chosen", one_per_number(f"{accepted(False)} AND supplier_id NOT IN ({excluded})")),
+        *_with_all_lookups(f"(to_currency_id, rate_month) = (i.currency_id, {month('i.payment_date')})"),
+    ]
+
+
+def _period_fact_all_lookups() -> list[tuple[str, str]]:
+    """Strict rules, one rate per currency, a supplier required, all lookups."""
+    return [
+        ("quote", period_rates()), ("every", one_per_number(accepted(True))),
+        ("chosen", "FROM every WHERE supplier_id IS NOT NULL"), *_with_all_lookups("to_currency_id = i.currency_id"),
+    ]
+
+
+def _with_all_lookups(quoted: str) -> list[tuple[str, str]]:
+    """The ``chosen`` headers with every lookup and the rate of ``quote`` where ``quoted`` holds."""
+    return [
+        FIRST_COUNTRY, HEADER_ORDERS,
         ("looked_up", f"""
 SELECT i.* EXCLUDE (created_at), i.date_received AS invoice_received_date, i.created_at AS created_date,
-       ifnull(monthly.rate, 1) AS rate, currency.code AS code, si.name AS vendor_name, home.country AS country,
+       ifnull(quote.rate, 1) AS rate, currency.code AS code, si.name AS vendor_name, home.country AS country,
        terms.code AS payment_terms, kind.name AS account_type_name, orders_of.po_number AS po_number
 FROM chosen i
-LEFT JOIN monthly ON (to_currency_id, rate_month) = (i.currency_id, {month('i.payment_date')})
+LEFT JOIN quote ON {quoted}
 LEFT JOIN currency ON currency.id = i.currency_id
 LEFT JOIN supplier_information si ON si.id = i.supplier_id
 LEFT JOIN home ON home.id = i.supplier_id
@@ -243,6 +265,10 @@ def j11() -> str:
     return with_fixtures(ENRICHED, _period_fact(False), "FROM fact")
 
 
+def j11_all_lookups() -> str:
+    return with_fixtures(ENRICHED, _period_fact_all_lookups(), "FROM fact WHERE invoice_number IS NOT NULL")
+
+
 def j12() -> str:
     return with_fixtures([*ENRICHED, "ledger", "supplier_dim"], WITH_PROBLEMS, "FROM fact")
 
@@ -498,6 +524,12 @@ FROM (SELECT f.*, n.non_null_ct,
 WHERE rank <= {P.TOP_VALUES}""")
 
 
+def j36_excluded() -> str:
+    frame = "SELECT *, CAST(NULL AS VARCHAR) AS never_given, CASE WHEN l_linenumber = 1 THEN l_tax END AS at_times FROM lineitem"
+    empty = [f"SELECT '{c}' AS column_name FROM frame HAVING count({c}) = 0" for c in [*P.PROFILE_COLUMNS, *P.DERIVED_COLUMNS]]
+    return f"WITH frame AS ({frame})\n" + " UNION ALL\n".join(empty)
+
+
 def j35() -> str:
     cols = P.PROFILE_COLUMNS
     return with_fixtures([], [

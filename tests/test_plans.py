@@ -37,3 +37,9 @@ def test_ledger_match_counts_need_no_sort(spark):
     """With only grain columns used, the ledger repair is planned as a hash distinct."""
     plan = _plan(E.queries()["j20_supplier_coverage"](spark, SMALL))
     assert "min_by" not in plan and "Window" not in plan
+
+
+def test_rate_totals_join_without_shuffling_the_lines_by_currency(spark):
+    for name in ("j04_to_usd", "j18_naive_line_rate_total", "j19_weighted_average_terms"):
+        for line in _plan(E.queries()[name](spark, SMALL)).splitlines():
+            assert not ("Exchange hashpartitioning(currency_id" in line), (name, line)

@@ -1,6 +1,8 @@
 import os
 import tempfile
 
+import pytest
+
 from apflow.operators.invoices import dedupe_ledger
 from apflow.sources.sinks import replace_parquet, replace_table
 
@@ -40,3 +42,37 @@ def test_bucketed_ledger_needs_no_shuffle_for_match_counts(spark, tables):
     assert ledger.count() == tables.ledger.count()
     plan = ledger_match_counts(ledger)._jdf.queryExecution().executedPlan().toString()
     assert "Exchange" not in plan, plan
+
+
+def test_replacing_leaves_no_other_copy(spark, tables):
+    folder = tempfile.mkdtemp(prefix="apflow-sink-")
+    path = os.path.join(folder, "t")
+    for n in (3, 5):
+        replace_parquet(spark.range(n), path)
+        replace_table(spark.range(n), "replaced_twice")
+        assert spark.read.parquet(path).count() == n and spark.table("replaced_twice").count() == n
+    assert os.listdir(folder) == ["t"]
+    assert [t.name for t in spark.catalog.listTables() if "replaced_twice" in t.name] == ["replaced_twice"]
+
+
+def test_a_failed_write_leaves_the_live_rows(spark):
+    from pyspark.sql import functions as F
+
+    path = os.path.join(tempfile.mkdtemp(prefix="apflow-sink-"), "t")
+    replace_parquet(spark.range(4), path)
+    bad = spark.range(4).select(F.raise_error(F.lit("lost")).cast("long").alias("id"))
+    with pytest.raises(Exception, match="lost"):
+        replace_parquet(bad, path)
+    assert spark.read.parquet(path).count() == 4
+
+
+def test_repair_refuses_a_backup_that_is_the_target(spark, tables):
+    from apflow.plans.ledger import repair_ledger
+
+    path = os.path.join(tempfile.mkdtemp(prefix="apflow-repair-"), "ledger")
+    replace_parquet(tables.ledger_backup, path)
+    with pytest.raises(ValueError, match="would replace"):
+        repair_ledger(spark.read.parquet(path), path, to_path=True)
+    replace_table(tables.ledger_backup, "own_backup")
+    with pytest.raises(ValueError, match="would replace"):
+        repair_ledger(spark.table("own_backup"), "own_backup")
