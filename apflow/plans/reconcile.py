@@ -128,6 +128,13 @@ def problem_suppliers(metrics: DataFrame, min_pct: float = 90.0, top: int = 40,
 
 
 # ----------------------------------------------------------------------- J22
+def without_match(invoices: DataFrame, ledger: DataFrame, number: str = "invoice_number") -> DataFrame:
+    """The invoices with no ledger row; NULL numbers never match and stay."""
+    # spread once more after the distinct, as in with_match_count
+    keys = ledger.select(F.col("invoice__").alias("_key")).where(F.col("_key").isNotNull()).distinct().hint("rebalance")
+    return invoices.join(keys, invoices[number] == keys._key, "left_anti")
+
+
 def missing_invoices(t: APTables, start: str, end: str) -> DataFrame:
     """Source invoices paid in the window with no ledger row at all.
 
@@ -135,10 +142,7 @@ def missing_invoices(t: APTables, start: str, end: str) -> DataFrame:
     ``rate x gross`` with the month's rate keyed on ``rate_date`` (J03), NULL
     when there is none. NULL invoice numbers never match and are listed.
     """
-    # spread once more after the distinct, as in with_match_count
-    keys = t.ledger.select(F.col("invoice__").alias("_key")).where(F.col("_key").isNotNull()).distinct().hint("rebalance")
-    h = t.invoice_header.where(in_window("payment_date", start, end))
-    h = h.join(keys, h.invoice_number == keys._key, "left_anti")
+    h = without_match(t.invoice_header.where(in_window("payment_date", start, end)), t.ledger)
     s = t.supplier_dim.select(F.col("id").alias("_sid"), "name")
     r = monthly_rates_by_rate_date(t.exchange_rate).select(
         F.col("to_currency_id").alias("_ccy"), F.col("rate").alias("_rate"), F.col("rate_date_month").alias("_rm")

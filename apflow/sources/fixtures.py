@@ -78,19 +78,14 @@ class APTables:
     (Spark's exchange reuse shares identical subtrees within one query).
     """
 
-    # Fact sources: every invoice, line, rate and ledger row derives from these.
-    FACT_SOURCES = ("orders", "lineitem")
-
     def __init__(
         self,
         spark: SparkSession,
         sf_dir: str | None = None,
-        spread_fact_sources: bool = True,
         tables: dict[str, DataFrame] | None = None,
     ):
         self.spark = spark
         self.sf_dir = sf_dir
-        self.spread_fact_sources = spread_fact_sources
         self._raw: dict[str, DataFrame] = {}
         self._given = dict(tables or {})
         unknown = set(self._given) - set(AP_TABLE_NAMES) - {"aging"}

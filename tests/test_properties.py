@@ -73,8 +73,7 @@ def test_match_counts_equal_naive_fan_out(spark, tables):
 
 
 def test_results_do_not_depend_on_input_partitioning(spark):
-    a = APTables(spark, SMALL, spread_fact_sources=False)
-    b = APTables(spark, SMALL, spread_fact_sources=True)
+    a, b = APTables(spark, SMALL), APTables(spark, SMALL)
     for t in (a, b):
         t._raw["orders"] = t.raw("orders").repartition(7 if t is a else 3)
     fa = reconcile.supplier_coverage(a.invoice_header, a.ledger, a.supplier_dim, P.START, P.END)

@@ -70,7 +70,7 @@ def test_match_counts_let_a_hot_number_be_split(spark):
     """A third of the invoices with one number: the final plan splits the join's hot partition."""
     from pyspark.sql import functions as F
 
-    from apflow.plans.reconcile import with_match_count
+    from apflow.plans.reconcile import with_match_count, without_match
 
     conf = {
         "spark.sql.autoBroadcastJoinThreshold": "-1", "spark.sql.adaptive.autoBroadcastJoinThreshold": "-1",
@@ -89,6 +89,11 @@ def test_match_counts_let_a_hot_number_be_split(spark):
         rows = out.collect()
         assert len(rows) == 200_000 and sum(r["_k"] == 2 for r in rows) == 66_667
         assert "skew=true" in out._jdf.queryExecution().executedPlan().toString()
+        missing = without_match(invoices, ledger)
+        rows = missing.collect()
+        kept = {i for i in range(20_000, 200_000) if i % 3}
+        assert {r["id"] for r in rows} == kept and len(rows) == len(kept)
+        assert "skew=true" in missing._jdf.queryExecution().executedPlan().toString()
     finally:
         for k, v in old.items():
             spark.conf.unset(k) if v is None else spark.conf.set(k, v)
