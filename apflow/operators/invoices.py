@@ -98,14 +98,16 @@ def dedupe_with_line_currency(headers: DataFrame, lines: DataFrame) -> DataFrame
     currency comes from an arbitrary line; here it is the line with the
     smallest ``line_num``. Lines are reduced to that one row per header with
     a partial aggregate *before* the join, so the join is 1:1 instead of
-    shuffling every line. A header without lines keeps a NULL currency.
+    shuffling every line, and headers are de-duplicated first, so only the
+    surviving ones are shuffled for it. A header without lines keeps a NULL
+    currency.
     """
     first_line = lines.groupBy("invoice_header_id").agg(
         F.min_by("currency_id", "line_num").alias("line_currency_id")
     )
-    joined = headers.join(first_line, headers.id == first_line.invoice_header_id, "left")
-    deduped = dedupe_invoices(joined)
-    return deduped.select(
+    deduped = dedupe_invoices(headers)
+    joined = deduped.join(first_line, deduped.id == first_line.invoice_header_id, "left")
+    return joined.select(
         "invoice_number", "payment_date", "gross_total", F.col("line_currency_id").alias("currency_id")
     )
 

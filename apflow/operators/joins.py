@@ -6,7 +6,7 @@ import uuid
 from collections.abc import Sequence
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from apflow.session import ensure_checkpoint_dir
@@ -18,19 +18,35 @@ from apflow.session import ensure_checkpoint_dir
 DEFAULT_BROADCAST_ROWS = 500_000
 
 
+def _intermediates(spark: SparkSession) -> str:
+    """The folder of this application's written tables."""
+    root = ensure_checkpoint_dir(spark).rstrip("/")
+    return f"{root}/apflow-tables/{spark.sparkContext.applicationId}"
+
+
+def clear_intermediates(spark: SparkSession) -> None:
+    """Delete every table this application has written with :func:`materialize`.
+
+    For a caller that has written its results and is done with them: frames
+    built before can no longer be read, and frames that keep a written table
+    in their plan (``APTables`` and what follows from it) are to be built anew.
+    """
+    folder = spark._jvm.org.apache.hadoop.fs.Path(_intermediates(spark))
+    folder.getFileSystem(spark._jsc.hadoopConfiguration()).delete(folder, True)
+
+
 def materialize(df: DataFrame, small: bool = False) -> DataFrame:
     """Write ``df`` as a parquet table under the shared checkpoint folder and read it back.
 
     Cuts lineage: a lost executor re-reads the written files instead of
     recomputing the upstream scan and shuffles. Parquet keeps it columnar and
     compressed, unlike an RDD checkpoint of serialized rows. Each call writes
-    a fresh folder, so concurrent jobs never share one. ``small`` is for
-    results bounded by construction (a top-k): they are written as a single
-    file.
+    a fresh folder, so concurrent jobs never share one; it stays until
+    :func:`clear_intermediates`. ``small`` is for results bounded by
+    construction (a top-k): they are written as a single file.
     """
     spark = df.sparkSession
-    root = ensure_checkpoint_dir(spark).rstrip("/")
-    path = f"{root}/apflow-tables/{uuid.uuid4().hex}"
+    path = f"{_intermediates(spark)}/{uuid.uuid4().hex}"
     # a result bounded by construction is one file; repartition, not coalesce,
     # so the stage computing it keeps its parallelism
     (df.repartition(1) if small else df).write.mode("errorifexists").parquet(path)

@@ -137,7 +137,8 @@ def invoice_fact(t: APTables, spec: FactSpec) -> DataFrame:
         )
         j = (
             j.join(si, j.supplier_id == si._si_id, "left")
-            .join(sl, j.supplier_id == sl._sl_id, "left")
+            # an exchange of its own, so that the join can split a hot supplier
+            .join(sl.hint("rebalance"), j.supplier_id == sl._sl_id, "left")
             .join(po, j.id == po._po_id, "left")
         )
         head = ["payment_date", "invoice_number", "po_number", "gross_total", "invoice_date", "net_due_date",

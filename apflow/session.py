@@ -10,13 +10,15 @@ from pyspark.sql import SparkSession
 # Settings every job assumes. UTC keeps DATE() of timestamps stable; ANSI mode
 # (the 4.x default) makes bad casts and integer overflow fail loudly; AQE picks
 # broadcast vs. sort-merge joins from measured stage sizes and splits skewed
-# join partitions.
+# join partitions, also where a further join on the same key then needs a
+# shuffle of its own (forceOptimizeSkewedJoin).
 BASE_CONF = {
     "spark.sql.session.timeZone": "UTC",
     "spark.sql.ansi.enabled": "true",
     "spark.sql.adaptive.enabled": "true",
     "spark.sql.adaptive.coalescePartitions.enabled": "true",
     "spark.sql.adaptive.skewJoin.enabled": "true",
+    "spark.sql.adaptive.forceOptimizeSkewedJoin": "true",
     "spark.sql.adaptive.optimizeSkewsInRebalancePartitions.enabled": "true",
     "spark.ui.enabled": "false",
 }

@@ -29,6 +29,9 @@ def spark():
     )
     s.sparkContext.setLogLevel("ERROR")
     yield s
+    from apflow.operators.joins import clear_intermediates
+
+    clear_intermediates(s)
 
 
 @pytest.fixture(scope="session")

@@ -76,3 +76,16 @@ def test_repair_refuses_a_backup_that_is_the_target(spark, tables):
     replace_table(tables.ledger_backup, "own_backup")
     with pytest.raises(ValueError, match="would replace"):
         repair_ledger(spark.table("own_backup"), "own_backup")
+
+
+def test_written_intermediates_can_be_cleared(spark, monkeypatch):
+    from apflow.operators import joins
+
+    folder = os.path.join(tempfile.mkdtemp(prefix="apflow-written-"), "tables")
+    monkeypatch.setattr(joins, "_intermediates", lambda _: folder)
+    assert joins.materialize(spark.range(3)).count() == 3
+    assert len(os.listdir(folder)) == 1
+    joins.clear_intermediates(spark)
+    assert not os.path.exists(folder)
+    joins.clear_intermediates(spark)  # nothing to delete is no error
+    assert joins.materialize(spark.range(2)).count() == 2

@@ -7,7 +7,9 @@ import pytest
 from pyspark.sql import functions as F
 
 from apflow.operators.invoices import dedupe_invoices, dedupe_ledger
-from apflow.plans import reconcile
+from apflow.plans import payables, reconcile
+from oracles import params as P
+from tests.conftest import MEDIUM
 
 
 @pytest.fixture()
@@ -97,3 +99,59 @@ def test_match_counts_let_a_hot_number_be_split(spark):
     finally:
         for k, v in old.items():
             spark.conf.unset(k) if v is None else spark.conf.set(k, v)
+
+
+@pytest.fixture()
+def split_conf(spark):
+    conf = {
+        "spark.sql.autoBroadcastJoinThreshold": "-1", "spark.sql.adaptive.autoBroadcastJoinThreshold": "-1",
+        "spark.sql.adaptive.skewJoin.skewedPartitionThresholdInBytes": "2k",
+        "spark.sql.adaptive.skewJoin.skewedPartitionFactor": "1.5",
+        "spark.sql.adaptive.advisoryPartitionSizeInBytes": "2k",
+        "spark.sql.adaptive.coalescePartitions.enabled": "false",
+    }
+    old = {k: spark.conf.get(k, None) for k in conf}
+    for k, v in conf.items():
+        spark.conf.set(k, v)
+    yield
+    for k, v in old.items():
+        spark.conf.unset(k) if v is None else spark.conf.set(k, v)
+
+
+def _hot_supplier(spark):
+    """The AP tables with a third of the invoices on one supplier."""
+    from apflow.sources.fixtures import APTables
+
+    headers = APTables(spark, MEDIUM).invoice_header
+    hot = F.when(F.col("id") % 3 == 0, F.lit(7)).otherwise(F.col("supplier_id")).cast(headers.schema["supplier_id"].dataType)
+    return APTables(spark, MEDIUM, tables={"invoice_header": headers.withColumn("supplier_id", hot).repartition(8)})
+
+
+def _final_joins(df):
+    plan = df._jdf.queryExecution().executedPlan().toString().split("== Initial Plan")[0]
+    return [line for line in plan.splitlines() if "SortMergeJoin" in line]
+
+
+def test_supplier_chain_lets_a_hot_supplier_be_split(spark, split_conf):
+    """J12 joins two lookups on the supplier one after the other; both split a hot one, and the rows stay the same."""
+    spec = payables.FactSpec(P.START, P.END)
+    fact = payables.invoice_fact(_hot_supplier(spark), spec)
+    rows = fact.collect()
+    by_supplier = [j for j in _final_joins(fact) if "[supplier_id" in j]
+    assert len(by_supplier) == 2 and all("skew=true" in j for j in by_supplier), by_supplier
+    spark.conf.set("spark.sql.adaptive.skewJoin.enabled", "false")
+    try:
+        whole = payables.invoice_fact(_hot_supplier(spark), spec).collect()
+    finally:
+        spark.conf.set("spark.sql.adaptive.skewJoin.enabled", "true")
+    assert sorted(map(str, rows)) == sorted(map(str, whole))
+
+
+def test_tier_chain_lets_a_hot_supplier_be_split(spark, split_conf):
+    """The supplier, its tier and the match count; the two supplier joins split a hot supplier."""
+    t = _hot_supplier(spark)
+    tiers = reconcile.coverage_by_tier(t, P.START, P.END, t.ledger_period(P.START, P.END))
+    total = sum(r["total_count"] for r in tiers.collect())
+    joins = [j for j in _final_joins(tiers) if "[_bid#" in j]
+    assert len(joins) == 2 and all("skew=true" in j for j in joins), joins
+    assert total > 0
