@@ -6,7 +6,9 @@ the labelled ones: on at most ``sample`` of them (least hashed URL first) Spark
 gradient-boosted trees learn "block" from the URL's lexical features: lengths, depth, digit
 ratio, character entropy, numbers of parameters, hyphens and host labels, and statistics of
 its suffixes (smoothed share of blocked URLs with the same top-level domain, same registered
-domain, same first path segment, same file extension). All other URLs get the trees' verdict.
+domain, same first path segment, same file extension). The statistics count all labelled rows, for a row
+of the sample those of other folds only (a URL's fold follows from its hash): without its own label
+alone, the statistic would differ by the label and so give it away. All other URLs get the trees' verdict.
 
 Defined results: a null URL or one without ``://`` has empty host and path, fits no rule and is judged
 by the trees like any other; with labels of one verdict only, that verdict is given, and without any
@@ -32,6 +34,7 @@ from apflow.operators.joins import materialize
 SAMPLE = 20_000
 TREES, DEPTH, SEED = 12, 3, 5
 SMOOTHING = 5.0
+FOLDS = 5
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 Rule = tuple[str, str, str]
 SUFFIXES = ("tld", "domain", "segment", "extension")
@@ -80,6 +83,25 @@ def suffixes(host: Column, path: Column) -> dict[str, Column]:
     }
 
 
+def with_suffixes(df: DataFrame) -> DataFrame:
+    return df.select("*", *[c.alias(f"s_{k}") for k, c in suffixes(F.col("host"), F.col("path")).items()])
+
+
+def statistics(labelled: DataFrame) -> dict[str, DataFrame]:
+    """Of each kind of suffix: (s_<kind>, b, c, folds), the blocked and all rows of ``labelled`` (host, path, label, fold) that have it.
+
+    ``folds`` has the same two numbers of each fold.
+    """
+    kinds = F.array(*[F.struct(F.lit(k).alias("kind"), c.alias("suffix")) for k, c in suffixes(F.col("host"), F.col("path")).items()])
+    folds = F.array(*[F.struct(F.sum(F.when(F.col("fold") == k, F.col("label")).otherwise(0.0)).alias("b"),
+                               F.count_if(F.col("fold") == k).alias("c")) for k in range(FOLDS)])
+    counts = materialize(
+        labelled.select("label", "fold", F.explode(kinds).alias("s")).groupBy("s.kind", "s.suffix")
+        .agg(F.sum("label").alias("b"), F.count("*").alias("c"), folds.alias("folds")))
+    # a table each, so that the size of each is known to its join
+    return {k: materialize(counts.where(F.col("kind") == k).select(F.col("suffix").alias(f"s_{k}"), "b", "c", "folds")) for k in SUFFIXES}
+
+
 def judge(pages: DataFrame, rules: Sequence[Rule], sample: int = SAMPLE, url_col: str = "url") -> DataFrame:
     """``pages`` with host, path, rule, verdict and block_score (null where a rule decided)."""
     outputs = ["host", "path", "rule", "verdict", "block_score"]
@@ -88,30 +110,30 @@ def judge(pages: DataFrame, rules: Sequence[Rule], sample: int = SAMPLE, url_col
     kept = [F.col(f"`{c}`") for c in pages.columns if c not in outputs]
     url = F.coalesce(F.col(url_col).cast("string"), F.lit(""))
 
-    def featured(df: DataFrame) -> DataFrame:
+    def with_features(df: DataFrame) -> DataFrame:
         features = lexical_features(url, F.col("host"), F.col("path"))
-        return df.select("*", *[c.cast("double").alias(k) for k, c in features.items()],
-                         *[c.alias(f"s_{k}") for k, c in suffixes(F.col("host"), F.col("path")).items()])
+        return df.select("*", *[c.cast("double").alias(k) for k, c in features.items()])
 
-    labelled = base.where("__r is not null").select(F.col(url_col), "host", "path", (F.col("__r.verdict") == "block").cast("double").alias("label"))
-    labelled = least_hashed(labelled, sample, url_col)
-    train = materialize(featured(labelled), small=True)  # at most ``sample`` rows
+    labelled = base.where("__r is not null").select(F.col(url_col), "host", "path", (F.col("__r.verdict") == "block").cast("double").alias("label"),
+                                                     F.pmod(F.xxhash64(url_col), F.lit(FOLDS)).alias("fold"))
+    stats = statistics(labelled)
+    every = stats["tld"].agg(F.sum("c").alias("n"), F.sum("b").alias("blocked")).first()  # each labelled row has one
+    train = materialize(with_features(with_suffixes(least_hashed(labelled, sample, url_col))), small=True)  # at most ``sample`` rows
     seen = train.agg(F.count("*").alias("n"), F.sum("label").alias("blocked")).first()
     if not seen["n"] or seen["blocked"] in (0.0, float(seen["n"])):
         only = "block" if seen["n"] and seen["blocked"] else "allow"
         return base.select(*kept, "host", "path", F.col("__r.rule").alias("rule"),
                            F.coalesce(F.col("__r.verdict"), F.lit(only)).alias("verdict"), F.lit(None).cast("double").alias("block_score"))
-    share = seen["blocked"] / seen["n"]
+    share = every["blocked"] / every["n"]
 
     def with_statistics(df: DataFrame, own: bool) -> DataFrame:
-        """Shares of blocked URLs by suffix; ``own``: of a labelled row, without the row itself."""
+        """Shares of blocked URLs by suffix; ``own``: of a labelled row, without the rows of its fold."""
+        less = F.element_at("folds", (F.col("fold") + 1).cast("int")) if own else F.struct(F.lit(0.0).alias("b"), F.lit(0).alias("c"))
         for s in SUFFIXES:
-            stats = train.groupBy(f"s_{s}").agg(F.sum("label").alias("b"), F.count("*").alias("c"))
-            minus = F.col("label") if own else F.lit(0.0)
-            # no more rows than the sample has
-            df = df.join(F.broadcast(stats), f"s_{s}", "left").withColumn(
-                f"f_{s}", (F.coalesce("b", F.lit(0.0)) - F.when(F.col("c").isNotNull(), minus).otherwise(0.0) + SMOOTHING * share)
-                / (F.coalesce("c", F.lit(0)) - (1 if own else 0) + SMOOTHING)).drop("b", "c")
+            # no broadcast hint: there can be as many suffixes as labelled rows
+            df = df.join(stats[s], f"s_{s}", "left").withColumn(
+                f"f_{s}", (F.coalesce("b", F.lit(0.0)) - less["b"] + SMOOTHING * share)
+                / (F.coalesce("c", F.lit(0)) - less["c"] + SMOOTHING)).drop("b", "c", "folds")
         return df
 
     inputs = [*lexical_features(url, F.col("host"), F.col("path")), *[f"f_{s}" for s in SUFFIXES]]
@@ -120,7 +142,9 @@ def judge(pages: DataFrame, rules: Sequence[Rule], sample: int = SAMPLE, url_col
         featuresCol="__features", labelCol="label", maxIter=TREES, maxDepth=DEPTH, seed=SEED, stepSize=0.3, checkpointInterval=-1,
     ).fit(assemble.transform(with_statistics(train, True)).select("__features", "label").coalesce(1))
     model.setProbabilityCol("__p").setRawPredictionCol("__raw").setPredictionCol("__pred")
-    scored = model.transform(assemble.transform(with_statistics(featured(base), False)))
-    score = F.when(F.col("__r").isNull(), vector_to_array("__p")[1])
-    verdict = F.coalesce(F.col("__r.verdict"), F.when(score >= 0.5, "block").otherwise("allow"))
-    return scored.select(*kept, "host", "path", F.col("__r.rule").alias("rule"), verdict.alias("verdict"), score.alias("block_score"))
+    told = base.where("__r is not null").select(*kept, "host", "path", F.col("__r.rule").alias("rule"),
+                                                F.col("__r.verdict").alias("verdict"), F.lit(None).cast("double").alias("block_score"))
+    scored = model.transform(assemble.transform(with_features(with_statistics(with_suffixes(base.where("__r is null")), False))))
+    score = vector_to_array("__p")[1]
+    return told.unionByName(scored.select(*kept, "host", "path", F.col("__r.rule").alias("rule"),
+                                          F.when(score >= 0.5, "block").otherwise("allow").alias("verdict"), score.alias("block_score")))

@@ -139,6 +139,15 @@ def test_trees_learn_what_the_rules_mean(spark):
     assert {x.verdict for x in out if ".net/de" in x.url} == {"block"}  # of what is known, the domain is always blocked
 
 
+def test_suffix_statistics_count_all_labelled_rows(spark):
+    # of 40 domains every other one is blocked throughout, and only the domain tells
+    rows = [(40 * k + i, f"http://h{i:02}.org/a/{'z' if k == 30 else 'yx'[i % 2]}{k % 7}") for i in range(40) for k in range(31)]
+    rules = [("block", "org", "/a/x"), ("allow", "org", "/a/y")]
+    d = spark.createDataFrame(rows, "page_id long, url string")
+    out = url_filter.judge(d, rules, sample=60).where("rule is null").collect()
+    assert len(out) == 40 and all(r.verdict == ("block" if int(r.host[1:3]) % 2 else "allow") for r in out)
+
+
 # ------------------------------------------------------------------- pipeline
 def test_pipeline_stages_on_odd_documents(spark, tmp_path):
     sf = "/root/testdata/sf0.001"
