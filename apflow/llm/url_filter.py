@@ -2,8 +2,8 @@
 
 A rule is (verdict, host, path prefix); it fits its host and all subdomains if the URL's path
 begins with its path, and the longest rule that fits decides. The URLs that rules decide are
-the labelled ones: on at most ``sample`` of them (least hashed URL first) Spark ML's
-gradient-boosted trees learn "block" from the URL's lexical features: lengths, depth, digit
+the labelled ones: on at most ``sample`` of them (distinct URLs, half of them of each verdict,
+least hashed first, weighted by how many they stand for) Spark ML's gradient-boosted trees learn "block" from the URL's lexical features: lengths, depth, digit
 ratio, character entropy, numbers of parameters, hyphens and host labels, and statistics of
 its suffixes (smoothed share of blocked URLs with the same top-level domain, same registered
 domain, same first path segment, same file extension). The statistics count all labelled rows, for a row
@@ -11,7 +11,7 @@ of the sample those of other folds only (a URL's fold follows from its hash): wi
 alone, the statistic would differ by the label and so give it away. All other URLs get the trees' verdict.
 
 Defined results: a null URL or one without ``://`` has empty host and path, fits no rule and is judged
-by the trees like any other; with labels of one verdict only, that verdict is given, and without any
+by the trees like any other; with labels of one verdict only in the whole table, that verdict is given, and without any
 label ``allow``; rows are judged one by one (repeated rows alike); ties of rule length cannot happen on one
 URL unless the same rule is listed twice, then the first counts; an empty table gives an empty result;
 extra columns are kept, those with names of outputs are replaced. The list of rules is compiled
@@ -21,6 +21,7 @@ into one expression, so it is meant for rule lists of at most some hundreds.
 from __future__ import annotations
 
 from collections.abc import Sequence
+from functools import reduce
 
 from pyspark.ml.classification import GBTClassifier
 from pyspark.ml.feature import VectorAssembler
@@ -28,7 +29,7 @@ from pyspark.ml.functions import vector_to_array
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from apflow.llm.samples import least_hashed
+from apflow.llm.samples import least_hashed_distinct
 from apflow.operators.joins import materialize
 
 SAMPLE = 20_000
@@ -102,6 +103,17 @@ def statistics(labelled: DataFrame) -> dict[str, DataFrame]:
     return {k: materialize(counts.where(F.col("kind") == k).select(F.col("suffix").alias(f"s_{k}"), "b", "c", "folds")) for k in SUFFIXES}
 
 
+def fit_sample(labelled: DataFrame, sample: int, url_col: str) -> DataFrame:
+    """Up to ``sample`` / 2 distinct URLs of each verdict, with ``weight``: how many distinct URLs of its verdict each stands for."""
+    half = max(1, sample // 2)
+    distinct = {r["label"]: r["n"] for r in labelled.groupBy("label").agg(F.approx_count_distinct(F.xxhash64(url_col)).alias("n")).collect()}
+    drawn = []
+    for label, n in sorted(distinct.items()):
+        rows = least_hashed_distinct(labelled.where(F.col("label") == label), half, n, url_col)
+        drawn.append(rows.withColumn("weight", F.lit(max(1.0, n / half))))
+    return reduce(DataFrame.unionByName, drawn)
+
+
 def judge(pages: DataFrame, rules: Sequence[Rule], sample: int = SAMPLE, url_col: str = "url") -> DataFrame:
     """``pages`` with host, path, rule, verdict and block_score (null where a rule decided)."""
     outputs = ["host", "path", "rule", "verdict", "block_score"]
@@ -118,12 +130,11 @@ def judge(pages: DataFrame, rules: Sequence[Rule], sample: int = SAMPLE, url_col
                                                      F.pmod(F.xxhash64(url_col), F.lit(FOLDS)).alias("fold"))
     stats = statistics(labelled)
     every = stats["tld"].agg(F.sum("c").alias("n"), F.sum("b").alias("blocked")).first()  # each labelled row has one
-    train = materialize(with_features(with_suffixes(least_hashed(labelled, sample, url_col))), small=True)  # at most ``sample`` rows
-    seen = train.agg(F.count("*").alias("n"), F.sum("label").alias("blocked")).first()
-    if not seen["n"] or seen["blocked"] in (0.0, float(seen["n"])):
-        only = "block" if seen["n"] and seen["blocked"] else "allow"
+    if not every["n"] or every["blocked"] in (0.0, float(every["n"])):
+        only = "block" if every["n"] and every["blocked"] else "allow"
         return base.select(*kept, "host", "path", F.col("__r.rule").alias("rule"),
                            F.coalesce(F.col("__r.verdict"), F.lit(only)).alias("verdict"), F.lit(None).cast("double").alias("block_score"))
+    train = materialize(with_features(with_suffixes(fit_sample(labelled, sample, url_col))), small=True)  # at most ``sample`` rows
     share = every["blocked"] / every["n"]
 
     def with_statistics(df: DataFrame, own: bool) -> DataFrame:
@@ -139,8 +150,8 @@ def judge(pages: DataFrame, rules: Sequence[Rule], sample: int = SAMPLE, url_col
     inputs = [*lexical_features(url, F.col("host"), F.col("path")), *[f"f_{s}" for s in SUFFIXES]]
     assemble = VectorAssembler(inputCols=inputs, outputCol="__features")
     model = GBTClassifier(
-        featuresCol="__features", labelCol="label", maxIter=TREES, maxDepth=DEPTH, seed=SEED, stepSize=0.3, checkpointInterval=-1,
-    ).fit(assemble.transform(with_statistics(train, True)).select("__features", "label").coalesce(1))
+        featuresCol="__features", labelCol="label", weightCol="weight", maxIter=TREES, maxDepth=DEPTH, seed=SEED, stepSize=0.3, checkpointInterval=-1,
+    ).fit(assemble.transform(with_statistics(train, True)).select("__features", "label", "weight").coalesce(1))
     model.setProbabilityCol("__p").setRawPredictionCol("__raw").setPredictionCol("__pred")
     told = base.where("__r is not null").select(*kept, "host", "path", F.col("__r.rule").alias("rule"),
                                                 F.col("__r.verdict").alias("verdict"), F.lit(None).cast("double").alias("block_score"))

@@ -148,6 +148,19 @@ def test_suffix_statistics_count_all_labelled_rows(spark):
     assert len(out) == 40 and all(r.verdict == ("block" if int(r.host[1:3]) % 2 else "allow") for r in out)
 
 
+def test_hot_url_or_rare_verdict_does_not_empty_a_class(spark):
+    by_hash = spark.range(400).selectExpr("concat('http://a.net/es/', id) url").orderBy(F.xxhash64("url")).collect()
+    urls = [by_hash[0].url] * 300 + [r.url for r in by_hash[1:]] + ["http://a.com/1", "http://b.com/2", "http://a.org/1", "http://b.net/de/1"]
+    d = spark.createDataFrame([(i, u) for i, u in enumerate(urls)], "page_id long, url string")
+    rules = [("block", "net", "/es/"), ("allow", "com", "/")]
+    # the blocked hot URL would fill a sample of 200 rows alone
+    out = {r.url: r for r in url_filter.judge(d, rules, sample=200).collect()}
+    assert out["http://b.net/de/1"].block_score is not None and out["http://a.com/1"].verdict == "allow"
+    drawn = url_filter.fit_sample(d.selectExpr("url", "cast(url like '%/es/%' as double) label").where("url like '%/es/%' or url like '%.com/%'"), 200, "url").collect()
+    assert len({r.url for r in drawn}) == len(drawn) == 102 and sum(r.label for r in drawn) == 100
+    assert all(r.weight == 1 for r in drawn if not r.label) and sum(r.weight for r in drawn if r.label) == pytest.approx(400, rel=0.2)
+
+
 # ------------------------------------------------------------------- pipeline
 def test_pipeline_stages_on_odd_documents(spark, tmp_path):
     sf = "/root/testdata/sf0.001"
