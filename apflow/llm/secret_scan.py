@@ -3,8 +3,9 @@
 Candidates are found by pattern, each kind leftmost and without overlap: ``assign`` (a
 password-like name and a value), ``access`` (access key ids), ``hex`` (long hexadecimal runs)
 and ``token`` (long runs that mix upper and lower case and digits). Every candidate's hash is
-then counted over the corpus by distinct repositories and distinct owners: what several owners
-have is a widely copied example, what belongs to fewer is live-looking. Spans of the first three
+then counted over the corpus by distinct repositories and distinct owners. What ``EXAMPLE_OWNERS`` or
+more owners have in different texts is a widely copied example, what belongs to fewer is live-looking:
+all copies of one text count for the least owner that has it, so a copied document is no example. Spans of the first three
 kinds always stay and carry that verdict; ``token`` spans, which a pattern alone cannot tell
 from other identifiers, are added only where the value is owner-specific and the span
 overlaps none of the others.
@@ -66,10 +67,11 @@ def _matches(text: Column, pattern: str, kind: int, value: Column | None = None)
 
 
 def with_candidates(docs: DataFrame, text_col: str = "text") -> DataFrame:
-    """``docs`` with ``__llm_spans``: candidates of all kinds, by start and kind."""
+    """``docs`` with ``__llm_spans``: candidates of all kinds, by start and kind, and the text's hash where there are any."""
     text = F.coalesce(F.col(text_col), F.lit(""))
     spans = F.concat(_matches(text, ASSIGN, 0), _matches(text, ACCESS, 1), _matches(text, HEX, 2), _matches(text, TOKEN, 3))
-    return docs.withColumn("__llm_spans", F.array_sort(spans))
+    return docs.withColumn("__llm_spans", F.array_sort(spans)).withColumn(
+        "__llm_text_md5", F.when(F.size("__llm_spans") > 0, F.md5(F.encode(text, "utf-8"))))
 
 
 def _overlaps(spans: Column, s: Column) -> Column:
@@ -77,19 +79,22 @@ def _overlaps(spans: Column, s: Column) -> Column:
 
 
 def judged(found: DataFrame, repository: Column, owner: Column) -> DataFrame:
-    """(__llm_row, spans) of the rows of ``found`` (written, with __llm_row and __llm_spans) that have spans.
+    """(__llm_row, spans) of the rows of ``found`` (written, with __llm_row, __llm_spans and __llm_text_md5) that have spans.
 
     Each span has start, kind, end, repositories, owners and live.
     """
     each = found.select(
-        "__llm_row", repository.alias("repo"), owner.alias("owner"), "__llm_spans",
+        "__llm_row", "__llm_text_md5", repository.alias("repo"), owner.alias("owner"), "__llm_spans",
     ).where(F.size("__llm_spans") > 0).withColumn("s", F.explode("__llm_spans")).withColumn("clash", _overlaps(F.col("__llm_spans"), F.col("s")))
-    each = each.where((F.col("s.kind") < 3) | ~F.col("clash")).select("__llm_row", "repo", "owner", "s")
-    holders = each.select(F.col("s.hash").alias("hash"), F.coalesce("repo", F.lit("")).alias("repo"),
-                          F.coalesce("owner", F.lit("")).alias("owner")).distinct()
-    counts = materialize(holders.groupBy("hash").agg(
-        F.count_distinct("repo").alias("repositories"), F.count_distinct("owner").alias("owners")))
-    live = F.col("owners") < EXAMPLE_OWNERS
+    each = each.where((F.col("s.kind") < 3) | ~F.col("clash")).select("__llm_row", "__llm_text_md5", "repo", "owner", "s")
+    each_hash, owner_name = F.col("s.hash").alias("hash"), F.coalesce("owner", F.lit(""))
+    holders = each.select(each_hash, F.coalesce("repo", F.lit("")).alias("repo"), owner_name.alias("owner")).distinct()
+    # copies of a text are no owners of their own: the least one stands for all
+    firsts = each.groupBy(each_hash, "__llm_text_md5").agg(F.min(owner_name).alias("owner"))
+    counts = materialize(
+        holders.groupBy("hash").agg(F.count_distinct("repo").alias("repositories"), F.count_distinct("owner").alias("owners"))
+        .join(firsts.groupBy("hash").agg(F.count_distinct("owner").alias("independent")), "hash"))
+    live = F.col("independent") < EXAMPLE_OWNERS
     told = each.join(counts, F.col("s.hash") == F.col("hash")).where((F.col("s.kind") < 3) | live)
     span = F.struct("s.start", "s.kind", "s.end", "repositories", "owners", live.alias("live"))
     return told.groupBy("__llm_row").agg(F.array_sort(F.collect_list(span)).alias("spans"))

@@ -276,6 +276,16 @@ def test_ownership_separates_examples_from_live_secrets(spark):
     assert secret_scan.redact(d).count() == d.count()
 
 
+def test_copies_of_a_text_are_one_owner(spark):
+    token, shared = "Zx9" * 8, "Qr7" * 9
+    rows = [(i, f"same text {token}", f"src{i}") for i in range(4)] + [(10 + i, f"text {i} {shared}", f"src{i}") for i in range(3)]
+    d = spark.createDataFrame([*rows, (20, f"same text {token}", None)], "doc_id long, text string, source string")
+    out = {r.doc_id: [(s.kind, s.owners, s.live) for s in r.spans] for r in secret_scan.scan(d).collect()}
+    assert all(out[i] == [(3, 5, True)] for i in (0, 1, 2, 3, 20)) and all(out[10 + i] == [] for i in range(3))
+    red = {r.doc_id: r.text for r in secret_scan.redact(d).collect()}
+    assert red[2] == f"same text {secret_scan.MASK}" and red[11] == f"text 1 {shared}"
+
+
 # ----------------------------------------------------------------- substrings
 def brute_removed(rows, window=35):
     all_words = [WORDS.findall(r.text or "") for r in rows]
