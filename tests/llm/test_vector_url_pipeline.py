@@ -91,6 +91,21 @@ def test_ann_query_recall(spark):
     assert sum(len({c for c, _ in cosine_best(rows, q)} & got[q]) for q in asked) / (5 * len(asked)) >= 0.9
 
 
+def test_ann_recall_outside_the_sample(spark):
+    d = spark.read.parquet("/root/testdata/sf0.1/embeddings.parquet")
+    rows = usable(d)
+    inside = {r.vec_id for r in d.orderBy(F.xxhash64("vec_id"), "vec_id").limit(500).collect()}
+    got = {}
+    for r in ann.search(d, F.col("vec_id") % 5 == 0, sample=500).collect():
+        got.setdefault(r.query_id, set()).add(r.vec_id)
+    hit = total = 0
+    for q in (i for i in rows if i % 5 == 0 and i not in inside):
+        best = [c for c, _ in cosine_best(rows, q)]
+        hit, total = hit + len(got[q] & set(best)), total + len(best)
+    print(f"recall {hit / total:.4f} of {total // 5} queries outside of {len(inside)} sampled vectors")
+    assert total > 1000 and hit / total >= 0.9
+
+
 def test_parts_are_balanced():
     r = np.random.default_rng(2)
     x = r.normal(size=(640, 8))
