@@ -320,6 +320,10 @@ def j36(spark, d):
     return profile.top_n_values(_lineitem(spark, d), P.PROFILE_COLUMNS, P.TOP_VALUES)
 
 
+def j36_counts(spark, d):
+    return profile.top_value_counts(_lineitem(spark, d), P.PROFILE_COLUMNS, P.TOP_VALUES)
+
+
 def j36_excluded(spark, d):
     frame = _lineitem(spark, d).withColumns({
         "never_given": F.lit(None).cast("string"), "at_times": F.when(F.col("l_linenumber") == 1, F.col("l_tax"))})
@@ -395,6 +399,7 @@ _QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "j34_data_snapshot": j34,
     "j35_unique_values": j35,
     "j36_top_n_values": j36,
+    "j36_top_value_counts": j36_counts,
     "j36_excluded_columns": j36_excluded,
     "j37_currency_codes": j37,
     "j38_satisfaction_by_month": j38,
@@ -478,6 +483,7 @@ def oracle_sql() -> dict[str, str]:
         "j34_data_snapshot": O.j34(),
         "j35_unique_values": O.j35(),
         "j36_top_n_values": O.j36(),
+        "j36_top_value_counts": O.j36_counts(),
         "j36_excluded_columns": O.j36_excluded(),
         "j37_currency_codes": O.j37(),
         "j38_satisfaction_by_month": O.j38(),

@@ -119,6 +119,14 @@ def top_n_values(df: DataFrame, cols: Sequence[str], top_n: int = 5) -> DataFram
     )
 
 
+def top_value_counts(df: DataFrame, cols: Sequence[str], top_n: int = 5) -> DataFrame:
+    """How many rows :func:`top_n_values` has of each column.
+
+    -> column_name, top_values_returned
+    """
+    return top_n_values(df, cols, top_n).groupBy("column_name").agg(F.count(F.lit(1)).alias("top_values_returned"))
+
+
 def all_null_columns(df: DataFrame, cols: Sequence[str]) -> DataFrame:
     """The excluded list of J35/J36: columns whose every value is NULL (or no rows).
 

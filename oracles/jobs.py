@@ -524,6 +524,10 @@ FROM (SELECT f.*, n.non_null_ct,
 WHERE rank <= {P.TOP_VALUES}""")
 
 
+def j36_counts() -> str:
+    return f"SELECT column_name, COUNT(*) AS top_values_returned FROM ({j36()}) GROUP BY 1"
+
+
 def j36_excluded() -> str:
     frame = "SELECT *, CAST(NULL AS VARCHAR) AS never_given, CASE WHEN l_linenumber = 1 THEN l_tax END AS at_times FROM lineitem"
     empty = [f"SELECT '{c}' AS column_name FROM frame HAVING count({c}) = 0" for c in [*P.PROFILE_COLUMNS, *P.DERIVED_COLUMNS]]

@@ -34,6 +34,11 @@ def test_top_n_values_match_pandas(spark):
         assert list(mine["percentage"]) == [round(n / pdf[c].notna().sum() * 100, 2) for _, n in top]
 
 
+def test_top_value_counts_per_column(spark):
+    d = spark.createDataFrame([("a", i, None) for i in range(5)], "one string, many int, none string")
+    assert {tuple(r) for r in profile.top_value_counts(d, d.columns, 3).collect()} == {("one", 1), ("many", 3)}
+
+
 def test_data_snapshot_numeric_details_match_pandas(spark):
     li = spark.read.parquet(f"{SMALL}/lineitem.parquet").select("l_quantity", "l_discount", "l_returnflag")
     snap = {r.attribute: r for r in profile.data_snapshot(li).collect()}
