@@ -35,6 +35,11 @@ def clear_intermediates(spark: SparkSession) -> None:
     folder.getFileSystem(spark._jsc.hadoopConfiguration()).delete(folder, True)
 
 
+def fresh_folder(spark: SparkSession) -> str:
+    """A path of its own under the shared checkpoint folder, not made yet; gone with :func:`clear_intermediates`."""
+    return f"{_intermediates(spark)}/{uuid.uuid4().hex}"
+
+
 def materialize(df: DataFrame, small: bool = False) -> DataFrame:
     """Write ``df`` as a parquet table under the shared checkpoint folder and read it back.
 
@@ -46,7 +51,7 @@ def materialize(df: DataFrame, small: bool = False) -> DataFrame:
     construction (a top-k): they are written as a single file.
     """
     spark = df.sparkSession
-    path = f"{_intermediates(spark)}/{uuid.uuid4().hex}"
+    path = fresh_folder(spark)
     # a result bounded by construction is one file; repartition, not coalesce,
     # so the stage computing it keeps its parallelism
     (df.repartition(1) if small else df).write.mode("errorifexists").parquet(path)
