@@ -53,4 +53,82 @@ SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, CAST(coalesce(n, 0) AS BIGINT)
 FROM words LEFT JOIN gone USING (rid)
 """
 
-ORACLES = {"op2_ngram_jaccard_join": _OP2, "op5_exact_topk": _OP5, "op10_substring_dedup": _OP10}
+
+
+def _op11(parts: int = 4, entries: int = 256, rounds: int = 4, scale: int = 1024) -> str:
+    """Lloyd's rounds over the parts, one common table expression a step."""
+    first = f"""
+rows AS MATERIALIZED (
+  SELECT row_number() OVER () AS rid, vec_id, label, list_transform(embedding, lambda x: CAST(floor({scale} * x::DOUBLE) AS BIGINT)) AS v
+  FROM embeddings WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0
+), parts AS MATERIALIZED (
+  SELECT rid, p, v[p * len(v) // {parts} + 1 : (p + 1) * len(v) // {parts}] AS x FROM rows, range({parts}) t(p)
+), seeds AS (SELECT rid, row_number() OVER (ORDER BY vec_id, v) - 1 AS entry FROM rows QUALIFY entry < {entries}),
+book0 AS MATERIALIZED (SELECT p, entry, x AS c FROM parts JOIN seeds USING (rid))"""
+    steps = []
+    for r in range(rounds + 1):
+        steps.append(f"""
+near{r} AS MATERIALIZED (
+  SELECT rid, p, min(struct_pack(d := d, entry := entry)) AS best FROM (
+    SELECT rid, p, entry, list_sum(list_transform(list_zip(x, c), lambda z: (z[1] - z[2]) * (z[1] - z[2])))::BIGINT AS d
+    FROM parts JOIN book{r} USING (p)) GROUP BY rid, p)""")
+        if r < rounds:
+            steps.append(f"""
+sums{r} AS (
+  SELECT p, entry, i, sum(v)::BIGINT AS s, count(*) AS n FROM (
+    SELECT p, best.entry AS entry, unnest(x) AS v, generate_subscripts(x, 1) AS i FROM parts JOIN near{r} USING (rid, p)) GROUP BY ALL
+), book{r + 1} AS MATERIALIZED (
+  SELECT p, entry, coalesce(m.c, b.c) AS c FROM book{r} b LEFT JOIN (
+    SELECT p, entry, list((s - ((s % n) + n) % n) // n ORDER BY i) AS c FROM sums{r} GROUP BY ALL) m USING (p, entry))""")
+    return "WITH " + ",".join([first, *steps]) + f""",
+coded AS (
+  SELECT rid, string_agg(format('{{:02x}}', best.entry), '' ORDER BY p) AS code, sum(best.d)::BIGINT AS error
+  FROM near{rounds} GROUP BY rid),
+books AS (SELECT sha256(string_agg(array_to_string(c, ','), ',' ORDER BY p, entry)) AS h FROM book{rounds})
+SELECT vec_id, code, error, CAST(sum(error) OVER (PARTITION BY label) AS BIGINT) AS label_error, h AS codebooks_sha256
+FROM coded JOIN rows USING (rid), books
+"""
+
+
+# every document's score for every item, all in integers but the weight
+_OP12 = r"""
+WITH docs AS (
+  SELECT row_number() OVER () AS rid, doc_id, regexp_extract_all(
+    translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+') AS t
+  FROM documents
+), totals AS (SELECT count(*) AS n_docs, sum(len(t))::BIGINT AS n_terms FROM docs WHERE len(t) > 0),
+held AS MATERIALIZED (
+  SELECT rid, doc_id, len(t) AS n, unnest(t) AS term FROM docs
+), postings AS MATERIALIZED (SELECT rid, doc_id, n, term, count(*) AS tf FROM held GROUP BY ALL),
+weights AS (
+  SELECT term, CAST(floor(1000 * ln((2 * any_value(n_docs) + 2)::DOUBLE / (2 * count(*) + 1)::DOUBLE)) AS BIGINT) AS w
+  FROM postings, totals GROUP BY term
+), items AS (SELECT DISTINCT item_id, text FROM benchmark),
+asked AS (
+  SELECT item_id, text, term, count(*) AS times FROM (
+    SELECT item_id, text, unnest(regexp_extract_all(
+      translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+')) AS term
+    FROM items) GROUP BY ALL
+), scored AS (
+  SELECT item_id, text, rid, doc_id,
+    sum(times * w * ((1000000000 * tf) // (1000 * tf + 12 * (75 + (25 * n * n_docs) // n_terms))))::BIGINT AS score
+  FROM asked JOIN postings USING (term) JOIN weights USING (term), totals GROUP BY ALL
+)
+SELECT item_id, CAST(row_number() OVER best AS INTEGER) AS rank, doc_id, score FROM scored WHERE score > 0
+WINDOW best AS (PARTITION BY item_id, text ORDER BY score DESC, doc_id)
+QUALIFY row_number() OVER best <= 20
+"""
+
+# what the records of the pages say when they are read back whole
+_OP13 = """
+WITH p AS (
+  SELECT page_id, octet_length(encode(coalesce(html, ''))) AS n, sha256(coalesce(html, '')) AS h FROM pages
+), least AS (SELECT h, min(page_id) AS first_id FROM p WHERE n >= 100 GROUP BY h)
+SELECT page_id, CAST(n AS BIGINT) AS payload_bytes, h AS payload_digest,
+       CASE WHEN first_id IS NULL OR first_id IS NOT DISTINCT FROM page_id THEN 'response' ELSE 'revisit' END AS record_type,
+       CASE WHEN first_id IS NOT DISTINCT FROM page_id THEN NULL ELSE first_id END AS refers_to
+FROM p LEFT JOIN least USING (h)
+"""
+
+ORACLES = {"op2_ngram_jaccard_join": _OP2, "op5_exact_topk": _OP5, "op10_substring_dedup": _OP10,
+           "op11_vector_codes": _op11(), "op12_lexical_search": _OP12, "op13_warc_salvage": _OP13}

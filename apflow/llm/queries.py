@@ -8,8 +8,11 @@ import public_tokenizers
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from apflow.llm import ann, bpe, folds, jaccard, language, mixing, quality, secret_scan, substrings, topk, url_filter
+from apflow.llm import (
+    ann, bpe, cover_lloyd, folds, jaccard, language, lexical, mixing, quality, secret_scan, substrings, topk, url_filter, warc,
+)
 from apflow.llm.oracles import ORACLES
+from apflow.operators.joins import fresh_folder, materialize
 
 TOKENIZER = "byte_bpe_50k.json"
 URL_RULES = (
@@ -99,10 +102,29 @@ def op10_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return kept.select("doc_id", "n_words", "n_removed", F.sha2("kept", 256).alias("kept_sha256"))
 
 
+def op11_vector_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    coded, quantizer = cover_lloyd.compress(_table(spark, sf_dir, "embeddings"))
+    digests = [F.when(F.col("length") == n, F.lit(quantizer.digest(n))) for n in quantizer.codebooks]
+    return coded.select("vec_id", "code", "error", "label_error",
+                        F.coalesce(*digests, F.lit(None).cast("string")).alias("codebooks_sha256"))
+
+
+def op12_lexical_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    index = lexical.build_index(_table(spark, sf_dir, "documents"))
+    return lexical.search(index, _table(spark, sf_dir, "benchmark"), k=20)
+
+
+def op13_warc_salvage(spark: SparkSession, sf_dir: str) -> DataFrame:
+    folder = fresh_folder(spark)
+    warc.write_archives(_table(spark, sf_dir, "pages"), folder)
+    return warc.resolved(materialize(warc.read_archives(spark, folder, payloads=False)))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f for f in (
         op1_language_id, op2_ngram_jaccard_join, op3_source_mixing, op4_bpe, op5_exact_topk, op6_url_filter,
-        op7_quality, op8_secrets, op9_ann, op10_substring_dedup)
+        op7_quality, op8_secrets, op9_ann, op10_substring_dedup, op11_vector_codes, op12_lexical_search,
+        op13_warc_salvage)
 }
 
 
