@@ -304,6 +304,36 @@ def j33_amounts(spark, d):
                                     sort_by="source_only_total_usd_k", amounts=True, rates_since=P.RATES_SINCE)
 
 
+# three dimensions that cannot work: a missing column, an unfinished expression, a cast that rows fail
+FAILING_DIMENSIONS = [
+    (reconcile.Dimension("A", "cost_center", "Invoice: Cost Center"), "skipped", "UNRESOLVED_COLUMN"),
+    (reconcile.Dimension("B", "name", "Supplier: Name Prefix", expr="left(B_name,"), "skipped", "PARSE_SYNTAX_ERROR"),
+    (reconcile.Dimension("B", "number", "Supplier: Number as Integer", expr="CAST(B_number AS INT)"), "failed", "CAST_INVALID_INPUT"),
+]
+
+
+def _isolated(spark, d) -> reconcile.Sweep:
+    t = _t(spark, d)
+    cut_off = F.when(F.col("supplier_id") % P.DAMAGED_EVERY == 0, F.lit(P.DAMAGED_JSON)).otherwise(F.col("custom_fields"))
+    damaged = APTables(spark, d, tables={
+        "supplier_information": t.supplier_information.withColumn("custom_fields", cut_off)})
+    dims = reconcile.REFERENCE_DIMENSIONS + [f[0] for f in FAILING_DIMENSIONS]
+    return reconcile.isolated_sweep(damaged, dims, P.START, P.END, _period(damaged), top_n=15, sort_by="total_count")
+
+
+def j33_isolated(spark, d):
+    return _isolated(spark, d).table
+
+
+def j33_report(spark, d):
+    return _isolated(spark, d).report
+
+
+def j31_match_labels(spark, d):
+    t = _t(spark, d)
+    return reconcile.match_labels(t, P.START, P.END, _period(t))
+
+
 def _lineitem(spark, d):
     return _t(spark, d).raw("lineitem").select(*P.PROFILE_COLUMNS)
 
@@ -396,6 +426,9 @@ _QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "j32_coverage_by_currency_amounts": j32,
     "j33_coverage_sweep": j33,
     "j33_coverage_sweep_amounts": j33_amounts,
+    "j33_isolated_sweep": j33_isolated,
+    "j33_isolated_sweep_report": j33_report,
+    "j31_match_labels": j31_match_labels,
     "j34_data_snapshot": j34,
     "j35_unique_values": j35,
     "j36_top_n_values": j36,
@@ -480,6 +513,10 @@ def oracle_sql() -> dict[str, str]:
                                                   ["source_only_total_usd_k"], amounts=True),
         "j33_coverage_sweep": O.j33(_dims(), 15, ["total_count"], False),
         "j33_coverage_sweep_amounts": O.j33(_dims(), 20, ["source_only_total_usd_k"], True),
+        "j33_isolated_sweep": O.j33_isolated(_dims(), 15, ["total_count"]),
+        "j33_isolated_sweep_report": O.j33_report(_dims(), [
+            (f.table, f.column, f.display_name, status, reason) for f, status, reason in FAILING_DIMENSIONS]),
+        "j31_match_labels": O.match_labels(),
         "j34_data_snapshot": O.j34(),
         "j35_unique_values": O.j35(),
         "j36_top_n_values": O.j36(),

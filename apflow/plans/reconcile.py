@@ -17,9 +17,11 @@ product of a hot invoice number's rows on both sides.
 from __future__ import annotations
 
 import logging
+import re
 from collections.abc import Sequence
 from dataclasses import dataclass
 
+from pyspark.errors import PySparkException
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -32,7 +34,7 @@ from apflow.sources.fixtures import APTables
 
 log = logging.getLogger(__name__)
 
-# Labels of the match indicator; callers may pass the reference's own.
+# Labels of the match indicator; callers may pass their own.
 BOTH, SOURCE_ONLY = "BOTH", "SOURCE ONLY"
 
 
@@ -66,6 +68,28 @@ def with_match_count(
     return invoices.join(m, invoices[number] == m._match_key, "left").drop("_match_key")
 
 
+def with_match_label(
+    invoices: DataFrame, ledger: DataFrame, number: str = "invoice_number", labels: tuple[str, str] = (BOTH, SOURCE_ONLY)
+) -> DataFrame:
+    """``invoices`` with ``match_label`` (in both systems, or in the source alone) and ``ledger_rows``.
+
+    The reference's match indicator, one row per invoice instead of one per joined pair: the
+    pairs of an invoice are alike but for their ledger side, and ``ledger_rows`` says how many there are.
+    """
+    m = with_match_count(invoices, ledger, number)
+    label = F.when(_k().isNotNull(), F.lit(labels[0])).otherwise(F.lit(labels[1]))
+    return m.withColumn("match_label", label).withColumn("ledger_rows", _in_both()).drop("_k")
+
+
+def match_labels(t: APTables, start: str, end: str, ledger_period: DataFrame) -> DataFrame:
+    """The match indicator of every source invoice paid in the window, against one period of the ledger.
+
+    -> id, invoice_number, supplier_id, match_label, ledger_rows
+    """
+    h = t.invoice_header.where(in_window("payment_date", start, end, date_cast=True))
+    return with_match_label(h.select("id", "invoice_number", "supplier_id"), ledger_period)
+
+
 def _k() -> Column:
     return F.col("_k")
 
@@ -252,7 +276,7 @@ def missing_rate_by_supplier(
 
 
 # ----------------------------------------------------------------- J30 - J33
-def _coverage_columns(labels: tuple[str, str] = (BOTH, SOURCE_ONLY)) -> list[Column]:
+def _coverage_columns() -> list[Column]:
     both, only = F.sum(_in_both()), F.sum(_source_only_rows())
     total = F.sum(_all_rows())
     return [
@@ -312,12 +336,17 @@ def coverage_by_tier(
 
 @dataclass(frozen=True)
 class Dimension:
-    """A candidate explanation of the gap: ``table`` is A (invoice), B (supplier) or D (supplier info)."""
+    """A candidate explanation of the gap: ``table`` is A (invoice), B (supplier) or D (supplier info).
+
+    ``invalid`` is for an expression that gives NULL where its input cannot be read: a SQL condition
+    that is true on just those rows, so that the sweep's report can count them.
+    """
 
     table: str
     column: str
     display_name: str
     expr: str | None = None  # SQL expression when the value is not a plain column
+    invalid: str | None = None
 
     def sql(self) -> str:
         """The value as a SQL expression over the prefixed columns."""
@@ -327,6 +356,20 @@ class Dimension:
         return F.expr(self.sql())
 
 
+def json_dimension(table: str, column: str, path: str, name: str, display_name: str) -> Dimension:
+    """A value inside a JSON text column; a text that is no JSON has no value and counts as invalid."""
+    doc = f"try_parse_json(`{table}_{column}`)"
+    return Dimension(
+        table, name, display_name, expr=f"try_variant_get({doc}, {_q(path)}, 'string')",
+        invalid=f"`{table}_{column}` IS NOT NULL AND {doc} IS NULL",
+    )
+
+
+def _q(text: str) -> str:
+    """A SQL string literal."""
+    return "'" + text.replace("\\", "\\\\").replace("'", "\\'") + "'"
+
+
 # The dimensions the reference sweeps, in its order
 # (table alias, column, display name).
 REFERENCE_DIMENSIONS = [
@@ -345,12 +388,8 @@ REFERENCE_DIMENSIONS = [
     Dimension("A", "currency_id", "Currency"),
     Dimension("D", "federal_tax_num", "Supplier: Fed Tax ID"),
     Dimension("D", "supplier_number", "Supplier: Number"),
-    Dimension(
-        "D",
-        "custom_fields:supplier-category.lookup.name",
-        "Supplier: Tier (Custom)",
-        expr="try_variant_get(parse_json(D_custom_fields), '$[\"supplier-category\"].lookup.name', 'string')",
-    ),
+    json_dimension("D", "custom_fields", '$["supplier-category"].lookup.name',
+                   "custom_fields:supplier-category.lookup.name", "Supplier: Tier (Custom)"),
 ]
 
 
@@ -392,11 +431,6 @@ def _coverage_base(
     return with_match_count(j, ledger_period, number="A_invoice_number", match=match)
 
 
-def _q(text: str) -> str:
-    """A SQL string literal."""
-    return "'" + text.replace("\\", "\\\\").replace("'", "\\'") + "'"
-
-
 def _order(sort_by: Sequence[str]) -> list[Column]:
     return [F.col(c).desc_nulls_first() for c in sort_by] + [F.col("variable_value").asc_nulls_last()]
 
@@ -485,21 +519,35 @@ def coverage_sweep(
     present = set(base.columns)
     usable: list[tuple[int, Dimension]] = []
     for i, d in enumerate(dims):
-        needed = f"{d.table}_{d.column}" if d.expr is None else None
+        needed = f"{d.table}_{d.column}"
         if d.expr is None and needed not in present:
             log.warning("skipping dimension %s: no column %s", d.display_name, needed)
             continue
         usable.append((i, d))
     if not usable:
         raise ValueError("no usable dimension")
+    return _ranked(_swept(base, usable, amounts), dims, top_n, keys)
+
+
+def _swept(base: DataFrame, usable: Sequence[tuple[int, Dimension]], amounts: bool, count_invalid: bool = False) -> DataFrame:
+    """One row per dimension and value with its counts; ``_invalid``, if asked for: those whose value could not be read."""
     pairs = F.expr("array(" + ", ".join(
-        f"named_struct('dim_id', {i}, 'variable_value', CAST({d.sql()} AS STRING))" for i, d in usable
+        f"named_struct('dim_id', {i}, 'variable_value', CAST({d.sql()} AS STRING)"
+        + (f", 'invalid', coalesce({d.invalid or 'false'}, false))" if count_invalid else ")")
+        for i, d in usable
     ) + ")")
     keep = ["_k"] + (["_amount_usd"] if amounts else [])
-    long = base.select(*keep, F.explode(pairs).alias("_p")).select(*keep, "_p.dim_id", "_p.variable_value")
+    fields = ["_p.dim_id", "_p.variable_value"] + (["_p.invalid"] if count_invalid else [])
+    long = base.select(*keep, F.explode(pairs).alias("_p")).select(*keep, *fields)
     cols = _coverage_columns()
     aggs = cols[:3] + (_amount_columns() if amounts else []) + cols[3:]
-    g = long.groupBy("dim_id", "variable_value").agg(*aggs)
+    if count_invalid:
+        aggs.append(F.sum(F.when(F.col("invalid"), _all_rows()).otherwise(F.lit(0))).alias("_invalid"))
+    return long.groupBy("dim_id", "variable_value").agg(*aggs)
+
+
+def _ranked(g: DataFrame, dims: Sequence[Dimension], top_n: int, keys: Sequence[str]) -> DataFrame:
+    """The first ``top_n`` values of each dimension, with its names."""
     w = Window.partitionBy("dim_id").orderBy(*_order(keys))
     top = g.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= top_n)
     meta = F.expr("array(" + ", ".join(
@@ -512,3 +560,96 @@ def coverage_sweep(
     front = [info["table_alias"].alias("table_alias"), info["variable_name"].alias("variable_name"),
              info["display_name"].alias("display_name")]
     return top.select("dim_id", "rank", *front, *[c for c in top.columns if c not in ("dim_id", "rank")])
+
+
+@dataclass(frozen=True)
+class Sweep:
+    """What :func:`isolated_sweep` found: the ranked values, and one row per dimension on how it went."""
+
+    table: DataFrame
+    report: DataFrame
+
+
+def _condition(err: Exception) -> str:
+    """The name of Spark's error condition, for a cause that has one."""
+    named = re.search(r"\[([A-Z][A-Z0-9_.]+)\]", str(err))
+    return named[1] if named else type(err).__name__
+
+
+def _unreadable(base: DataFrame, d: Dimension) -> str | None:
+    """Why a dimension's expressions do not fit the joined columns (Spark's analysis, no job), or None."""
+    if d.expr is None and f"{d.table}_{d.column}" not in base.columns:
+        return "UNRESOLVED_COLUMN"
+    try:
+        base.selectExpr(f"CAST({d.sql()} AS STRING)", f"CAST({d.invalid or 'false'} AS BOOLEAN)").schema  # noqa: B018
+    except PySparkException as err:
+        return _condition(err)
+    return None
+
+
+def isolated_sweep(
+    t: APTables,
+    dims: Sequence[Dimension],
+    start: str,
+    end: str,
+    ledger_period: DataFrame,
+    top_n: int = 15,
+    sort_by: Sequence[str] | str | None = "total_count",
+    amounts: bool = False,
+    rates_since: str | None = None,
+    match: str = "fanout",
+) -> Sweep:
+    """J33 where a failing dimension is reported and skipped, and the others come out whole.
+
+    ``table`` is what :func:`coverage_sweep` returns for the dimensions that work. ``report`` has one row per
+    dimension: dim_id, table_alias, variable_name, display_name, status, reason, value_count, invalid_count.
+
+    * ``skipped``: the expression does not fit the columns (a missing column, a type or syntax error);
+      known from Spark's analysis before any job runs.
+    * ``failed``: a row raises while the expression is evaluated (a cast in ANSI mode, say).
+    * ``ok``: all rows were evaluated; ``invalid_count`` of them, weighed like ``total_count``, had an input that
+      could not be read and count as NULL (``Dimension.invalid``).
+
+    ``reason`` is the name of Spark's error condition. The fused pass runs first and is written; only if it fails
+    are the joined columns that the dimensions name written once and each dimension is tried by itself on them, then
+    the fused pass is run over the rest. An error that no dimension causes is raised.
+    """
+    keys = _sort_keys(sort_by, amounts)
+    base = _coverage_base(t, start, end, ledger_period, True, amounts, rates_since, match=match)
+    notes: dict[int, tuple[str, str]] = {}
+    for i, d in enumerate(dims):
+        reason = _unreadable(base, d)
+        if reason is not None:
+            notes[i] = ("skipped", reason)
+    usable = [(i, d) for i, d in enumerate(dims) if i not in notes]
+    if usable:
+        try:
+            g = materialize(_swept(base, usable, amounts, count_invalid=True))
+        except PySparkException as err:
+            named = " ".join(f"{d.sql()} {d.invalid or ''}" for _, d in usable)
+            keep = [c for c in base.columns if c in ("_k", "_amount_usd") or c in named]
+            base = materialize(base.select(*keep))
+            for i, d in usable:
+                try:
+                    base.selectExpr(f"CAST({d.sql()} AS STRING) AS v", f"{d.invalid or 'false'} AS w").agg(
+                        F.count("v"), F.count_if("w")).collect()
+                except PySparkException as own:
+                    notes[i] = ("failed", _condition(own))
+            if not any(i in notes for i, _ in usable):
+                raise err
+            usable = [(i, d) for i, d in usable if i not in notes]
+            g = materialize(_swept(base, usable, amounts, count_invalid=True)) if usable else None
+    if not usable:
+        raise ValueError(f"no usable dimension: {notes}")
+    for i, (status, reason) in notes.items():
+        log.warning("dimension %s %s: %s", dims[i].display_name, status, reason)
+    told = t.spark.createDataFrame(
+        [(i, d.table, d.column, d.display_name, *notes.get(i, ("ok", None))) for i, d in enumerate(dims)],
+        "dim_id int, table_alias string, variable_name string, display_name string, status string, reason string")
+    counts = g.groupBy(F.col("dim_id").alias("_id")).agg(
+        F.count(F.lit(1)).alias("value_count"), F.sum("_invalid").alias("invalid_count"))
+    # an empty input has no values, but its dimensions were evaluated
+    ok = F.col("status") == "ok"
+    report = told.join(F.broadcast(counts), told.dim_id == counts._id, "left").select(
+        *told.columns, *[F.when(ok, F.coalesce(c, F.lit(0))).alias(c) for c in ("value_count", "invalid_count")])
+    return Sweep(_ranked(g.drop("_invalid"), dims, top_n, keys), report)

@@ -30,3 +30,6 @@ PROFILE_TYPES = {
     "l_returnflag": "string", "l_linestatus": "string", "l_shipdate": "timestamp_ntz",
 }
 TOP_VALUES = 5
+# made for the isolated sweep: every n-th supplier's document is cut off
+DAMAGED_EVERY = 11
+DAMAGED_JSON = '{"supplier-category": {"lookup"'
