@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from apflow.functions.dates import day_diff, in_window
-from apflow.operators.joins import not_in
+from apflow.operators.joins import materialize, reduce_by_keys, where_not_in
 
 # Fixed value: the longest plausible invoice-to-due and invoice-to-payment span, in days.
 MAX_TERM_DAYS = 365
@@ -68,7 +68,7 @@ def valid_invoices(
         h = h.where(reduce(lambda a, b: a & b, conds))
     if excluded_suppliers is not None:
         if isinstance(excluded_suppliers, DataFrame):
-            h = h.where(not_in(F.col("supplier_id"), excluded_suppliers))
+            h = where_not_in(h, "supplier_id", excluded_suppliers)
         else:
             h = h.where(~F.col("supplier_id").isin(list(excluded_suppliers)))
     return h
@@ -96,16 +96,16 @@ def dedupe_with_line_currency(headers: DataFrame, lines: DataFrame) -> DataFrame
 
     The reference joins every line and keeps one joined row per number, so the
     currency comes from an arbitrary line; here it is the line with the
-    smallest ``line_num``. Lines are reduced to that one row per header with
-    a partial aggregate *before* the join, so the join is 1:1 instead of
-    shuffling every line, and headers are de-duplicated first, so only the
-    surviving ones are shuffled for it. A header without lines keeps a NULL
+    smallest ``line_num``. Headers are de-duplicated first and written; lines
+    of other headers are dropped in the map tasks (:func:`reduce_by_keys`),
+    and what is left is reduced to one row per header with a partial aggregate
+    *before* the join, so the join is 1:1. A header without lines keeps a NULL
     currency.
     """
-    first_line = lines.groupBy("invoice_header_id").agg(
+    deduped = materialize(dedupe_invoices(headers.select("id", "invoice_number", "payment_date", "gross_total")))
+    first_line = reduce_by_keys(lines, "invoice_header_id", deduped.select("id")).groupBy("invoice_header_id").agg(
         F.min_by("currency_id", "line_num").alias("line_currency_id")
     )
-    deduped = dedupe_invoices(headers)
     joined = deduped.join(first_line, deduped.id == first_line.invoice_header_id, "left")
     return joined.select(
         "invoice_number", "payment_date", "gross_total", F.col("line_currency_id").alias("currency_id")
@@ -148,13 +148,14 @@ def duplicate_audit(ledger: DataFrame, keys: Sequence[str], after: str | None) -
 
     A number is duplicated when some group of ``keys`` among rows paid after
     ``after`` has more than one row. The group counts are a partial aggregate
-    and the membership test a left semi join, so no group is gathered whole.
+    and the membership test a left semi join, so no group is gathered whole; the
+    numbers get an exchange of their own, so that the join can split a hot one.
     Sorted by number, supplier, payment date, requester and total (NULLs last),
     remaining columns breaking ties.
     """
     recent = ledger if after is None else ledger.where(F.col("payment_date") > F.lit(after))
     dup_numbers = (
-        recent.groupBy(*keys).count().where(F.col("count") > 1).select("invoice__").distinct()
+        recent.groupBy(*keys).count().where(F.col("count") > 1).select("invoice__").distinct().hint("rebalance")
     )
     rows = ledger.join(dup_numbers, "invoice__", "left_semi")
     first = ["invoice__", "supplier", "payment_date", "requester", "total_usd"]

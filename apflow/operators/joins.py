@@ -89,12 +89,90 @@ def join_dimension(
     return fact.join(F.broadcast(dim_m) if small else dim_m, cond, how)
 
 
-def not_in(col: Column, values: DataFrame) -> Column:
-    """SQL ``col NOT IN (subquery)`` with its NULL semantics.
+def where_not_in(df: DataFrame, column: str, values: DataFrame) -> DataFrame:
+    """The rows of ``df`` that pass SQL's ``column NOT IN (subquery)``, for a one-column ``values`` of any size.
+
+    NULL semantics as in SQL: an empty subquery keeps every row, a NULL in it keeps none, and
+    otherwise a NULL ``column`` is dropped. Spark plans the SQL form as a broadcast of the subquery; here the two
+    facts that NULLs depend on are scalar subqueries (one-row aggregates), and the rest is a plain anti join, which
+    is broadcast where the values are small and otherwise a shuffle join that can split a hot ``column`` (the
+    distinct values get an exchange of their own).
+    """
+    v = values.select(F.col(values.columns[0]).alias("_excluded"))
+    facts = v.agg(F.struct(F.count(F.lit(1)).alias("n"), F.count("_excluded").alias("given"))).scalar()
+    empty, no_null = facts["n"] == 0, facts["n"] == facts["given"]
+    kept = df.where(empty | (no_null & F.col(column).isNotNull()))
+    keys = v.where(F.col("_excluded").isNotNull()).distinct().hint("rebalance")
+    return kept.join(keys, F.col(column) == F.col("_excluded"), "left_anti")
+
+
+# A bitmap of 2^26 bits is broadcast as one (word, bits) row per 64 of them: 2^20 rows of two longs at most,
+# about 40 MB as a hash relation. With half as many keys as bits two rows in five still go.
+BITMAP_WORDS = 1 << 20
+BITMAP_KEYS = BITMAP_WORDS * 32
+
+
+def reduce_by_keys(
+    fact: DataFrame, column: str, keys: DataFrame, max_rows: int = DEFAULT_BROADCAST_ROWS, max_bitmap_keys: int = BITMAP_KEYS
+) -> DataFrame:
+    """``fact`` without rows whose ``column`` is certainly not among ``keys`` (written, one column), before any shuffle.
+
+    For a fact that is aggregated or shuffled and then joined to the rows of ``keys``: rows that the join
+    would drop go in the map tasks. At most ``max_rows`` keys are broadcast as they are (exact). More
+    keys, up to ``max_bitmap_keys``, are hashed into a bitmap of fixed size, which lets some others through. Beyond
+    that nothing is dropped. The caller's join decides in every case.
+    """
+    k = keys.select(F.col(keys.columns[0]).alias("_kept"))
+    n = k.count()
+    if n <= max_rows:
+        return fact.join(F.broadcast(k.distinct()), F.col(column) == F.col("_kept"), "left_semi")
+    if n > max_bitmap_keys:
+        return fact
+
+    def bit(c: Column) -> Column:
+        return F.pmod(F.xxhash64(c), F.lit(BITMAP_WORDS * 64))
+
+    def word(c: Column) -> Column:
+        return F.shiftright(bit(c), 6)
+
+    def mask(c: Column) -> Column:
+        return F.call_function("shiftleft", F.lit(1).cast("bigint"), F.pmod(bit(c), F.lit(64)).cast("int"))
+
+    key_type = fact.schema[column].dataType
+    own = k.select(F.col("_kept").cast(key_type).alias("_kept")).where(F.col("_kept").isNotNull())
+    bitmap = own.groupBy(word(F.col("_kept")).alias("_word")).agg(F.bit_or(mask(F.col("_kept"))).alias("_bits"))
+    joined = fact.join(F.broadcast(bitmap), word(F.col(column)) == F.col("_word"))
+    return joined.where(F.col("_bits").bitwiseAND(mask(F.col(column))) != 0).select(*[F.col(f"`{c}`") for c in fact.columns])
+
+
+ROWS_PER_SALT = 1_000_000
+
+
+def left_join_many(
+    one: DataFrame, many: DataFrame, one_key: str, many_key: str, rows_per_salt: int = ROWS_PER_SALT,
+    max_rows: int = DEFAULT_BROADCAST_ROWS,
+) -> DataFrame:
+    """``one`` left-joined to ``many``, where a few keys of ``many`` may hold most of its rows.
+
+    AQE splits only the left side of a left join, so a hot key of the right side would stay in one task. Here the
+    rows of ``many`` are counted per key; a key with more than ``rows_per_salt`` of them is hot and gets that
+    many salts. Its ``many`` rows are dealt over the salts by a hash of the whole row, and its ``one`` rows are repeated
+    once per salt; all other rows have salt 0. A repeated row that meets nothing in its salt goes: the key
+    is in ``many``, so another copy of the row has its matches. The hot keys are at most ``many`` / ``rows_per_salt``
+    and are broadcast after a size check.
 
-    A NULL ``col`` is dropped when the subquery returns rows and kept when it
-    is empty; a NULL inside the subquery drops everything. Planned as a
-    NULL-aware anti join, which Spark executes as a broadcast hash join, so
-    ``values`` must be bounded (callers pass a LIMIT-ed result).
+    ``many`` is read twice (write it first if it is costly); rows of it that are alike in every column share a salt.
+    Column names must differ between the two sides.
     """
-    return ~col.isin(values)
+    counts = many.where(F.col(many_key).isNotNull()).groupBy(F.col(many_key).alias("_hot")).agg(F.count(F.lit(1)).alias("_n"))
+    hot, small = sized_dimension(
+        counts.where(F.col("_n") > rows_per_salt).select("_hot", F.ceil(F.col("_n") / rows_per_salt).cast("int").alias("_salts")), max_rows)
+    hot = F.broadcast(hot) if small else hot
+    row = F.xxhash64(*[F.col(f"`{c}`") for c in many.columns])
+    dealt = many.join(hot, F.col(many_key) == F.col("_hot"), "left").withColumn(
+        "_many_salt", F.coalesce(F.pmod(row, F.col("_salts")), F.lit(0)).cast("int")).drop("_hot", "_salts")
+    each = F.sequence(F.lit(0), F.coalesce(F.col("_salts"), F.lit(1)) - 1)
+    repeated = one.join(hot, F.col(one_key) == F.col("_hot"), "left").withColumn("_one_salt", F.explode(each))
+    joined = repeated.join(dealt, (F.col(one_key) == F.col(many_key)) & (F.col("_one_salt") == F.col("_many_salt")), "left")
+    met = F.col("_salts").isNull() | F.col("_many_salt").isNotNull()
+    return joined.where(met).drop("_hot", "_salts", "_one_salt", "_many_salt")

@@ -28,7 +28,7 @@ from pyspark.sql import functions as F
 from apflow.functions.dates import in_window, month_start
 from apflow.functions.measures import to_usd as usd_expr
 from apflow.operators.invoices import dedupe_invoices, keep_one_ledger, valid_invoices
-from apflow.operators.joins import join_dimension, materialize
+from apflow.operators.joins import join_dimension, left_join_many, materialize
 from apflow.operators.rates import monthly_rates, monthly_rates_by_rate_date
 from apflow.sources.fixtures import APTables
 
@@ -185,24 +185,28 @@ def missing_invoices(t: APTables, start: str, end: str) -> DataFrame:
 def side_by_side(
     t: APTables, start: str, end: str, rates_since: str | None, ledger_after: str | None, base: int = 1
 ) -> DataFrame:
-    """Each de-duplicated source invoice next to its ledger rows (if any)."""
+    """Each de-duplicated source invoice next to its ledger rows (if any).
+
+    The lookups are joined while there is one row per invoice; the ledger rows come last, in a join that salts
+    numbers with very many of them. They are written once, as that join reads them twice.
+    """
     rates = monthly_rates(t.exchange_rate, base, rates_since).select(
         F.col("to_currency_id").alias("_ccy"), F.col("rate").alias("_rate"), F.col("rate_month").alias("_rm")
     )
-    sandbox = keep_one_ledger(t.ledger, ledger_after).select(
+    sandbox = materialize(keep_one_ledger(t.ledger, ledger_after).select(
         F.col("invoice__").alias("ledger_invoice_number"),
         F.col("supplier").alias("ledger_vendor_name"),
         F.col("supplier__").alias("ledger_supplier_number"),
         F.col("payment_date").alias("ledger_payment_date"),
         F.col("total_usd").alias("ledger_total_usd"),
-    )
+    ))
     src = dedupe_invoices(valid_invoices(t.invoice_header, start, end, "ledger_compare"))
     cur = t.currency.select(F.col("id").alias("_cur_id"), "code")
     sup = t.supplier_dim.select(F.col("id").alias("_sid"), F.col("name").alias("_sname"), F.col("number").alias("_snum"))
     a = src.join(cur, src.currency_id == cur._cur_id, "left").withColumn("_pm", month_start("payment_date"))
-    j = a.join(sandbox, a.invoice_number == sandbox.ledger_invoice_number, "left")
-    j = j.join(sup, j.supplier_id == sup._sid, "left")
+    j = a.join(sup, a.supplier_id == sup._sid, "left")
     j = join_dimension(j, rates, [("currency_id", "_ccy"), ("_pm", "_rm")], "left")
+    j = left_join_many(j, sandbox, "invoice_number", "ledger_invoice_number")
     return j.select(
         F.col("invoice_number").alias("source_invoice_number"),
         F.col("code").alias("source_currency_code"),
