@@ -346,6 +346,34 @@ def j35(spark, d):
     return profile.unique_values(_lineitem(spark, d), P.PROFILE_COLUMNS)
 
 
+def _edge_values(spark, d):
+    """Line items with NULLs, NaN, an infinity, integers and decimals beyond a double, days and truth values."""
+    li = _t(spark, d).raw("lineitem")
+    k = F.col("l_orderkey")
+    return li.select(
+        F.when(k % 5 != 0, F.col("l_quantity")).alias("quantity_or_null"),
+        F.when(k % 7 == 0, F.lit(float("nan"))).otherwise(F.col("l_tax")).alias("tax_or_nan"),
+        F.when((k == 1) & (F.col("l_linenumber") == 1), F.lit(float("-inf"))).otherwise(F.col("l_discount")).alias("discount_or_infinite"),
+        (F.lit(2**53) + k % 64).alias("beyond_double"),
+        (F.lit("12345678901234567890").cast("decimal(38,2)") + F.col("l_linenumber").cast("decimal(10,2)") / 100).cast("decimal(38,2)").alias("wide_decimal"),
+        (F.col("l_linenumber").cast("decimal(10,2)") - 4).cast("decimal(10,2)").alias("signed_decimal"),
+        F.to_date("l_shipdate").alias("day"), (k % 3 == 0).alias("flag"), F.lit(None).cast("string").alias("nothing"),
+        F.col("l_quantity").cast("float").alias("short_float"), F.col("l_shipdate").alias("moment"))
+
+
+def j34_edges(spark, d):
+    return profile.data_snapshot(_edge_values(spark, d))
+
+
+def j35_in_order(spark, d):
+    return profile.ordered_unique_values(_lineitem(spark, d), P.PROFILE_COLUMNS)
+
+
+def j35_edges_in_order(spark, d):
+    frame = _edge_values(spark, d)
+    return profile.ordered_unique_values(frame, frame.columns)
+
+
 def j36(spark, d):
     return profile.top_n_values(_lineitem(spark, d), P.PROFILE_COLUMNS, P.TOP_VALUES)
 
@@ -430,7 +458,10 @@ _QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "j33_isolated_sweep_report": j33_report,
     "j31_match_labels": j31_match_labels,
     "j34_data_snapshot": j34,
+    "j34_snapshot_edge_values": j34_edges,
     "j35_unique_values": j35,
+    "j35_unique_values_in_order": j35_in_order,
+    "j35_edge_values_in_order": j35_edges_in_order,
     "j36_top_n_values": j36,
     "j36_top_value_counts": j36_counts,
     "j36_excluded_columns": j36_excluded,
@@ -518,7 +549,10 @@ def oracle_sql() -> dict[str, str]:
             (f.table, f.column, f.display_name, status, reason) for f, status, reason in FAILING_DIMENSIONS]),
         "j31_match_labels": O.match_labels(),
         "j34_data_snapshot": O.j34(),
+        "j34_snapshot_edge_values": O.j34_edges(),
         "j35_unique_values": O.j35(),
+        "j35_unique_values_in_order": O.j35_in_order(),
+        "j35_edge_values_in_order": O.j35_edges_in_order(),
         "j36_top_n_values": O.j36(),
         "j36_top_value_counts": O.j36_counts(),
         "j36_excluded_columns": O.j36_excluded(),

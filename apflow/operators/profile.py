@@ -1,10 +1,15 @@
 """Column profiling: snapshot, unique values, top-N values.
 
-Everything starts from one *value-frequency table*: the profiled columns are
-unpivoted to ``(column_name, value)`` and counted with one ``groupBy`` (a
-partial aggregate, so a value that fills a third of a column becomes one row
-per map task). Distinct counts, top-N lists and exact quantiles are computed
-from that table; no column's values are ever gathered into a single task.
+Value lists start from one *value-frequency table*: the profiled columns are
+unpivoted to one row per cell (an ``Expand``, inside code generation) and
+counted with a ``groupBy`` per kind (whole numbers, doubles, texts), a partial
+aggregate, so a value that fills a third of a column becomes one row per map
+task. A value becomes text only after the count. Distinct counts and top-N lists
+are read off that table; its exchanges are shared within a query.
+
+Exact quantiles are selected without sorting or writing any values: each pass
+counts the values per range of a histogram between known bounds, and the ranges
+that hold a wanted position become the next pass's bounds (:func:`exact_quantiles`).
 
 Numbers are formatted the way Python formats them (``f"{x:.2f}"``,
 ``round(x, 2)``): rounding of the exact binary value, ties to even. Spark's
@@ -15,15 +20,20 @@ Numbers are formatted the way Python formats them (``f"{x:.2f}"``,
 from __future__ import annotations
 
 import logging
+import math
 from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from apflow.operators.joins import materialize
+
 log = logging.getLogger(__name__)
 
 SNAPSHOT_QUANTILES = (0.5, 0.9, 0.95)
+# rows of histogram that one pass of the selection may send to the driver
+HISTOGRAM_ROWS = 1 << 15
 
 
 def py_fixed(x: Column, decimals: int) -> Column:
@@ -47,9 +57,10 @@ def _is_datetime(dt: T.DataType) -> bool:
 
 def _present(c: str, dt: T.DataType) -> Column:
     """The column with NaN, which is no value, as NULL."""
+    x = F.col(f"`{c}`")
     if isinstance(dt, (T.DoubleType, T.FloatType)):
-        return F.when(~F.isnan(F.col(c)), F.col(c))
-    return F.col(c)
+        return F.when(~F.isnan(x), x)
+    return x
 
 
 def present_columns(df: DataFrame, cols: Sequence[str]) -> list[str]:
@@ -64,21 +75,65 @@ def present_columns(df: DataFrame, cols: Sequence[str]) -> list[str]:
     return out
 
 
+def _kind(dt: T.DataType) -> str:
+    """Which kind of value a column is counted as: i(nteger), d(ouble) or s (text)."""
+    if isinstance(dt, (T.IntegralType, T.DateType)):
+        return "i"
+    return "d" if isinstance(dt, (T.DoubleType, T.FloatType)) else "s"
+
+
+def _typed_frequencies(df: DataFrame, cols: Sequence[str], keep_nulls: bool = False) -> DataFrame:
+    """-> c (the column's place in ``cols``, as text), i, d, s, count: one row per distinct value of each column.
+
+    The value is in the slot of its column's kind. The columns of a kind are unpivoted and counted together, so
+    that the counting keys are narrow: three reads at most, each of its own columns, whatever their number.
+    """
+    types = {f.name: f.dataType for f in df.schema.fields}
+    out = None
+    for kind, sql_type in (("i", "bigint"), ("d", "double"), ("s", "string")):
+        own = [(n, c) for n, c in enumerate(cols) if _kind(types[c]) == kind]
+        if not own:
+            continue
+        values = []
+        for n, c in own:
+            value = F.unix_date(F.col(f"`{c}`")) if isinstance(types[c], T.DateType) else _present(c, types[c])
+            values.append(value.cast(sql_type).alias(f"{n}"))
+        cells = df.select(*values).unpivot([], [f"`{n}`" for n, _ in own], "c", kind)
+        cells = cells if keep_nulls else cells.where(F.col(kind).isNotNull())
+        counted = cells.groupBy("c", kind).agg(F.count(F.lit(1)).alias("count")).select("c", *[
+            F.col(k) if k == kind else F.lit(None).cast(t).alias(k) for k, t in (("i", "bigint"), ("d", "double"), ("s", "string"))
+        ], "count")
+        out = counted if out is None else out.unionByName(counted)
+    return out
+
+
+def _name(cols: Sequence[str]) -> Column:
+    return F.element_at(F.array(*[F.lit(c) for c in cols]), F.col("c").cast("int") + 1)
+
+
+def _text(df: DataFrame, cols: Sequence[str]) -> Column:
+    """A counted value as the text that a cast of its column gives."""
+    types = {f.name: f.dataType for f in df.schema.fields}
+    dates = [str(n) for n, c in enumerate(cols) if isinstance(types[c], T.DateType)]
+    floats = [str(n) for n, c in enumerate(cols) if isinstance(types[c], T.FloatType)]
+    out = F.coalesce(F.col("s"), F.col("i").cast("string"), F.col("d").cast("string"))
+    if floats:
+        out = F.when(F.col("c").isin(floats), F.col("d").cast("float").cast("string")).otherwise(out)
+    if dates:
+        out = F.when(F.col("c").isin(dates), F.date_from_unix_date(F.col("i").cast("int")).cast("string")).otherwise(out)
+    return out
+
+
 def value_frequencies(df: DataFrame, cols: Sequence[str], with_nulls: bool = False) -> DataFrame:
     """-> column_name, value (text), count; one row per distinct value.
 
-    Values are cast to text before the unpivot because one column cannot mix
-    types. ``with_nulls`` keeps one NULL-value row per column, so row and
+    ``with_nulls`` keeps one NULL-value row per column that has any, so row and
     non-NULL counts can be read off the same table.
     """
-    types = {f.name: f.dataType for f in df.schema.fields}
-    pairs = F.array(*[
-        F.struct(F.lit(c).alias("column_name"), _present(c, types[c]).cast("string").alias("value")) for c in cols
-    ])
-    long = df.select(F.explode(pairs).alias("_p")).select("_p.column_name", "_p.value")
-    if not with_nulls:
-        long = long.where(F.col("value").isNotNull())
-    return long.groupBy("column_name", "value").agg(F.count(F.lit(1)).alias("count"))
+    if not cols:
+        return df.sparkSession.createDataFrame([], "column_name string, value string, count bigint")
+    freq = _typed_frequencies(df, cols, with_nulls)
+    return freq.select(_name(cols).alias("column_name"), _text(df, cols).alias("value"), "count")
 
 
 def _non_null_counts(df: DataFrame, cols: Sequence[str]) -> DataFrame:
@@ -154,69 +209,177 @@ def unique_values(df: DataFrame, cols: Sequence[str]) -> DataFrame:
     return freq.join(F.broadcast(counts), "column_name").select("column_name", "unique_count", "value", number.alias("numeric_value"))
 
 
-def exact_quantiles(df: DataFrame, cols: Sequence[str], probs: Sequence[float]) -> DataFrame:
-    """Exact quantiles with linear interpolation (pandas ``describe``).
+def _order_text(df: DataFrame, cols: Sequence[str]) -> Column:
+    """Text that sorts as the values of the text slot do: decimals by sign and padded digits, others as they are."""
+    types = {f.name: f.dataType for f in df.schema.fields}
+    decimals = [str(n) for n, c in enumerate(cols) if isinstance(types[c], T.DecimalType)]
+    if not decimals:
+        return F.col("s")
+    # the texts of a decimal column all have its scale, so their points are in line; of a negative number the
+    # digits count backwards
+    above = F.concat(F.lit("1"), F.lpad("s", 42, "0"))
+    below = F.concat(F.lit("0"), F.translate(F.lpad(F.substring("s", 2, 42), 42, "0"), "0123456789", "9876543210"))
+    return F.when(F.col("c").isin(decimals), F.when(F.col("s").startswith("-"), below).otherwise(above)).otherwise(F.col("s"))
+
 
-    -> column_name, prob, value (DOUBLE). See :func:`quantiles_from_frequencies`.
+def ordered_unique_values(df: DataFrame, cols: Sequence[str]) -> DataFrame:
+    """J35 with the place of each distinct non-NULL value in its column's own order.
+
+    -> column_name, position (from 1), unique_count, value. Numbers sort by value (wide integers and decimals
+    exactly), dates, timestamps and booleans in their order, other values by their text's code points.
+
+    The distinct values of all columns are range-partitioned together and written with the number of their
+    range, so that every later step sees the same ranges; a value's position is its rank in its range plus the
+    sizes of its column's ranges before, a table of ranges x columns. No column is gathered in one task.
     """
-    pairs = F.array(*[
-        F.struct(F.lit(c).alias("column_name"), F.col(c).cast("double").alias("v")) for c in cols
-    ])
-    long = df.select(F.explode(pairs).alias("_p")).select("_p.column_name", "_p.v").where(F.col("v").isNotNull())
-    freq = long.groupBy("column_name", "v").agg(F.count(F.lit(1)).alias("c"))
-    return quantiles_from_frequencies(freq, probs)
+    cols = present_columns(df, cols)
+    spark = df.sparkSession
+    if not cols:
+        return spark.createDataFrame([], "column_name string, position bigint, unique_count bigint, value string")
+    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    freq = _typed_frequencies(df, cols).select("c", "i", "d", _order_text(df, cols).alias("k"), _text(df, cols).alias("value"))
+    order = ["i", "d", "k"]
+    ranged = materialize(freq.repartitionByRange(parts, "c", *order).withColumn("range", F.spark_partition_id()))
+    within = Window.partitionBy("range", "c").orderBy(*order)
+    sizes = ranged.groupBy("range", "c").agg(F.count(F.lit(1)).alias("size"))
+    before = Window.partitionBy("c").orderBy("range").rowsBetween(Window.unboundedPreceding, -1)
+    offsets = sizes.select(
+        "range", "c", F.coalesce(F.sum("size").over(before), F.lit(0)).alias("offset"),
+        F.sum("size").over(Window.partitionBy("c")).alias("unique_count"))
+    placed = ranged.withColumn("nth", F.row_number().over(within)).join(offsets, ["range", "c"])
+    return placed.select(_name(cols).alias("column_name"), (F.col("offset") + F.col("nth")).alias("position"), "unique_count", "value")
+
+
+def _number(c: str, dt: T.DataType) -> Column:
+    return _present(c, dt).cast("double")
+
+
+def _bounds(df: DataFrame, cols: Sequence[str], extra: Sequence[Column] = ()) -> tuple:
+    """One row, from one global aggregate: ``extra``, then of each column's numbers the count, the infinities, the finite bounds and the sum."""
+    types = {f.name: f.dataType for f in df.schema.fields}
+    aggs = []
+    for c in cols:
+        x = _number(c, types[c])
+        finite = F.when(F.abs(x) < float("inf"), x)
+        total = F.sum(x)
+        if isinstance(types[c], (T.IntegralType, T.DecimalType)):  # exact, unless it is beyond 38 digits
+            wide = T.DecimalType(38, types[c].scale if isinstance(types[c], T.DecimalType) else 0)
+            total = F.coalesce(F.try_sum(F.col(f"`{c}`").cast(wide)).cast("double"), total)
+        aggs += [F.count(x), F.count_if(x == float("-inf")), F.count_if(x == float("inf")), F.min(finite), F.max(finite), total]
+    exprs = [*extra, *aggs]
+    return tuple(df.agg(*[e.alias(f"_a{n}") for n, e in enumerate(exprs)]).first()) if exprs else ()
 
 
-def quantiles_from_frequencies(freq: DataFrame, probs: Sequence[float]) -> DataFrame:
-    """Exact quantiles of each column from its (column_name, v, c) frequency table.
+def _double(x: float) -> str:
+    return f"double('{x!r}')"
 
-    For ``n`` non-NULL values the quantile ``p`` sits at 0-based position
-    ``h = (n - 1) p`` between the values at ``floor(h)`` and ``ceil(h)``.
-    Positions are found without gathering a column into one task: distinct
-    values are range-partitioned, each partition computes running counts
-    locally, per-partition totals (a table of partitions x columns) give each
-    partition its offset, and the few target positions are matched by a
-    broadcast join on the column name.
+
+def _part(x: str, lo: float, hi: float, parts: int, by_size: bool) -> str:
+    """SQL: in which of ``parts`` parts of the range from ``lo`` to ``hi`` a value is; parts are in the order of the values.
+
+    Equally wide parts, or (``by_size``) parts of equal ratio, for values of very different orders of magnitude.
     """
-    # as many range partitions as the session sizes its shuffles for
-    parts = int(freq.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    ranged = freq.repartitionByRange(parts, "column_name", "v").withColumn(
-        "pid", F.spark_partition_id()
-    )
-    w_local = Window.partitionBy("pid", "column_name").orderBy("v").rowsBetween(Window.unboundedPreceding, 0)
-    local = ranged.withColumn("local_cum", F.sum("c").over(w_local))
-    part_tot = local.groupBy("pid", "column_name").agg(F.sum("c").alias("pt"))
-    w_off = Window.partitionBy("column_name").orderBy("pid").rowsBetween(Window.unboundedPreceding, -1)
-    offsets = part_tot.withColumn("off", F.coalesce(F.sum("pt").over(w_off), F.lit(0))).select(
-        "pid", "column_name", "off"
-    )
-    n = part_tot.groupBy("column_name").agg(F.sum("pt").alias("n"))
-    # partitioned by the same keys as the running counts, so the larger side is not shuffled again
-    placed = local.join(offsets, ["pid", "column_name"]).select(
-        "column_name", "v", (F.col("off") + F.col("local_cum") - F.col("c")).alias("before"), "c"
-    )
-    targets = n.select("column_name", "n", F.explode(F.array(*[F.lit(float(p)) for p in probs])).alias("prob"))
-    h = (F.col("n") - 1).cast("double") * F.col("prob")
-    targets = targets.select(
-        "column_name", "prob", h.alias("h"),
-        F.floor(h).cast("bigint").alias("lo"), F.ceil(h).cast("bigint").alias("hi"),
-    )
-    # a few positions per column: broadcast, matched by column name plus a range test
-    pos = targets.select(
-        F.col("column_name").alias("_t_col"), F.col("prob").alias("_t_prob"), "h",
-        F.explode(F.array("lo", "hi")).alias("_t_pos"),
-    ).distinct()
-    hit = placed.join(
-        F.broadcast(pos),
-        (F.col("column_name") == F.col("_t_col"))
-        & (F.col("_t_pos") >= F.col("before"))
-        & (F.col("_t_pos") < F.col("before") + F.col("c")),
-    )
-    # the one or two values around each position
-    near = hit.groupBy(F.col("_t_col").alias("column_name"), F.col("_t_prob").alias("prob")).agg(
-        F.min("v").alias("v_lo"), F.max("v").alias("v_hi"), F.first("h").alias("h"))
-    value = F.col("v_lo") + (F.col("h") - F.floor("h")) * (F.col("v_hi") - F.col("v_lo"))
-    return near.select("column_name", "prob", value.alias("value"))
+    largest = max(abs(lo), abs(hi))
+    if by_size and lo > 0 and hi / lo > 1000:
+        f = "ln({})".format
+    elif by_size and hi < 0 and lo / hi > 1000:
+        f = "-ln(-{})".format
+    elif by_size and lo <= 0 <= hi and largest > 1e-290:
+        scale = _double(min(2.0**60 / largest, 1e300))
+        f = lambda v: f"signum({v}) * ln(1 + abs({v}) * {scale})"
+    else:
+        half = _double(0.5 if math.isinf(hi - lo) else 1.0)  # the width of a range may be beyond a double
+        f = lambda v: f"{v} * {half}"
+    a, b = f(_double(lo)), f(_double(hi))
+    return f"least({parts - 1}L, cast(floor((({f(x)}) - ({a})) / (({b}) - ({a})) * {parts}) as bigint))"
+
+
+def _selected(df: DataFrame, cols: Sequence[str], bounds: dict[str, tuple], wanted: dict[str, set[int]]) -> dict[tuple[str, int], float]:
+    """The values at 0-based positions of columns in order; ``bounds``: (values below, least, largest) of the finite ones.
+
+    A pass counts, for all ranges of all columns at once, the values in each of equally wide parts of the range, with
+    the least and largest value there. Parts are in order, so running counts tell the part that holds a position. It
+    is found if all of the part's values are equal; otherwise the part's own bounds are a range of the next pass. Any
+    two values fall into different parts of the range between them, so a range shrinks in every pass. Where a part kept a
+    large share of its range's values, the next pass divides it by orders of magnitude.
+    """
+    types = {f.name: f.dataType for f in df.schema.fields}
+    ranges = [(c, *bounds[c], sorted(p), False) for c, p in wanted.items() if p]
+    found: dict[tuple[str, int], float] = {}
+    while ranges:
+        for c, _, lo, hi, positions, _ in ranges:
+            if lo == hi:
+                found |= {(c, p): lo for p in positions}
+        ranges = [r for r in ranges if r[2] != r[3]]
+        if not ranges:
+            break
+        parts = max(16, HISTOGRAM_ROWS // len(ranges))
+        used = list(dict.fromkeys(r[0] for r in ranges))
+        branches, values = [], []
+        for n, c in enumerate(used):
+            cases = []
+            for at, (own, _, lo, hi, _, by_size) in enumerate(ranges):
+                if own == c:
+                    part = _part(f"_x{n}", lo, hi, parts, by_size)
+                    cases.append(f"WHEN _x{n} BETWEEN {_double(lo)} AND {_double(hi)} THEN {at * parts}L + {part}")
+            values += [_number(c, types[c]).alias(f"_x{n}")]
+            branches.append((f"CASE {' '.join(cases)} END AS _p{n}", f"(_p{n}, _q{n}) AS `{n}`", f"if(_p{n} IS NULL, NULL, _x{n}) AS _q{n}"))
+        source = df.select(*values).selectExpr("*", *[b[0] for b in branches]).selectExpr("*", *[b[2] for b in branches])
+        cells = df.sparkSession.sql(
+            f"SELECT p, x FROM {{numbers}} UNPIVOT INCLUDE NULLS ((p, x) FOR c IN ({', '.join(b[1] for b in branches)})) WHERE p IS NOT NULL",
+            numbers=source)
+        counted = cells.groupBy("p").agg(F.count(F.lit(1)).alias("n"), F.min("x").alias("lo"), F.max("x").alias("hi")).collect()
+        by_range: dict[int, list] = {}
+        for r in sorted(counted, key=lambda r: r["p"]):
+            by_range.setdefault(r["p"] // parts, []).append(r)
+        narrowed = []
+        for at, (c, below, _, _, positions, _) in enumerate(ranges):
+            left, total = list(positions), sum(r["n"] for r in by_range[at])
+            for r in by_range[at]:
+                own = [p for p in left if p < below + r["n"]]
+                if own:
+                    narrowed.append((c, below, r["lo"], r["hi"], own, 16 * r["n"] > total))
+                    left = left[len(own) :]
+                below += r["n"]
+        ranges = narrowed
+    return found
+
+
+def _quantiles(df: DataFrame, stats: dict[str, tuple], probs: Sequence[float]) -> dict[str, list[float]]:
+    """{column: its quantiles} for columns with values, from their :func:`_bounds`."""
+    places = {c: [(n - 1) * p for p in probs] for c, (n, *_) in stats.items() if n}
+    wanted, bounds = {}, {}
+    for c, hs in places.items():
+        n, low, high, lo, hi, _ = stats[c]
+        bounds[c] = (low, lo, hi)
+        wanted[c] = {i for h in hs for i in (math.floor(h), math.ceil(h)) if low <= i < n - high}
+    found = _selected(df, [*wanted], bounds, wanted)
+
+    def at(c: str, i: int) -> float:
+        n, low, high, *_ = stats[c]
+        return -math.inf if i < low else math.inf if i >= n - high else found[c, i]
+
+    def between(c: str, h: float) -> float:
+        a, b = at(c, math.floor(h)), at(c, math.ceil(h))
+        return a if a == b else a + (h - math.floor(h)) * (b - a)
+
+    return {c: [between(c, h) for h in hs] for c, hs in places.items()}
+
+
+def exact_quantiles(df: DataFrame, cols: Sequence[str], probs: Sequence[float]) -> DataFrame:
+    """Exact quantiles with linear interpolation (pandas ``describe``).
+
+    -> column_name, prob, value (DOUBLE); columns without a value have no rows. For ``n`` non-NULL values the
+    quantile ``p`` sits at 0-based position ``h = (n - 1) p`` between the values at ``floor(h)`` and ``ceil(h)``.
+
+    One global aggregate gives counts and bounds; then a few passes narrow histograms around all positions of all
+    columns together (:func:`_selected`). A pass shuffles at most ``HISTOGRAM_ROWS`` rows per map task, whatever
+    the input; no values are sorted, written or gathered. Prices or quantities take two or three passes.
+    """
+    row = _bounds(df, cols)
+    stats = {c: row[6 * n : 6 * n + 6] for n, c in enumerate(cols)}
+    rows = [(c, float(p), v) for c, vs in _quantiles(df, stats, probs).items() for p, v in zip(probs, vs, strict=True)]
+    return df.sparkSession.createDataFrame(rows, "column_name string, prob double, value double")
 
 
 def data_snapshot(df: DataFrame, top_k: int = 3) -> DataFrame:
@@ -227,103 +390,65 @@ def data_snapshot(df: DataFrame, top_k: int = 3) -> DataFrame:
     ``details``: numeric columns (booleans excluded) give min / median / mean /
     max / P90 / P95 with two decimals; timestamps give min and max; every
     other column its ``top_k`` values with their share of non-NULL rows.
-    ``dtype`` is Spark's type name.
+    ``dtype`` is Spark's type name. NaN is no value.
 
-    One scan builds the value-frequency table (NULLs included) and writes it
-    to the checkpoint folder; every statistic is then read off that table, so
-    the input is read and shuffled once however many statistics there are.
+    One global aggregate gives counts, bounds and means, the narrowing histograms the quantiles (one row, and a
+    bounded histogram a pass, come to the driver); the value-frequency table, counted but not written, gives distinct
+    counts and top values.
     """
-    from apflow.operators.joins import materialize
-
-    cols = list(df.columns)
+    spark, cols = df.sparkSession, list(df.columns)
     types = {f.name: f.dataType for f in df.schema.fields}
     numeric = [c for c in cols if _is_numeric(types[c])]
     stamps = [c for c in cols if _is_datetime(types[c])]
     other = [c for c in cols if c not in numeric and c not in stamps]
-
-    # One pass: doubles stay numbers, everything else is counted by its text, which is exact for
-    # wide integers and decimals too (their DOUBLE serves the quantiles). NULL and NaN are one
-    # group per column.
-    pairs = F.array(*[
-        F.struct(
-            F.lit(c).alias("column_name"),
-            (_present(c, types[c]).cast("double") if c in numeric else F.lit(None).cast("double")).alias("num"),
-            (F.lit(None) if isinstance(types[c], (T.DoubleType, T.FloatType)) else F.col(c)).cast("string").alias("value"),
-        )
-        for c in cols
-    ])
-    typed = df.select(F.explode(pairs).alias("_p")).select("_p.column_name", "_p.num", "_p.value")
-    freq = materialize(typed.groupBy("column_name", "num", "value").agg(F.count(F.lit(1)).alias("count")))
-    is_value = F.col("num").isNotNull() | F.col("value").isNotNull()
-    present = freq.where(F.col("value").isNotNull())
-    counts = freq.groupBy("column_name").agg(
-        F.sum("count").alias("row_count"),
-        F.sum(F.when(is_value, F.col("count")).otherwise(F.lit(0))).alias("non_null_ct"),
-        F.count_if(is_value).alias("distinct_ct"),
-    )
-    dtype_of = F.create_map(*[x for c in cols for x in (F.lit(c), F.lit(types[c].simpleString()))])
-
-    def fx(c: str) -> Column:
-        return F.coalesce(py_fixed(F.col(c), 2), F.lit("nan"))
-
-    parts = []
-    if numeric:
-        num = freq.where(F.col("num").isNotNull()).select(
-            "column_name", F.col("num").alias("v"), F.col("count").alias("c")
-        )
-        mm = num.groupBy("column_name").agg(
-            F.min("v").alias("mn"), (F.sum(F.col("v") * F.col("c")) / F.sum("c")).alias("mean"), F.max("v").alias("mx")
-        )
-        q = quantiles_from_frequencies(num, SNAPSHOT_QUANTILES)
-        qw = q.groupBy("column_name").agg(*[
-            F.first(F.when(F.col("prob") == p, F.col("value")), ignorenulls=True).alias(f"q{j}")
-            for j, p in enumerate(SNAPSHOT_QUANTILES)
-        ])
-        text = F.concat(
-            F.lit("Min: "), fx("mn"), F.lit(", Med: "), fx("q0"), F.lit(", Mean: "), fx("mean"),
-            F.lit(", Max: "), fx("mx"), F.lit(", P90: "), fx("q1"), F.lit(", P95: "), fx("q2"),
-        )
-        parts.append(mm.join(qw, "column_name", "left").select("column_name", text.alias("details")))
-    if stamps:
-        # ISO text sorts chronologically
-        t = present.where(F.col("column_name").isin(stamps)).groupBy("column_name").agg(
-            F.min("value").alias("mn"), F.max("value").alias("mx")
-        )
-        parts.append(t.select("column_name", F.concat(F.lit("Min: "), "mn", F.lit(", Max: "), "mx").alias("details")))
+    schema = ("attribute string, dtype string, row_count bigint, non_null_ct bigint, null_ct bigint, distinct_ct bigint, details string")
+    if not cols:
+        return spark.createDataFrame([], schema)
+    extra = [F.count(F.lit(1)), *[F.count(F.col(f"`{c}`")) for c in (*stamps, *other)],
+             *[f(F.col(f"`{c}`")).cast("string") for c in stamps for f in (F.min, F.max)]]
+    row = _bounds(df, numeric, extra)
+    total, given = row[0], dict(zip((*stamps, *other), row[1:], strict=False))
+    span = {c: row[1 + len(given) + 2 * n : 3 + len(given) + 2 * n] for n, c in enumerate(stamps)}
+    stats = {c: row[len(extra) + 6 * n : len(extra) + 6 * n + 6] for n, c in enumerate(numeric)}
+    given |= {c: x[0] for c, x in stats.items()}
+    quantiles = _quantiles(df, stats, SNAPSHOT_QUANTILES)
+
+    def details(c: str) -> str | None:
+        if c in span:
+            lo, hi = (x if x is not None else "NaT" for x in span[c])
+            return f"Min: {lo}, Max: {hi}"
+        if c not in stats:
+            return None
+        n, low, high, lo, hi, sum_ = stats[c]
+        nan = float("nan")
+        mn, mx = (-math.inf if low else lo if lo is not None else math.inf), (math.inf if high else hi if hi is not None else -math.inf)
+        q = quantiles.get(c, [nan] * 3)
+        named = zip(("Min", "Med", "Mean", "Max", "P90", "P95"),
+                    (mn, q[0], sum_ / n, mx, q[1], q[2]) if n else [nan] * 6, strict=True)
+        return ", ".join(f"{k}: {v:.2f}" for k, v in named)
+
+    told = spark.createDataFrame(
+        [(c, types[c].simpleString(), total, given[c], total - given[c], str(n), details(c)) for n, c in enumerate(cols)],
+        "attribute string, dtype string, row_count bigint, non_null_ct bigint, null_ct bigint, c string, details string")
+    freq = _typed_frequencies(df, cols)
+    distinct = freq.groupBy("c").agg(F.count(F.lit(1)).alias("distinct_ct"))
+    out = told.join(F.broadcast(distinct), "c", "left")  # a row a column
     if other:
-        w = Window.partitionBy("column_name").orderBy(F.col("count").desc(), F.col("value").asc())
-        top = present.where(F.col("column_name").isin(other)).withColumn("_r", F.row_number().over(w))
-        top = top.where(F.col("_r") <= top_k).join(counts.select("column_name", "non_null_ct"), "column_name")
+        order = Window.partitionBy("c").orderBy(F.col("count").desc(), F.col("value").asc())
+        text = freq.where(F.col("c").isin([str(cols.index(c)) for c in other])).select("c", "count", _text(df, cols).alias("value"))
+        top = text.withColumn("_r", F.row_number().over(order)).where(F.col("_r") <= top_k)
+        top = top.join(F.broadcast(told.select("c", "non_null_ct")), "c")
         share = F.col("count").cast("double") / F.col("non_null_ct") * F.lit(100.0)
         item = F.concat(F.col("value"), F.lit(" ("), py_fixed(share, 1), F.lit("%)"))
-        listed = top.groupBy("column_name").agg(
-            F.array_join(
-                F.transform(F.array_sort(F.collect_list(F.struct(F.col("_r"), item.alias("s")))), lambda x: x["s"]),
-                ", ",
-            ).alias("_list")
-        )
-        parts.append(listed.select("column_name", F.concat(F.lit(f"Top {top_k}: "), "_list").alias("details")))
-    details = parts[0]
-    for p in parts[1:]:
-        details = details.unionByName(p)
-    # every column has a row, also of an empty frame
-    seed = df.sparkSession.range(1).select(F.explode(F.array(*[F.lit(c) for c in cols])).alias("column_name"))
-    out = seed.join(counts, "column_name", "left").join(details, "column_name", "left").fillna(
-        0, ["row_count", "non_null_ct", "distinct_ct"])
-    empty = (
-        F.when(F.col("column_name").isin(numeric), F.lit("Min: nan, Med: nan, Mean: nan, Max: nan, P90: nan, P95: nan"))
-        .when(F.col("column_name").isin(stamps), F.lit("Min: NaT, Max: NaT"))
-        .otherwise(F.lit(f"Top {top_k}: "))
-    ) if cols else F.lit("")
+        listed = top.groupBy("c").agg(F.array_join(
+            F.transform(F.array_sort(F.collect_list(F.struct(F.col("_r"), item.alias("s")))), lambda x: x["s"]), ", ").alias("_list"))
+        out = out.join(F.broadcast(listed), "c", "left")
+        filled = F.coalesce(F.col("details"), F.concat(F.lit(f"Top {top_k}: "), F.coalesce("_list", F.lit(""))))
+    else:
+        filled = F.col("details")
     return out.select(
-        F.col("column_name").alias("attribute"),
-        F.element_at(dtype_of, F.col("column_name")).alias("dtype"),
-        "row_count",
-        "non_null_ct",
-        (F.col("row_count") - F.col("non_null_ct")).alias("null_ct"),
-        F.col("distinct_ct").cast("bigint").alias("distinct_ct"),
-        F.coalesce(F.col("details"), empty).alias("details"),
-    )
+        "attribute", "dtype", "row_count", "non_null_ct", "null_ct",
+        F.coalesce("distinct_ct", F.lit(0)).cast("bigint").alias("distinct_ct"), filled.alias("details"))
 
 
 def top_n_values_with_excluded(df: DataFrame, cols: Sequence[str], top_n: int = 5) -> tuple[DataFrame, DataFrame]:

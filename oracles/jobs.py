@@ -616,3 +616,57 @@ def j34() -> str:
          FROM lineitem WHERE {c} IS NOT NULL GROUP BY 1) WHERE r <= 3)"""
             rows.append(f"SELECT {common}, {top} AS details FROM lineitem")
     return with_fixtures([], [], "\nUNION ALL\n".join(rows))
+
+
+def _in_order(frame: str, cols: list[tuple[str, str]]) -> str:
+    """Each column's distinct values with their places; ``cols``: name and the text of a value ``v``."""
+    return "\nUNION ALL\n".join(f"""
+SELECT '{c}' AS column_name, row_number() OVER (ORDER BY v) AS position, count(*) OVER () AS unique_count, {text} AS value
+FROM (SELECT DISTINCT {c} AS v FROM {frame} WHERE {c} IS NOT NULL)""" for c, text in cols)
+
+
+def j35_in_order() -> str:
+    return _in_order("lineitem", [(c, "CAST(v AS VARCHAR)") for c in P.PROFILE_COLUMNS])
+
+
+EDGE_VALUES = """edges AS (
+SELECT CASE WHEN l_orderkey % 5 <> 0 THEN l_quantity END AS quantity_or_null,
+       CASE WHEN l_orderkey % 7 <> 0 THEN l_tax END AS tax_or_nan,
+       CASE WHEN l_orderkey = 1 AND l_linenumber = 1 THEN CAST('-inf' AS DOUBLE) ELSE l_discount END AS discount_or_infinite,
+       CAST(9007199254740992 AS BIGINT) + l_orderkey % 64 AS beyond_double,
+       CAST(CAST('12345678901234567890' AS DECIMAL(38,2)) + CAST(l_linenumber AS DECIMAL(10,2)) * CAST('0.01' AS DECIMAL(4,2)) AS DECIMAL(38,2)) AS wide_decimal,
+       CAST(CAST(l_linenumber AS DECIMAL(10,2)) - 4 AS DECIMAL(10,2)) AS signed_decimal,
+       CAST(l_shipdate AS DATE) AS day, l_orderkey % 3 = 0 AS flag, CAST(NULL AS VARCHAR) AS nothing,
+       CAST(l_quantity AS FLOAT) AS short_float, l_shipdate AS moment
+FROM lineitem)"""
+EDGE_TYPES = {
+    "quantity_or_null": "double", "tax_or_nan": "double", "discount_or_infinite": "double", "beyond_double": "bigint",
+    "wide_decimal": "decimal(38,2)", "signed_decimal": "decimal(10,2)", "day": "date", "flag": "boolean", "nothing": "string",
+    "short_float": "float", "moment": "timestamp_ntz",
+}
+
+
+def j35_edges_in_order() -> str:
+    text = {"discount_or_infinite": "CASE WHEN isinf(v) THEN '-Infinity' ELSE CAST(v AS VARCHAR) END"}
+    return f"WITH {EDGE_VALUES}" + _in_order("edges", [(c, text.get(c, "CAST(v AS VARCHAR)")) for c in EDGE_TYPES])
+
+
+def j34_edges() -> str:
+    rows = []
+    for c, dtype in EDGE_TYPES.items():
+        if dtype.startswith("decimal") or dtype in ("double", "float", "bigint"):
+            x = f"CAST(CAST({c} AS VARCHAR) AS DOUBLE)" if dtype.startswith("decimal") else f"CAST({c} AS DOUBLE)"
+            exact = f"CAST(CAST(sum({c}) AS VARCHAR) AS DOUBLE) / count({c})" if dtype.startswith(("decimal", "big")) else f"avg({x})"
+            stats = [("Min", f"min({x})"), ("Med", f"quantile_cont({x}, 0.5)"), ("Mean", exact), ("Max", f"max({x})"),
+                     ("P90", f"quantile_cont({x}, 0.9)"), ("P95", f"quantile_cont({x}, 0.95)")]
+            details = " || ', ' || ".join(f"'{n}: ' || coalesce(printf('%.2f', {e}), 'nan')" for n, e in stats)
+        elif dtype.startswith("timestamp"):
+            details = f"'Min: ' || min({c}) || ', Max: ' || max({c})"
+        else:
+            details = f"""(SELECT 'Top 3: ' || coalesce(string_agg(v || ' (' || printf('%.1f', n * 100.0::DOUBLE / total) || '%)', ', ' ORDER BY n DESC, v), '')
+  FROM (SELECT CAST({c} AS VARCHAR) AS v, count(*) AS n, sum(count(*)) OVER () AS total FROM edges WHERE {c} IS NOT NULL GROUP BY 1
+        QUALIFY row_number() OVER (ORDER BY count(*) DESC, CAST({c} AS VARCHAR)) <= 3))"""
+        rows.append(f"""
+SELECT '{c}' AS attribute, '{dtype}' AS dtype, count(*) AS row_count, count({c}) AS non_null_ct, count(*) - count({c}) AS null_ct,
+       count(DISTINCT {c}) AS distinct_ct, {details} AS details FROM edges""")
+    return f"WITH {EDGE_VALUES}" + "\nUNION ALL".join(rows)
