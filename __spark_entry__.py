@@ -52,7 +52,7 @@ def _t(spark: SparkSession, sf_dir: str) -> APTables:
 
 def _problem(t: APTables) -> DataFrame:
     metrics = reconcile.supplier_coverage(t.invoice_header, t.ledger, t.supplier_dim, P.START, P.END)
-    return reconcile.problem_suppliers(metrics, P.MIN_PCT_MISSING, P.TOP_PROBLEM_SUPPLIERS)
+    return reconcile.problem_suppliers(metrics, P.MIN_PCT_MISSING, P.TOP_PROBLEM_SUPPLIERS, written=t.written)
 
 
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -50,24 +50,66 @@ def materialize(df: DataFrame, small: bool = False) -> DataFrame:
     :func:`clear_intermediates`. ``small`` is for results bounded by
     construction (a top-k): they are written as a single file.
     """
-    spark = df.sparkSession
-    path = fresh_folder(spark)
+    return _write(df, fresh_folder(df.sparkSession), small)
+
+
+def _write(df: DataFrame, path: str, small: bool) -> DataFrame:
     # a result bounded by construction is one file; repartition, not coalesce,
     # so the stage computing it keeps its parallelism
     (df.repartition(1) if small else df).write.mode("errorifexists").parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+class WrittenTables:
+    """Small tables written once and shared by the jobs of one set of sources.
+
+    A lookup that several jobs derive alike (one rate per currency and month, the excluded suppliers) is written by
+    the first of them, with its row count; later jobs read it. Tables are found by Spark's canonical form of
+    their plan (``semanticHash`` and ``sameSemantics``), so it does not matter which job built the plan. The sources
+    are taken as they were when the table was written: :meth:`forget` after they have changed. A table that
+    :func:`clear_intermediates` has deleted is written again.
+    """
+
+    def __init__(self) -> None:
+        self._held: dict[int, list[tuple[DataFrame, DataFrame, str, int]]] = {}
+
+    def get(self, df: DataFrame, small: bool = False) -> tuple[DataFrame, int]:
+        """The written form of ``df`` and its number of rows."""
+        key = df.semanticHash()
+        spark = df.sparkSession
+        for plan, written, path, rows in self._held.get(key, []):
+            if plan.sparkSession is spark and plan.sameSemantics(df) and _exists(spark, path):
+                return written, rows
+        path = fresh_folder(spark)
+        written = _write(df, path, small)
+        rows = written.count()
+        kept = [x for x in self._held.get(key, []) if not x[0].sameSemantics(df)]
+        self._held[key] = [*kept, (df, written, path, rows)]
+        return written, rows
+
+    def forget(self) -> None:
+        """Write every table anew from here on."""
+        self._held.clear()
+
+
+def _exists(spark: SparkSession, path: str) -> bool:
+    folder = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return folder.getFileSystem(spark._jsc.hadoopConfiguration()).exists(folder)
 
 
-def sized_dimension(df: DataFrame, max_rows: int = DEFAULT_BROADCAST_ROWS) -> tuple[DataFrame, bool]:
+def sized_dimension(
+    df: DataFrame, max_rows: int = DEFAULT_BROADCAST_ROWS, written: WrittenTables | None = None
+) -> tuple[DataFrame, bool]:
     """Materialize an aggregated lookup and report whether it may be broadcast.
 
     Used for lookups whose size is bounded by the domain rather than by the
     data (one rate per currency and month). The count reads the checkpoint,
-    not the source, so the check costs one pass over a small result.
+    not the source, so the check costs one pass over a small result; with ``written``, one
+    pass for all jobs that share it.
     """
     # not forced into one file: the size is what is being checked
-    m = materialize(df)
-    return m, m.count() <= max_rows
+    m, rows = (written or WrittenTables()).get(df)
+    return m, rows <= max_rows
 
 
 def join_dimension(
@@ -76,15 +118,16 @@ def join_dimension(
     keys: Sequence[tuple[str, str]],
     how: str = "left",
     max_rows: int = DEFAULT_BROADCAST_ROWS,
+    written: WrittenTables | None = None,
 ) -> DataFrame:
     """Join ``fact`` to a lookup on ``(fact column, lookup column)`` pairs.
 
-    The lookup is materialized and counted first; it is broadcast only when
-    the measured row count is at most ``max_rows``. Past that the join stays a
+    The lookup is materialized and counted first (once for all jobs that share ``written``); it is
+    broadcast only when the measured row count is at most ``max_rows``. Past that the join stays a
     shuffle (sort-merge) join, where AQE may still pick a broadcast from
     measured sizes. Column names must differ between the two sides.
     """
-    dim_m, small = sized_dimension(dim, max_rows)
+    dim_m, small = sized_dimension(dim, max_rows, written)
     cond = reduce(lambda a, b: a & b, [F.col(f) == F.col(d) for f, d in keys])
     return fact.join(F.broadcast(dim_m) if small else dim_m, cond, how)
 

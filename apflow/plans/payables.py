@@ -78,7 +78,7 @@ def _rated(t: APTables, inv: DataFrame, spec: FactSpec) -> DataFrame:
         keys = [("currency_id", "_ccy")]
     else:
         raise ValueError("rates must be 'monthly' or 'window'")
-    j = join_dimension(inv, r, keys, "left")
+    j = join_dimension(inv, r, keys, "left", written=t.written)
     return j.withColumn("rate", F.coalesce(F.col("_rate"), F.lit(1.0))).drop("_ccy", "_rate", "_rm", "_im")
 
 
@@ -193,7 +193,7 @@ def month_total_line_currency(t: APTables, start: str, end: str, base: int = 1)
     )
     inv = valid_invoices(t.invoice_header, start, end, "strict_no_currency")
     d = dedupe_with_line_currency(inv, t.invoice_line)
-    j = join_dimension(d, rates, [("currency_id", "_ccy")], "left")
+    j = join_dimension(d, rates, [("currency_id", "_ccy")], "left", written=t.written)
     usd = usd_expr("gross_total", "_rate", "divide", "null")
     return j.agg(
         F.count_distinct("invoice_number").alias("unique_invoice_numbers"),
@@ -240,7 +240,7 @@ def naive_line_rate_total(t: APTables, paid_after: str, base: int = 1) -> DataFr
     h = t.invoice_header.where(F.col("payment_date") > F.lit(paid_after)).select("id", "invoice_number", "amount_due")
     li = t.invoice_line.select("invoice_header_id", "currency_id")
     # one row per currency: lines are not shuffled on the currency
-    lr = join_dimension(li, r, [("currency_id", "to_currency_id")], "inner")
+    lr = join_dimension(li, r, [("currency_id", "to_currency_id")], "inner", written=t.written)
     j = h.join(lr, h.id == lr.invoice_header_id, "inner")
     return j.agg(
         F.count_distinct("invoice_number").alias("unique_invoice_numbers"),
@@ -261,7 +261,7 @@ def weighted_average_terms(t: APTables, status: str = "APPROVED") -> DataFrame:
     pt = t.payment_term.select(F.col("id").alias("_pt_id"), "days_for_net_payment")
     h = t.invoice_header.where((F.col("status") == status) & (F.col("amount_due") > 0))
     j = h.join(pt, h.payment_term_id == pt._pt_id, "left")
-    j = join_dimension(j, r, [("currency_id", "to_currency_id")], "left")
+    j = join_dimension(j, r, [("currency_id", "to_currency_id")], "left", written=t.written)
     w = F.coalesce(F.col("amount_due").cast("double"), F.lit(0.0)) * F.coalesce(F.col("_sum_rate"), F.lit(1.0))
     days = F.coalesce(F.col("days_for_net_payment").cast("double"), F.lit(0.0))
     return j.agg(F.round(F.sum(w * days) / F.nullif(F.sum(w), F.lit(0.0)), 6).alias("wat"))

@@ -28,7 +28,7 @@ from pyspark.sql import functions as F
 from apflow.functions.dates import in_window, month_start
 from apflow.functions.measures import to_usd as usd_expr
 from apflow.operators.invoices import dedupe_invoices, keep_one_ledger, valid_invoices
-from apflow.operators.joins import join_dimension, left_join_many, materialize
+from apflow.operators.joins import WrittenTables, join_dimension, left_join_many, materialize
 from apflow.operators.rates import monthly_rates, monthly_rates_by_rate_date
 from apflow.sources.fixtures import APTables
 
@@ -132,7 +132,9 @@ def supplier_coverage(
     )
 
 
-def problem_suppliers(metrics: DataFrame, min_pct: float = 90.0, top: int = 40, materialized: bool = True) -> DataFrame:
+def problem_suppliers(
+    metrics: DataFrame, min_pct: float = 90.0, top: int = 40, materialized: bool = True, written: WrittenTables | None = None
+) -> DataFrame:
     """The ``top`` largest suppliers (by invoices) with more than ``min_pct`` % missing.
 
     Ties on the invoice count go to the smaller supplier id. Planned as a
@@ -140,7 +142,8 @@ def problem_suppliers(metrics: DataFrame, min_pct: float = 90.0, top: int = 40,
     broadcast into a ``NOT IN``. By default the (at most ``top``) ids are
     written once under the checkpoint folder: Catalyst copies a ``NOT IN``
     filter into every lookup joined on the supplier, and each copy then reads
-    the small written table instead of re-planning the coverage pipeline.
+    the small written table instead of re-planning the coverage pipeline. With ``written`` they are
+    written once for all jobs that share it.
     """
     ids = (
         metrics.where(F.col("pct_only_in_source") > min_pct)
@@ -148,7 +151,7 @@ def problem_suppliers(metrics: DataFrame, min_pct: float = 90.0, top: int = 40,
         .limit(top)
         .select("supplier_id")
     )
-    return materialize(ids, small=True) if materialized else ids
+    return (written or WrittenTables()).get(ids, small=True)[0] if materialized else ids
 
 
 # ----------------------------------------------------------------------- J22
@@ -172,7 +175,7 @@ def missing_invoices(t: APTables, start: str, end: str) -> DataFrame:
         F.col("to_currency_id").alias("_ccy"), F.col("rate").alias("_rate"), F.col("rate_date_month").alias("_rm")
     )
     h = h.withColumn("_pm", month_start("payment_date")).join(s, h.supplier_id == s._sid, "left")
-    j = join_dimension(h, r, [("currency_id", "_ccy"), ("_pm", "_rm")], "left")
+    j = join_dimension(h, r, [("currency_id", "_ccy"), ("_pm", "_rm")], "left", written=t.written)
     return j.select(
         "invoice_number",
         "name",
@@ -205,7 +208,7 @@ def side_by_side(
     sup = t.supplier_dim.select(F.col("id").alias("_sid"), F.col("name").alias("_sname"), F.col("number").alias("_snum"))
     a = src.join(cur, src.currency_id == cur._cur_id, "left").withColumn("_pm", month_start("payment_date"))
     j = a.join(sup, a.supplier_id == sup._sid, "left")
-    j = join_dimension(j, rates, [("currency_id", "_ccy"), ("_pm", "_rm")], "left")
+    j = join_dimension(j, rates, [("currency_id", "_ccy"), ("_pm", "_rm")], "left", written=t.written)
     j = left_join_many(j, sandbox, "invoice_number", "ledger_invoice_number")
     return j.select(
         F.col("invoice_number").alias("source_invoice_number"),
@@ -425,7 +428,7 @@ def _coverage_base(
             F.col("to_currency_id").alias("_ccy"), F.col("rate").alias("_rate"), F.col("rate_month").alias("_rm")
         )
         a = a.withColumn("_pm", month_start("A_payment_date"))
-        a = join_dimension(a, r, [("A_currency_id", "_ccy"), ("_pm", "_rm")], "left")
+        a = join_dimension(a, r, [("A_currency_id", "_ccy"), ("_pm", "_rm")], "left", written=t.written)
         a = a.withColumn("_amount_usd", usd_expr("A_gross_total", "_rate", "divide", "one"))
     b = _prefixed(t.supplier_dim, "B")
     j = a.join(b, a.A_supplier_id == b.B_id, "inner")

@@ -16,6 +16,7 @@ from functools import cached_property
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from apflow.operators.joins import WrittenTables
 from apflow.sources.testdata import read_table
 
 # Fixed values of the fixture (FIXTURES.md), in natural order.
@@ -75,7 +76,10 @@ class APTables:
 
     Each property is a DataFrame plan, not data: nothing is read until an
     action runs, and a property reused by several jobs is just the same plan
-    (Spark's exchange reuse shares identical subtrees within one query).
+    (Spark's exchange reuse shares identical subtrees within one query). The
+    tables are taken as they are when a job first reads them: the small lookups
+    that jobs write are shared by all later jobs over the same instance, until
+    ``written.forget()``.
     """
 
     def __init__(
@@ -87,6 +91,8 @@ class APTables:
         self.spark = spark
         self.sf_dir = sf_dir
         self._raw: dict[str, DataFrame] = {}
+        #: lookups that the jobs over these tables have written and share
+        self.written = WrittenTables()
         self._given = dict(tables or {})
         unknown = set(self._given) - set(AP_TABLE_NAMES) - {"aging"}
         if unknown:
