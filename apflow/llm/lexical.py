@@ -35,13 +35,12 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from apflow.llm.words import DocumentWords, WordHasher, by_bytes
 from apflow.operators.joins import materialize
 
-TERM = r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"
 BLOCK = 128
 SHARD_CHARS = 1 << 23
 QUERY_TERMS = 1 << 18
@@ -59,10 +58,6 @@ class TermHasher(WordHasher):
         return super().__call__(data.translate(_LOWER))
 
 
-def term_count(text: Column) -> Column:
-    return F.coalesce(F.regexp_count(text, F.lit(TERM)), F.lit(0)).cast("long")
-
-
 # ----------------------------------------------------------------- a shard
 def length_part(n: np.ndarray, documents: int, terms: int) -> np.ndarray:
     """m of documents with ``n`` terms."""
@@ -245,10 +240,26 @@ class Index:
     terms: int
 
 
+def corpus_totals(texts: DataFrame) -> tuple[int, int]:
+    """How many of ``texts`` (one column) have a term, and all their terms with repeats."""
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        inside = ~TermHasher().sep
+        documents = terms = 0
+        for batch in batches:
+            for text in batch.column(0):
+                if text.is_valid:
+                    term = inside[np.frombuffer(text.as_buffer(), dtype=np.uint8)]
+                    n = int(np.count_nonzero(term[1:] > term[:-1])) + int(term[:1].sum())
+                    documents, terms = documents + (n > 0), terms + n
+        yield pa.RecordBatch.from_arrays([pa.array([documents], pa.int64()), pa.array([terms], pa.int64())], names=["documents", "terms"])
+
+    row = texts.mapInArrow(run, "documents bigint, terms bigint").agg(F.sum("documents"), F.sum("terms")).first()
+    return row[0] or 0, row[1] or 0
+
+
 def build_index(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shard_chars: int = SHARD_CHARS) -> Index:
     text = F.col(text_col)
-    n = term_count(text)
-    documents, terms = docs.select(n.alias("n")).where("n > 0").agg(F.count("*"), F.coalesce(F.sum("n"), F.lit(0))).first()
+    documents, terms = corpus_totals(docs.select(text.alias("text")))
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hasher = TermHasher()
