@@ -1,9 +1,11 @@
 """Edge cases and brute-force checks of the operators on documents."""
 
+import bisect
 import collections
 import hashlib
 import random
 import re
+import time
 
 import public_tokenizers
 import pytest
@@ -286,6 +288,43 @@ def test_copies_of_a_text_are_one_owner(spark):
     assert red[2] == f"same text {secret_scan.MASK}" and red[11] == f"text 1 {shared}"
 
 
+def test_a_text_with_very_many_matches(spark):
+    """100,000 candidates of all kinds in one text, among others: the work is linear in their number."""
+    r = random.Random(6)
+    letters = "abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789"
+
+    def word(i):
+        if i % 10 == 3:
+            return "".join(r.choice("0123456789abcdef") for _ in range(32))
+        if i % 10 == 5:
+            return "api_key: '" + "".join(r.choice(letters) for _ in range(12)) + "'"
+        if i % 10 == 7:
+            return "é😀 token=" + "Ab1" + "".join(r.choice(letters) for _ in range(21))  # the token lies in the assignment
+        return "Ab1" + "".join(r.choice(letters) for _ in range(21))
+
+    text = "\n".join(word(i) for i in range(100_000))
+    rows = [(0, text, "a/x", 1), (1, "nothing here", "b/x", 12), (2, text[:40], "a/y", 40), (3, None, None, None)]
+    d = spark.createDataFrame(rows, SCHEMA.replace("lang string, ", ""))
+    began = time.time()
+    out = {x.doc_id: x.spans for x in secret_scan.scan(d).collect()}
+    assert [(s.start, s.kind, s.end) for s in out[0] if s.kind < 3] == brute_spans(text)
+    tokens = [m.span() for m in re.finditer(r"(?<![A-Za-z0-9+/_-])[A-Za-z0-9+/_-]{20,}", text)
+              if all(re.search(c, m[0]) for c in ("[a-z]", "[A-Z]", "[0-9]"))]
+    base = [(a, b) for a, _, b in brute_spans(text)]
+    starts = [a for a, _ in base]
+    free = [t for t in tokens if not any(a < t[1] and t[0] < b for a, b in base[max(0, bisect.bisect(starts, t[1]) - 4) : bisect.bisect(starts, t[1])])]
+    assert [(s.start, s.end) for s in out[0] if s.kind == 3] == free and len(out[0]) >= 90_000
+    red = {x.doc_id: x for x in secret_scan.redact(d).collect()}
+    want, at = [], 0
+    for s in sorted(out[0], key=lambda s: (s.start, s.kind)):
+        if s.live and s.start >= at:
+            want += [text[at : s.start], secret_scan.MASK]
+        at = max(at, s.end) if s.live else at
+    assert red[0].text == "".join(want) + text[at:] and red[0].n_chars == len(red[0].text)
+    assert red[1].text == "nothing here" and red[3].text is None
+    assert time.time() - began < 180
+
+
 # ----------------------------------------------------------------- substrings
 def brute_removed(rows, window=35):
     all_words = [WORDS.findall(r.text or "") for r in rows]
