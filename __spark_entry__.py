@@ -8,7 +8,7 @@ and every window spans the whole testdata range.
 
 from __future__ import annotations
 
-import importlib.util
+import logging
 import os
 import sys
 import uuid
@@ -28,6 +28,8 @@ from apflow.session import ensure_checkpoint_dir  # noqa: E402
 from oracles import jobs as O  # noqa: E402
 from oracles import params as P  # noqa: E402
 
+log = logging.getLogger(__name__)
+
 SMOKE_DIR = "/root/testdata/sf0.001"
 
 
@@ -475,10 +477,12 @@ _QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
 
 def _llm():
     """(queries, oracles) of the training-data operators, or two empty dicts where they are not installed."""
-    if importlib.util.find_spec("apflow.llm") is None or importlib.util.find_spec("corpus_pipeline") is None:
+    try:
+        import corpus_pipeline
+        from apflow.llm import queries as llm
+    except ImportError as err:  # the subpackage, the pipeline or a package they need is not installed
+        log.warning("without the training-data operators: %s", err)
         return {}, {}
-    import corpus_pipeline
-    from apflow.llm import queries as llm
 
     oracles = llm.oracle_sql()
     if corpus_pipeline.ORACLE_SQL:
