@@ -3,8 +3,8 @@
 Each stage takes (spark, docs, sf_dir) and returns a DataFrame; the caller may write and
 reread it as the next stage's docs. All but the last return the columns of documents.
 
-- ``language_id``: learned from the learning fold of its input; rejects texts without a letter and long texts
-  that are like no learned language.
+- ``language_id``: learned from the learning fold of its input; rejects texts without a letter and texts that
+  are like no learned language, by a bound that grows with the number of their trigrams.
 - ``near_duplicates``: of each class of texts with a Jaccard similarity of 0.8 or more on word
   5-grams, the document of least id stays.
 - ``secrets``: live-looking secrets are masked in the text, n_chars follows; no row goes.
