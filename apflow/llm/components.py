@@ -1,7 +1,8 @@
 """Connected components of an edge table, by alternating large-star and small-star steps (Kiveris et al., 2014).
 
-Each step is a grouped minimum joined back, so no task ever holds a component; tables are
-written to the shared checkpoint folder between rounds, and the driver sees two numbers a round.
+Each step is a grouped minimum joined back, so no task ever holds a component; the minima get an exchange of their own,
+so that the join can split a vertex with very many edges. Tables are written to the shared checkpoint folder between
+rounds, and the driver sees two numbers a round.
 """
 
 from __future__ import annotations
@@ -18,10 +19,10 @@ def _star(edges: DataFrame, large: bool) -> DataFrame:
         both = edges.select(F.col("a").alias("u"), F.col("b").alias("v")).unionByName(
             edges.select(F.col("b").alias("u"), F.col("a").alias("v")))
         least = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
-        out = both.where(F.col("v") > F.col("u")).join(least, "u").select(F.col("v").alias("a"), F.col("m").alias("b"))
+        out = both.where(F.col("v") > F.col("u")).join(least.hint("rebalance"), "u").select(F.col("v").alias("a"), F.col("m").alias("b"))
     else:  # a vertex and its neighbours below are linked to the least of them
         least = edges.groupBy("a").agg(F.min("b").alias("m"))
-        below = edges.join(least, "a")
+        below = edges.join(least.hint("rebalance"), "a")
         out = below.select(F.col("b").alias("a"), F.col("m").alias("b")).unionByName(
             least.select("a", F.col("m").alias("b")))
     return out.where(F.col("a") != F.col("b")).distinct()

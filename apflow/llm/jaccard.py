@@ -297,6 +297,7 @@ def _classes(docs: DataFrame, threshold: float, tolerance: float) -> tuple[DataF
     shown = led.join(vertices.drop("sig", "n_words"), "vid").withColumnRenamed("first_id", "doc")
     shown = shown.join(texts, (shown["key"] == texts["key"]) & shown["doc"].eqNullSafe(texts["doc_id"])).select(
         "vid", "leaders", "copies", "text")
+    shown = shown.dropDuplicates(["vid"])  # of a repeated row, which is met once a copy, one goes on to the comparison
     compared = (
         met.join(shown, "vid")
         .repartition("leader", "lo", "hi").sortWithinPartitions("leader", "lo", "hi")
