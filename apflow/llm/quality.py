@@ -4,7 +4,7 @@ Trusted positives are texts labelled good; unlabelled texts are web text of unkn
 With class prior p, the risk is p * E_pos[l(g, +)] + max(0, E_unl[l(g, -)] - p * E_pos[l(g, -)]):
 the negative part, which the unlabelled texts hold together with their positives, may not go
 below zero; where it does in a batch, the step goes against it. Labels other than "good" are
-used for one number only, the estimate of the class prior (their share, smoothed).
+not used. The class prior is estimated from the positives and the unlabelled texts alone (:func:`estimate_prior`).
 
 A text becomes a short vector of surface measures (shares of character classes, word and
 line statistics, repetition). The model, one hidden layer, is fitted on the driver on at most
@@ -31,6 +31,7 @@ from apflow.llm.samples import least_hashed
 from apflow.operators.joins import materialize
 
 SAMPLE = 8000
+LEAST_HALF = 20  # texts in a half sample from which a prior is estimated
 HIDDEN, EPOCHS, BATCH, RATE, DECAY, SEED = 24, 60, 512, 0.005, 1e-4, 11
 MEASURES = 22
 
@@ -96,6 +97,19 @@ class Scorer:
         return 1 / (1 + np.exp(-np.clip(g, -30, 30)))
 
 
+def gradients(w: list[np.ndarray], x: np.ndarray, is_p: np.ndarray, prior: float) -> list[np.ndarray]:
+    """Of the non-negative risk of a batch; where its negative part is below zero, of that part with its sign turned."""
+    positives, others = max(int(is_p.sum()), 1), max(int((~is_p).sum()), 1)
+    h = np.tanh(x @ w[0] + w[1])
+    s = 1 / (1 + np.exp(-np.clip(h @ w[2] + w[3], -30, 30)))
+    loss = -np.log1p(-np.minimum(s, 1 - 1e-12))  # of the label "not good"
+    negative = loss[~is_p].sum() / others - prior * loss[is_p].sum() / positives
+    d = np.where(is_p, -prior * s / positives, s / others)  # of the negative part, by the network's output
+    d = np.where(is_p, prior * (s - 1) / positives, 0.0) + d if negative >= 0 else -d
+    dh = np.outer(d, w[2]) * (1 - h * h)
+    return [x.T @ dh, dh.sum(axis=0), h.T @ d, d.sum()]
+
+
 def fit(positive: np.ndarray, unlabelled: np.ndarray, prior: float, seed: int = SEED) -> Scorer:
     """Minimise the non-negative risk with the logistic loss (Adam, weight decay)."""
     rng = np.random.default_rng(seed)
@@ -109,16 +123,8 @@ def fit(positive: np.ndarray, unlabelled: np.ndarray, prior: float, seed: int =
         po, uo = rng.permutation(len(p)), rng.permutation(len(u))
         for a, b in zip(np.array_split(po, batches), np.array_split(uo, batches), strict=True):
             x = np.concatenate([p[a], u[b]])
-            is_p = np.arange(len(x)) < len(a)
-            h = np.tanh(x @ w[0] + w[1])
-            s = 1 / (1 + np.exp(-np.clip(h @ w[2] + w[3], -30, 30)))
-            loss = -np.log1p(-np.minimum(s, 1 - 1e-12))  # of the label "not good"
-            negative = loss[~is_p].mean() - prior * (loss[is_p].mean() if len(a) else 0.0)
-            d = np.where(is_p, -prior * s / max(len(a), 1), s / max(len(b), 1))  # gradient of the negative part
-            d = np.where(is_p, prior * (s - 1) / max(len(a), 1), 0.0) + d if negative >= 0 else -d
-            dh = np.outer(d, w[2]) * (1 - h * h)
             step += 1
-            for i, g in enumerate((x.T @ dh, dh.sum(axis=0), h.T @ d, d.sum())):
+            for i, g in enumerate(gradients(w, x, np.arange(len(x)) < len(a), prior)):
                 g = g + DECAY * w[i]
                 m[i] = 0.9 * m[i] + 0.1 * g
                 v[i] = 0.999 * v[i] + 0.001 * g * g
@@ -126,6 +132,26 @@ def fit(positive: np.ndarray, unlabelled: np.ndarray, prior: float, seed: int =
     return Scorer(mean, scale, w)
 
 
+def estimate_prior(positive: np.ndarray, unlabelled: np.ndarray, seed: int = SEED) -> float:
+    """The share of good texts among the unlabelled ones (after Blanchard, Lee and Scott, 2010).
+
+    A first model, fitted on one half of either sample with an even prior, scores the other half. Above any score the
+    unlabelled texts hold at least their good ones, so the share of unlabelled texts there, over the share of positives
+    there, is never below the prior but for chance; the least such ratio is the estimate. Scores that fewer than
+    half of the positives reach are left out, as chance rules there. With under ``LEAST_HALF`` texts in a half it is 0.5.
+    """
+    rng = np.random.default_rng(seed)
+    (p, p_test), (u, u_test) = (np.array_split(x[rng.permutation(len(x))], 2) for x in (positive, unlabelled))
+    if min(len(p_test), len(u_test)) < LEAST_HALF:
+        return 0.5
+    first = fit(p, u, 0.5, seed)
+    sp, su = np.sort(first(p_test)), np.sort(first(u_test))
+    cuts = np.unique(np.concatenate([sp, su]))
+    above_p, above_u = 1 - np.searchsorted(sp, cuts) / len(sp), 1 - np.searchsorted(su, cuts) / len(su)
+    enough = above_p >= 0.5
+    return float(np.clip((above_u[enough] / above_p[enough]).min(), 0.01, 0.99))
+
+
 def score(
     docs: DataFrame, labels: DataFrame, learn_from: Column, sample: int = SAMPLE, text_col: str = "text",
     score_out: str = "score",
@@ -136,8 +162,6 @@ def score(
     """
     table = materialize(measured(docs.drop(score_out), text_col, "__llm_measures"))
     marks = labels.where(learn_from & F.col("quality").isNotNull()).groupBy("doc_id").agg(F.max("quality").alias("__llm_good"))
-    seen = marks.agg(F.count("*").alias("n"), F.sum((F.col("__llm_good") > 0).cast("long")).alias("good")).first()
-    prior = (float(seen["good"] or 0) + 1) / (seen["n"] + 2)
 
     def take(rows: DataFrame) -> np.ndarray:
         some = least_hashed(rows, sample, "doc_id").select("__llm_measures").toPandas()["__llm_measures"]
@@ -148,7 +172,7 @@ def score(
     kept = [f for f in table.schema.fields if f.name != "__llm_measures"]
     if not len(positive) or not len(unlabelled):
         return table.select(*[F.col(f"`{f.name}`") for f in kept], F.lit(0.5).alias(score_out))
-    fitted = fit(positive, unlabelled, prior)
+    fitted = fit(positive, unlabelled, estimate_prior(positive, unlabelled))
     shared = docs.sparkSession.sparkContext.broadcast((fitted.mean, fitted.scale, fitted.params))
 
     def run(frames: Iterable[pd.DataFrame]) -> Iterator[pd.DataFrame]:
