@@ -50,12 +50,17 @@ def identified(rows):
     for r in rows:
         if r.lang is not None and zlib.crc32(str(r.doc_id).encode()) % 5:
             sums[r.lang].update(trigrams(r.text))
+    same = {lang: sum(n * n for n in c.values()) / sum(c.values()) ** 2 for lang, c in sums.items()}
     kept = []
     for r in rows:
-        letters = sum(c.isalpha() for c in r.text)
-        best = max(cosine(trigrams(r.text), s) for s in sums.values()) if letters else 0.0
-        assert letters < 200 or not 0.02 < best < 0.2  # far enough from the bound of 0.1 for exact cosines
-        if letters and (letters < 200 or best >= 0.1):
+        letters, own = sum(c.isalpha() for c in r.text), trigrams(r.text)
+        if not letters:
+            continue
+        best, lang = max((cosine(own, c), lang) for lang, c in sums.items())
+        x = sum(own.values()) * same[lang]
+        bound = 0.18 * math.sqrt(x / (1 + x)) - 0.5 / math.sqrt(512)
+        assert abs(best - bound) > 0.05 or letters < 20, (r.doc_id, best, bound)  # far enough from it for exact cosines
+        if best >= bound:
             kept.append(r)
     return kept
 
