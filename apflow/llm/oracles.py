@@ -130,5 +130,45 @@ SELECT page_id, CAST(n AS BIGINT) AS payload_bytes, h AS payload_digest,
 FROM p LEFT JOIN least USING (h)
 """
 
-ORACLES = {"op2_ngram_jaccard_join": _OP2, "op5_exact_topk": _OP5, "op10_substring_dedup": _OP10,
+# spans from the lengths of the matches and of what lies between them, then owners per value over distinct texts
+_OP8 = r"""
+WITH docs AS (
+  SELECT row_number() OVER () AS rid, doc_id, coalesce(text, '') AS t, coalesce(source, '') AS repo,
+         coalesce(split_part(source, '/', 1), '') AS owner FROM documents
+), matched AS (
+  SELECT rid, 0 AS kind, regexp_extract_all(t, '(?:(?i:password|passwd|secret|token|api_?key))["'']? *[:=] *["'']?([A-Za-z0-9+/_.=-]+)', 0) AS m,
+         regexp_extract_all(t, '(?:(?i:password|passwd|secret|token|api_?key))["'']? *[:=] *["'']?([A-Za-z0-9+/_.=-]+)', 1) AS v,
+         regexp_split_to_array(t, '(?:(?i:password|passwd|secret|token|api_?key))["'']? *[:=] *["'']?([A-Za-z0-9+/_.=-]+)') AS gaps FROM docs
+  UNION ALL SELECT rid, 1, regexp_extract_all(t, 'AKIA[A-Z0-9]{12,}'), regexp_extract_all(t, 'AKIA[A-Z0-9]{12,}'), regexp_split_to_array(t, 'AKIA[A-Z0-9]{12,}') FROM docs
+  UNION ALL SELECT rid, 2, regexp_extract_all(t, '[0-9a-f]{32,}'), regexp_extract_all(t, '[0-9a-f]{32,}'), regexp_split_to_array(t, '[0-9a-f]{32,}') FROM docs
+  UNION ALL SELECT rid, 3, regexp_extract_all(t, '[A-Za-z0-9+/_-]{20,}'), regexp_extract_all(t, '[A-Za-z0-9+/_-]{20,}'),
+         regexp_split_to_array(t, '[A-Za-z0-9+/_-]{20,}') FROM docs
+), each AS (
+  SELECT rid, kind, unnest(range(1, len(m) + 1)) AS i, unnest(m) AS whole, unnest(v) AS value, unnest(gaps[1:len(m)]) AS gap FROM matched
+), placed AS (
+  SELECT rid, kind, value, length(whole) AS n, sum(length(gap) + length(whole)) OVER (PARTITION BY rid, kind ORDER BY i) AS stop FROM each
+), kept AS (
+  SELECT rid, kind, value, stop - n AS start, stop FROM placed
+  WHERE CASE kind WHEN 0 THEN length(value) >= 8
+        WHEN 3 THEN regexp_matches(value, '[a-z]') AND regexp_matches(value, '[A-Z]') AND regexp_matches(value, '[0-9]') ELSE TRUE END
+), free AS (
+  SELECT * FROM kept k WHERE kind < 3 OR NOT EXISTS (
+    SELECT 1 FROM kept o WHERE o.rid = k.rid AND o.kind < 3 AND o.start < k.stop AND k.start < o.stop)
+), owners AS (
+  SELECT value, count(DISTINCT first_owner) AS independent FROM (
+    SELECT value, t, min(owner) AS first_owner FROM free JOIN docs USING (rid) GROUP BY value, t) GROUP BY value
+), told AS (
+  SELECT rid, kind, start, independent < 3 AS live, ['assign', 'access', 'hex', 'token'][kind + 1] || ':' || CAST(start AS BIGINT) || ':' || CAST(stop AS BIGINT) AS span
+  FROM free JOIN owners USING (value) WHERE kind < 3 OR independent < 3
+), spans AS (
+  SELECT rid, count(*) FILTER (kind = 0) AS n_assign, count(*) FILTER (kind = 1) AS n_access, count(*) FILTER (kind = 2) AS n_hex,
+         coalesce(string_agg(span, ',' ORDER BY start, kind) FILTER (kind < 3), '') AS base, string_agg(span, ',' ORDER BY start, kind) AS spans,
+         count(*) FILTER (live) AS n_live FROM told GROUP BY rid
+)
+SELECT doc_id, coalesce(n_assign, 0) AS n_assign, coalesce(n_access, 0) AS n_access, coalesce(n_hex, 0) AS n_hex,
+       sha256(coalesce(base, '')) AS base_sha256, coalesce(spans, '') AS spans, coalesce(n_live, 0) AS n_live
+FROM docs LEFT JOIN spans USING (rid)
+"""
+
+ORACLES = {"op2_ngram_jaccard_join": _OP2, "op5_exact_topk": _OP5, "op8_secrets": _OP8, "op10_substring_dedup": _OP10,
            "op11_vector_codes": _op11(), "op12_lexical_search": _OP12, "op13_warc_salvage": _OP13}
