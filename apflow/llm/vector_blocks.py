@@ -1,8 +1,9 @@
 """Queries against candidates in blocks: no pair of vectors is ever a row.
 
-Both sides are cut into hash blocks of bounded size within each group; every query block
-meets every candidate block of its group in one task, which returns the best ``k`` of each
-query. A group with most of the rows is only more blocks.
+Both sides are cut into hash blocks of bounded size (in bytes, so fewer rows of longer vectors)
+within each group; every query block meets every candidate block of its group in one task, which
+returns the best ``k`` of each query. A candidate is sent once per query block, so those are the larger
+ones, as large as a task can hold with ease. A group with most of the rows is only more blocks.
 """
 
 from __future__ import annotations
@@ -16,7 +17,7 @@ from pyspark.sql import functions as F
 
 from apflow.llm.words import whole_groups
 
-QUERY_BLOCK, CANDIDATE_BLOCK = 2048, 4096
+QUERY_BYTES, CANDIDATE_BYTES = 1 << 24, 1 << 21  # of doubles: 32,768 and 4,096 vectors of 64 components
 
 
 def usable(vector: Column) -> Column:
@@ -27,7 +28,7 @@ def usable(vector: Column) -> Column:
 
 def best_per_query(
     queries: DataFrame, candidates: DataFrame, k: int, compare: Callable, score_type: str,
-    query_block: int = QUERY_BLOCK, candidate_block: int = CANDIDATE_BLOCK,
+    query_bytes: int = QUERY_BYTES, candidate_bytes: int = CANDIDATE_BYTES,
 ) -> DataFrame:
     """(query_id, rank, vec_id, score): the best k of each query, ties to the smaller vec_id.
 
@@ -35,11 +36,11 @@ def best_per_query(
     candidate ids, candidate rows)`` yields (query id, candidate ids, scores) with the block's best k of each query.
     """
     def numbered(df: DataFrame, size: int, name: str) -> tuple[DataFrame, DataFrame]:
-        blocks = df.groupBy("grp").agg(F.ceil(F.count("*") / size).cast("int").alias(f"n_{name}"))
+        blocks = df.groupBy("grp").agg(F.greatest(F.lit(1), F.ceil(F.sum(F.size("v") * F.lit(8)) / size)).cast("int").alias(f"n_{name}"))
         return df, blocks
 
-    q, q_blocks = numbered(queries, query_block, "q")
-    c, c_blocks = numbered(candidates, candidate_block, "c")
+    q, q_blocks = numbered(queries, query_bytes, "q")
+    c, c_blocks = numbered(candidates, candidate_bytes, "c")
     both = q_blocks.join(c_blocks, "grp")
 
     def dealt(df: DataFrame, own: str, other: str, is_query: bool) -> DataFrame:

@@ -47,6 +47,40 @@ def test_exact_topk_against_all_pairs(spark, vectors):
     assert topk.top_k(vectors.limit(0), every_10th()).count() == 0
 
 
+def test_blocks_by_bytes_and_how_often_a_candidate_is_sent(spark):
+    from apflow.llm.topk import branch_and_bound
+    from apflow.llm.vector_blocks import best_per_query
+
+    r = np.random.default_rng(9)
+    short, long = r.integers(-99, 99, size=(600, 8)).astype(float), r.integers(-99, 99, size=(40, 80)).astype(float)
+    rows = [(8, i, [float(x) for x in v]) for i, v in enumerate(short)] + [(80, 1000 + i, [float(x) for x in v]) for i, v in enumerate(long)]
+    d = spark.createDataFrame(rows, "grp long, vec_id long, v array<double>")
+    calls, given = spark.sparkContext.accumulator(0), spark.sparkContext.accumulator(0)
+
+    def compare(query_ids, queries, ids, vectors):
+        calls.add(1)
+        given.add(len(ids))
+        return branch_and_bound(query_ids, queries, ids, vectors, 3)
+
+    def run(**sizes):
+        before = calls.value, given.value
+        out = sorted(map(tuple, best_per_query(d.where("vec_id % 2 = 0"), d, 3, compare, "bigint", **sizes).collect()))
+        return out, calls.value - before[0], given.value - before[1]
+
+    whole, n, sent = run()
+    assert (n, sent) == (2, 640)  # a block for each length
+    expected = []
+    for base, m in ((0, short), (1000, long)):
+        dots = (m @ m.T).astype(int)
+        for q in range(0, len(m), 2):
+            best = sorted((-int(dots[q, c]), c) for c in range(len(m)) if c != q)[:3]
+            expected += [(base + q, k + 1, base + c, -s) for k, (s, c) in enumerate(best)]
+    assert whole == sorted(expected)
+    # 300 queries of 64 bytes in 6 blocks of 3,200 bytes, 20 of 640 bytes in 4: that is how often a candidate is sent
+    cut, n, sent = run(query_bytes=3200, candidate_bytes=6400)
+    assert cut == whole and sent == 6 * 600 + 4 * 40 and n == 6 * 6 + 4 * 4
+
+
 def test_exact_topk_beyond_exact_doubles(spark):
     rows = [(i, [1e12 + i, float(i)], 0) for i in range(12)]
     d = spark.createDataFrame(rows, "vec_id long, embedding array<double>, label int")
