@@ -230,13 +230,19 @@ def _listed(docs: DataFrame, window: int, gram: int) -> DataFrame:
 
 
 def _cut_out(window: int):
-    """(doc texts with wanted neighbourhoods) -> one row per neighbourhood, or per window of it if its anchor is crowded."""
+    """(doc texts with wanted neighbourhoods) -> one row per neighbourhood, or per window of it if its anchor is crowded.
+
+    The copies of a repeated row come to one task (to a few, where the join has split it), which cuts the first.
+    """
 
     def run(frames: Iterable[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        hasher = WordHasher()
+        hasher, seen = WordHasher(), set()
         for frame in frames:
             rows = []
-            for text, wanted in zip(frame["text"], frame["wanted"], strict=True):
+            for doc, hashed, text, wanted in zip(frame["doc"], frame["hash"], frame["text"], frame["wanted"], strict=True):
+                if (doc, hashed) in seen:
+                    continue
+                seen.add((doc, hashed))
                 words = DocumentWords(hasher, [text]).hash
                 for w in wanted:
                     around = words[w["pos"] : w["pos"] + w["len"]]
@@ -282,7 +288,8 @@ def repeated_spans(docs: DataFrame, window: int = WINDOW, gram: int = GRAM) -> D
         F.collect_list(F.struct("at.pos", "at.len", "mh", "sh", "n", "crowded")).alias("wanted"))  # anchors of one document
     texts = docs.select("doc_id", F.xxhash64("text").alias("th"), "text")
     cut = (
-        texts.join(wanted, texts["doc_id"].eqNullSafe(wanted["doc"]) & (texts["th"] == wanted["hash"])).select("text", "wanted")
+        texts.join(wanted, texts["doc_id"].eqNullSafe(wanted["doc"]) & (texts["th"] == wanted["hash"])).select(
+            F.col("doc").cast("string").alias("doc"), "hash", "text", "wanted")
         .mapInPandas(_cut_out(window), "mh bigint, sh bigint, j int, wh bigint, n bigint, words binary")
     )
     cut = materialize(cut)
@@ -308,7 +315,8 @@ def repeated_spans(docs: DataFrame, window: int = WINDOW, gram: int = GRAM) -> D
 
 def remove_repeated(docs: DataFrame, window: int = WINDOW, gram: int = GRAM) -> DataFrame:
     """(doc_id, n_words, n_removed, kept): ``kept`` holds the words that stay, joined by one space."""
-    spans = repeated_spans(docs, window, gram).select(F.col("doc_id").alias("s_doc"), F.col("th").alias("s_th"), "spans")
+    # an exchange of its own, so that the join can split a document of very many repeated rows
+    spans = repeated_spans(docs, window, gram).select(F.col("doc_id").alias("s_doc"), F.col("th").alias("s_th"), "spans").hint("rebalance")
     texts = docs.select("doc_id", F.xxhash64("text").alias("th"), "text")
     joined = texts.join(spans, texts["doc_id"].eqNullSafe(spans["s_doc"]) & (texts["th"] == spans["s_th"]), "left")
 
