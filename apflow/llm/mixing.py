@@ -14,7 +14,7 @@ times its source's words and the excess is shared again by weight until none is
 Running sums never gather a source in one task: hashes are cut into ``SLICES`` slices and
 the clock into as many range buckets, sums per slice come first (partial aggregation) and
 only their table, sources x slices rows at most, is summed up in order. Rows with equal
-hashes are ordered by id and size, so reruns agree.
+hashes are ordered by id and size, so reruns agree; repeated rows have hashes of their own.
 
 Defined results: a null text has no words; documents without words take part with 0; a
 source without words has target 0; rows are taken one by one (repeated rows alike, so a
@@ -35,20 +35,36 @@ WORD = r"[^\x20\x09-\x0D]+"
 WEIGHTS = (5, 2, 1)
 SLICES = 4096
 SEED = 20240607
+COPIES_AT_ONCE = 10_000  # of one row, in one task
 
 
 def word_count(text: Column) -> Column:
     return F.coalesce(F.regexp_count(text, F.lit(WORD)), F.lit(0)).cast("long")
 
 
+def _copies(rows: DataFrame, n: Column, index: str) -> DataFrame:
+    """Every row ``n`` times, numbered from 0 in the column ``index``; the copies of one row are dealt over tasks."""
+    chunk = F.explode(F.sequence(F.lit(0).cast("long"), F.floor((n - 1) / COPIES_AT_ONCE)))
+    chunked = rows.withColumn("__llm_copies", n.cast("long")).withColumn("__llm_chunk", chunk).hint("rebalance")
+    first = F.col("__llm_chunk") * COPIES_AT_ONCE
+    each = F.sequence(first, F.least(first + COPIES_AT_ONCE, F.col("__llm_copies")) - 1)
+    return chunked.withColumn(index, F.explode(each)).drop("__llm_copies", "__llm_chunk")
+
+
 def sizes(docs: DataFrame, seed: int = SEED, carry: Sequence[str] = ()) -> DataFrame:
     """(doc_id, source, size, place, slice): one narrow row per document, written once.
 
-    ``place`` is the document's place in its source's shuffled order, ``slice`` the slice of places it is in.
+    ``place`` is the document's place in its source's shuffled order, ``slice`` the slice of places it is in. Rows
+    that are alike are counted first and then numbered, and the number goes into the hash, so that the copies of
+    a row lie all over the order and not in one slice.
     """
-    place = F.shiftrightunsigned(F.xxhash64(F.lit(seed), F.col("doc_id"), F.col("size")), 1)
     rows = docs.select("doc_id", "source", word_count(F.col("text")).alias("size"), *[c for c in carry if c != "source"])
-    rows = rows.withColumn("place", place).withColumn("slice", F.floor(F.col("place") / F.lit(2**63 // SLICES)).cast("int"))
+    alike = rows.groupBy(*rows.columns).agg(F.count(F.lit(1)).alias("__llm_n"))
+    rows = _copies(alike, F.col("__llm_n"), "__llm_copy").drop("__llm_n")
+    own = [F.lit(seed), F.col("doc_id"), F.col("size")]
+    place = F.when(F.col("__llm_copy") == 0, F.xxhash64(*own)).otherwise(F.xxhash64(*own, F.col("__llm_copy")))
+    rows = rows.withColumn("place", F.shiftrightunsigned(place, 1)).drop("__llm_copy")
+    rows = rows.withColumn("slice", F.floor(F.col("place") / F.lit(2**63 // SLICES)).cast("int"))
     return materialize(rows)
 
 
@@ -138,19 +154,31 @@ def sample_documents(docs: DataFrame, **settings) -> DataFrame:
     """``docs``, same columns, one row for each pass that the mix makes over a document.
 
     A document that the budget cuts stays whole; documents of which nothing is taken go. Rows with the same id,
-    source and text are alike, so the passes over them are dealt out evenly among them.
+    source and text are alike, so the passes over them are dealt out among them: each gets the whole part of
+    their share, and what is left goes to copies of one of them.
     """
     hashed = F.xxhash64("text")
     taken = mix(docs.withColumn("__llm_text", hashed), carry=("__llm_text", "source"), **settings)
     passes = F.when(F.col("size") > 0, F.ceil(F.col("taken") / F.col("size"))).otherwise(F.lit(0))
-    dealt = taken.where(F.col("taken") > 0).groupBy("doc_id", "source", "__llm_text").agg(F.sum(passes).cast("long").alias("__llm_passes"))
-    dealt = dealt.select(F.col("doc_id").alias("__llm_doc"), F.col("source").alias("__llm_source"), "__llm_text", "__llm_passes")
-    alike = Window.partitionBy("doc_id", "source", "__llm_hash")
-    rows = docs.withColumn("__llm_hash", hashed).withColumn("__llm_n", F.count("*").over(alike)).withColumn(
-        "__llm_i", F.row_number().over(alike.orderBy("__llm_hash")))
-    joined = rows.join(dealt, F.col("doc_id").eqNullSafe(F.col("__llm_doc")) & F.col("source").eqNullSafe(F.col("__llm_source"))
-                       & (F.col("__llm_hash") == F.col("__llm_text")))
-    each = F.floor(F.col("__llm_passes") / F.col("__llm_n")) + F.when(
-        F.col("__llm_i") <= F.col("__llm_passes") % F.col("__llm_n"), 1).otherwise(0)
-    return joined.where(each > 0).withColumn("__llm_pass", F.explode(F.sequence(F.lit(1).cast("long"), each.cast("long")))).select(
-        *[F.col(f"`{c}`") for c in docs.columns])
+    # written, so that the join has a plain exchange on either side and rows that are very often alike can be split
+    dealt = materialize(taken.groupBy("doc_id", "source", "__llm_text").agg(
+        F.sum(passes).cast("long").alias("__llm_passes"), F.count(F.lit(1)).alias("__llm_n")).where("__llm_passes > 0").select(
+        F.col("doc_id").alias("__llm_doc"), F.col("source").alias("__llm_source"), "__llm_text",
+        F.floor(F.col("__llm_passes") / F.col("__llm_n")).alias("__llm_each"),
+        (F.col("__llm_passes") % F.col("__llm_n")).alias("__llm_left")))
+    rows = docs.withColumn("__llm_hash", hashed)
+    columns = [F.col(f"`{c}`") for c in docs.columns]
+
+    def of(some: DataFrame) -> DataFrame:
+        return rows.join(some, F.col("doc_id").eqNullSafe(F.col("__llm_doc")) & F.col("source").eqNullSafe(F.col("__llm_source"))
+                         & F.col("__llm_hash").eqNullSafe(F.col("__llm_text")))
+
+    each = F.sequence(F.lit(1).cast("long"), F.col("__llm_each"))
+    out = of(dealt.where("__llm_each > 0")).withColumn("__llm_pass", F.explode(each)).select(*columns)
+    left = dealt.where("__llm_left > 0")  # of repeated rows only
+    if left.limit(1).count():
+        one = of(left).groupBy("__llm_doc", "__llm_source", "__llm_hash").agg(
+            F.first(F.struct(*columns)).alias("__llm_one"), F.first("__llm_left").alias("__llm_left"))
+        copies = _copies(one.select("__llm_one", "__llm_left"), F.col("__llm_left"), "__llm_copy")
+        out = out.unionByName(copies.select("__llm_one.*"))
+    return out
