@@ -137,7 +137,7 @@ class Record:
     @property
     def payload(self) -> bytes:
         """The body of an HTTP message, or the whole block."""
-        if not self.fields.get("content-type", "").startswith("application/http"):
+        if not self.fields.get("content-type", "").lower().startswith("application/http"):
             return self.block
         head, gap, body = self.block.partition(b"\r\n\r\n")
         return body if gap else b""
@@ -253,6 +253,12 @@ def salvage(data: bytes) -> Iterator[Record | Gap]:
         at = end
 
 
+def _long(text: str | None) -> int | None:
+    """A foreign archive's field of the same name may hold anything."""
+    number = int(text) if text and re.fullmatch(r"-?[0-9]{1,19}", text) else None
+    return number if number is not None and -(1 << 63) <= number < 1 << 63 else None
+
+
 def read_archives(spark: SparkSession, path: str, payloads: bool = True) -> DataFrame:
     """One row per salvaged record or quarantined gap of the archives under ``path``.
 
@@ -270,7 +276,7 @@ def read_archives(spark: SparkSession, path: str, payloads: bool = True) -> Data
         revisit, payload = f["warc-type"] == "revisit", x.payload
         digest = f.get("warc-payload-digest", "").rpartition(":")[2] or None if revisit else hashlib.sha256(payload).hexdigest()
         return ("record", name, x.start, x.end, None, f["warc-type"], f.get("warc-record-id"), f.get("warc-refers-to"),
-                f.get("warc-target-uri"), int(page) if page and re.fullmatch(r"-?[0-9]{1,19}", page) else None, digest,
+                f.get("warc-target-uri"), _long(page), digest,
                 None if revisit else len(payload), payload if payloads and not revisit else None)
 
     types = [pa.string(), pa.string(), pa.int64(), pa.int64(), *[pa.string()] * 5, pa.int64(), pa.string(), pa.int64(), pa.binary()]

@@ -314,6 +314,17 @@ def test_salvage_of_truncated_inserted_and_foreign_bytes():
     assert gap.reason == "payload digest"
 
 
+def test_foreign_fields():
+    assert [warc._long(x) for x in ("12", "-3", str(2**63 - 1), str(2**63), "9" * 19, "x1", "", None)] == [12, -3, 2**63 - 1, None, None, None, None, None]
+    text = b"Block of its own\r\n\r\nnot HTTP"
+    (plain_block,) = warc.salvage(warc.record([("WARC-Type", "resource"), ("Content-Type", "text/plain")], text))
+    (message,) = warc.salvage(warc.record([("warc-TYPE", "response"), ("content-type", "Application/HTTP")], text))
+    assert plain_block.payload == text and message.payload == b"not HTTP"
+    folded = b"WARC/1.0\r\nWARC-Type: metadata\r\nX-Note: one\r\n two\r\nContent-Length: 0\r\n\r\n\r\n\r\n"
+    (r,) = warc.salvage(folded)
+    assert r.fields["x-note"] == "one two" and r.block == b""
+
+
 def test_damaged_archive_through_spark(spark, archives, page_rows):
     folder = fresh_folder(spark)
     os.makedirs(folder.removeprefix("file:"))
