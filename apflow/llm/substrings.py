@@ -49,6 +49,7 @@ WINDOW = 35
 GRAM = 6
 SHARD_WORDS = 400_000
 CROWDED = 2000
+_BELOW = (np.uint64(1) << np.arange(64, dtype=np.uint64)) - np.uint64(1)  # the bits before each place of a word
 
 
 class Anchors:
@@ -100,21 +101,19 @@ class WaveletTree:
             symbols = np.concatenate([symbols[bit == 0], symbols[bit == 1]])
         every = np.arange(n)
         self.base = np.zeros(n, dtype=np.int64)  # where each symbol's run begins in the last level
-        self.base = self._descend(every, [np.zeros(n, dtype=np.int64)])[0]
+        self.base = self._descend(every, np.zeros((1, n), dtype=np.int64))[0]
 
     def rank(self, symbol: np.ndarray, lo: np.ndarray, hi: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Occurrences of ``symbol`` before ``lo`` and before ``hi``."""
-        lo, hi = self._descend(symbol, [lo, hi])
+        lo, hi = self._descend(symbol, np.stack([lo, hi]))
         return lo - self.base[symbol], hi - self.base[symbol]
 
-    def _descend(self, symbol: np.ndarray, places: list[np.ndarray]) -> list[np.ndarray]:
+    def _descend(self, symbol: np.ndarray, places: np.ndarray) -> np.ndarray:
+        """The places of the symbols' bits in the last level, for rows of ``places`` together."""
         for (packed, before), zeros, b in zip(self.levels, self.zeros, range(self.bits - 1, -1, -1), strict=True):
-            one = (symbol >> b & 1).astype(bool)
-            for i, at in enumerate(places):
-                word = at >> 6
-                below = packed[word] & ((np.uint64(1) << (at & 63).astype(np.uint64)) - np.uint64(1))
-                ones = before[word] + np.bitwise_count(below)
-                places[i] = np.where(one, zeros + ones, at - ones)
+            word = places >> 6
+            ones = before[word] + np.bitwise_count(packed[word] & _BELOW[places & 63])
+            places = np.where((symbol >> b & 1).astype(bool), zeros + ones, places - ones)
         return places
 
 
@@ -137,12 +136,12 @@ class FMIndex:
         self.text, self.starts = text, np.append(0, ends[:-1] + 1)
         to_separator = np.repeat(ends, sizes + 1) - np.arange(len(text))
         rank, width = text.copy(), 1
-        order = np.argsort(rank, kind="stable")
+        order = np.argsort(rank) if depth <= 1 else None
         while width < depth:  # suffix order by doubling; what lies behind a separator does not count
             after = np.zeros(len(text), dtype=np.int64)
             after[:-width] = rank[width:]
             key = rank * (len(text) + 1) + np.where(to_separator < width, 0, after)
-            order = np.argsort(key, kind="stable")
+            order = np.argsort(key)  # suffixes alike to the depth may stand in any order
             sorted_key = key[order]
             rank = np.empty(len(text), dtype=np.int64)
             rank[order] = np.cumsum(np.append(False, sorted_key[1:] != sorted_key[:-1]))
